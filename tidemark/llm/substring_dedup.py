@@ -1,9 +1,10 @@
 """Removal of long passages that repeat across documents, found by recompression.
 
 Every window of `window` words is assigned one anchor: among the symbols of the highest
-recompression round that the window alone decides, the one with the smallest mixed name.  Equal
-windows have equal anchors, and neighbouring windows mostly share theirs, so a document becomes
-a few runs of windows (one for about 18 words) instead of one row for each word.
+recompression round that the window alone decides, the one with the smallest mixed name, with
+half of the window's other words, on the side where it has more.  Equal windows have equal
+anchors, and neighbouring windows mostly share theirs, so a document becomes
+a few runs of windows (one for about 10 words) instead of one row for each word.
 
 1.  Runs whose whole span repeats are settled together: a 128-bit hash of the span, and the
     smallest document that has it.
@@ -32,9 +33,9 @@ from . import textkit as kit
 from .recompression import levels
 from .shared import each_batch, settle, small_batches
 
-ROUNDS = 9
+ROUNDS = 5
 #: Symbols of rounds under this one are too common to be anchors.
-LOWEST = 5
+LOWEST = 4
 RUNS_EVERY = 3
 _RUN_SCHEMA = "_id long, _text long, anchor long, span1 long, span2 long, start int, windows int"
 
@@ -72,10 +73,15 @@ def _anchors(words: kit.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.
                 prefix = np.zeros(size + 1, dtype=kit.U64)
                 np.cumsum(words.hashes * kit._powers(kit._STEP, size)[:size], out=prefix[1:])
         s, e = x.lo[best], x.hi[best]
+        # windows that hold at least half of their other words before the anchor have these in
+        # common as well, the others as many after it
+        before = (window - (e - s) + 1) // 2
+        leftward = at <= s - before
+        s, e = np.where(leftward, s - before, s), np.where(leftward, e, e + window - (e - s) - before + 1)
         with np.errstate(over="ignore"):
             decided = (prefix[e] - prefix[s]) * kit._powers(kit._STEP_INVERSE, len(prefix))[s]
-        key[at] = kit.combine(decided, x.name[best], number)
-        group[at] = best * (ROUNDS + 1) + number
+        key[at] = kit.combine(decided, x.name[best] + leftward.astype(kit.U64), number)
+        group[at] = (best * (ROUNDS + 1) + number) * 2 + leftward
         open_[at] = False
     return ok, key, group
 
