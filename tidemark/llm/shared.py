@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,11 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later steps neither run its
-    plan again nor depend on one executor's disk."""
+    plan again nor depend on one executor's disk.  Then Spark's cleaner is given the chance to
+    drop the shuffle files of the plan, which nothing needs any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

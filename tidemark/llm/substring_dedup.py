@@ -6,11 +6,11 @@ half of the window's other words, on the side where it has more.  Equal windows
 anchors, and neighbouring windows mostly share theirs, so a document becomes
 a few runs of windows (one for about 10 words) instead of one row for each word.
 
-1.  Runs whose whole span repeats are settled together: a 128-bit hash of the span, and the
+1.  Runs whose whole span repeats are settled together: a 96-bit hash of the span, and the
     smallest document that has it.
 2.  Runs that are their span's first, but whose anchor (with all tokens that decide it) also
     stands in a different span, are the edges of repeats.  Only there single windows are
-    compared, by 128-bit hashes.
+    compared, by 96-bit hashes.
 
 Windows with no symbol of a high enough round (text of short periods) are runs of their own.
 Every window takes part in 1 or 2, so the result is that of comparing all windows.
@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from . import textkit as kit
 from .recompression import levels
-from .shared import each_batch, settle, small_batches
+from .shared import discard, each_batch, settle, small_batches
 
 ROUNDS = 5
 #: Symbols of rounds under this one are too common to be anchors.
 LOWEST = 4
 RUNS_EVERY = 3
-_RUN_SCHEMA = "_id long, _text long, anchor long, span1 long, span2 long, start int, windows int"
+#: A run's place: its first word times PLACE plus its number of windows.
+PLACE = 1 << 16
+_RUN_SCHEMA = "_id long, _text long, anchor long, span1 long, span2 int, place long"
 
 
 def _anchors(words: kit.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,11 +112,10 @@ def _runs_of(batch: pa.RecordBatch, window: int):
                 pa.array(texts[row]),
                 pa.array(key[start].view(np.int64)),
                 pa.array(kit.combine(kit.combine(w1[start], w1[stop - 1], 1), size.astype(kit.U64), 2).view(np.int64)),
-                pa.array(kit.combine(kit.combine(w2[start], w2[stop - 1], 3), size.astype(kit.U64), 4).view(np.int64)),
-                pa.array((start - words.ptr[doc]).astype(np.int32)),
-                pa.array(size.astype(np.int32)),
+                pa.array((kit.combine(kit.combine(w2[start], w2[stop - 1], 3), size.astype(kit.U64), 4) >> kit.U64(32)).astype(np.uint32).view(np.int32)),
+                pa.array((start - words.ptr[doc]) * PLACE + size),
             ],
-            names=["_id", "_text", "anchor", "span1", "span2", "start", "windows"],
+            names=["_id", "_text", "anchor", "span1", "span2", "place"],
         )
 
 
@@ -123,13 +124,12 @@ def _windows_of(batch: pa.RecordBatch, window: int):
     ids, texts = batch.column("_id").to_numpy(), batch.column("_text").to_numpy()
     lists = batch.column("runs")
     offsets = lists.offsets.to_numpy()
-    inner = lists.values
-    starts, sizes = inner.field("start").to_numpy(), inner.field("windows").to_numpy()
+    starts, sizes = np.divmod(lists.values.to_numpy(), PLACE)
     for words in kit.blocks(batch.column("text"), kit.BLANK_SPLIT):
         lo, hi = offsets[words.first], offsets[words.first + words.docs]
         per = np.diff(offsets[words.first : words.first + words.docs + 1])
         doc = np.repeat(np.arange(words.docs), per)
-        s, k = starts[lo:hi].astype(np.int64), sizes[lo:hi].astype(np.int64)
+        s, k = starts[lo:hi], sizes[lo:hi]
         at = np.repeat(s + words.ptr[doc] - np.cumsum(k) + k, k) + np.arange(k.sum())
         at = np.unique(at)
         if not len(at):
@@ -141,7 +141,7 @@ def _windows_of(batch: pa.RecordBatch, window: int):
                 pa.array(ids[row]),
                 pa.array(texts[row]),
                 pa.array(kit.rolling(words.hashes, window, 1)[at].view(np.int64)),
-                pa.array(kit.rolling(words.hashes, window, 2)[at].view(np.int64)),
+                pa.array((kit.rolling(words.hashes, window, 2)[at] >> kit.U64(32)).astype(np.uint32).view(np.int32)),
                 pa.array((at - words.ptr[d]).astype(np.int32)),
             ],
             names=["_id", "_text", "w1", "w2", "start"],
@@ -156,27 +156,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     texts = _identified(docs, id_col, text_col)
     runs = settle(each_batch(lambda b: _runs_of(b, window), _RUN_SCHEMA, texts))
-    classes = settle(runs.groupBy("span1", "span2", "anchor").agg(F.min("_id").alias("first_id")))
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    spans = runs.join(classes.drop("anchor"), ["span1", "span2"])
-    whole = spans.where("first_id < _id").select("_id", "_text", "start", (F.col("start") + F.col("windows") + window - 1).alias("stop"))
-    # edges of repeats: the first document of each span there shows the single windows
-    edges = (
-        runs.join(classes.join(mixed, "anchor", "left_semi").drop("anchor"), ["span1", "span2"])
-        .where("first_id = _id")
-        .groupBy("_id", "_text")
-        .agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    classes = settle(runs.groupBy("span1", "span2", "anchor").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")))
+    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("mixed"))
+    # spans of several documents, and the edges of repeats
+    telling = settle(
+        classes.join(mixed, "anchor", "left")
+        .select("span1", "span2", "first_id", F.coalesce("mixed", F.lit(False)).alias("mixed"), (F.col("first_id") < F.col("last_id")).alias("repeated"))
+        .where("mixed or repeated")
     )
+    discard(classes)
+    hits = settle(
+        runs.join(telling, ["span1", "span2"]).where("first_id < _id or (mixed and first_id = _id)").select("_id", "_text", "place", (F.col("first_id") < F.col("_id")).alias("whole"))
+    )
+    discard(runs, telling)
+    start, size = F.expr(f"place div {PLACE}"), F.col("place") % PLACE
+    whole = hits.where("whole").select("_id", "_text", start.cast("int").alias("start"), (start + size + (window - 1)).cast("int").alias("stop"))
+    # the first document of each span at an edge shows the single windows
+    edges = hits.where("not whole").groupBy("_id", "_text").agg(F.collect_list("place").alias("runs"))
     single = settle(
         each_batch(
             lambda b: _windows_of(b, window),
-            "_id long, _text long, w1 long, w2 long, start int",
+            "_id long, _text long, w1 long, w2 int, start int",
             texts.join(edges.hint("shuffle_hash"), ["_id", "_text"]).select("_id", "_text", "text", "runs"),
         )
     )
     earliest = single.groupBy("w1", "w2").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")).where("first_id < last_id")
     edge = single.join(earliest, ["w1", "w2"]).where("first_id < _id").select("_id", "_text", "start", (F.col("start") + window).alias("stop"))
-    return whole.unionByName(edge).groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = settle(whole.unionByName(edge).groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    discard(hits, single)
+    return found
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
