@@ -3,15 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import contaminations
+from .exact_search import top_k
+from .language_id import identify_languages
+from .license_scan import scan_licenses
+from .mixing import mixture_counts
+from .near_duplicates import near_duplicate_classes
+from .pii import with_pseudonyms
 from .shared import table
+from .sharding import SHARDS, TABLE_SIZE, lookup_table, shard_names, with_shards
 from .substring_dedup import remove_repeats
+from .toxicity import train, with_toxicity
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50, with_text=False)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_shards(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 _OP4_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -34,10 +83,44 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words,
 FROM d LEFT JOIN kept k ON k.r = d.r
 """
 
+
+_OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def _op5_sql() -> str:
+    table_ = ", ".join(map(str, lookup_table(shard_names(SHARDS), TABLE_SIZE)))
+    return f"""
+WITH t AS (SELECT [{table_}] AS shards),
+d AS (SELECT doc_id, CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15)) AS BIGINT) % {TABLE_SIZE} AS slot FROM documents)
+SELECT doc_id, slot, CAST(shards[slot + 1] AS INTEGER) AS shard FROM d, t
+"""
+
+
 QUERIES = {
+    "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_decontamination": op7_decontamination,
+    "op8_license_scan": op8_license_scan,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
     "op4_substring_dedup": _OP4_SQL,
+    "op5_sharding": _op5_sql(),
+    "op6_exact_top_k": _OP6_SQL,
 }
