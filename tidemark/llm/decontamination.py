@@ -11,7 +11,7 @@ the benchmark's hashes) passes over places that can't hit; from the others, stre
 hashes long enough to verify are cut out and joined to the benchmark's hashes.  The flags only
 skip what the join would drop, so the result does not depend on the table's size.
 
-Words are lower-case letters and digits.  Items of MIN_ITEM to 7 words are read under a solid mask of
+Words are letters and digits of the lower-cased text.  Items of MIN_ITEM to 7 words are read under a solid mask of
 their length; shorter items are no evidence and match nothing.
 
 Cases: null texts and items hold no words.  Rows of the texts without an id are not reported.  Equal
@@ -156,7 +156,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.lower(item_text_col).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     id_type = dict(items.dtypes)["item_id"]
     item_words = settle(each_batch(_item_words, f"item_id {id_type}, item_words array<long>", items))
     known = item_words.agg(F.max(F.size("item_words")).alias("longest"), F.collect_set(F.when(F.size("item_words") < len(MASKS[0]), F.size("item_words"))).alias("short"), F.count(F.lit(1)).alias("n")).first()
@@ -169,7 +169,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(flags)
     n_seeds = item_seeds.count()
     reach = max(known.longest or 0, len(MASKS[-1]))
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text"), F.lower(text_col).alias("text"))
     stretches = settle(
         each_batch(
             lambda b: _stretches(b, masks, shared.value, reach), "_id long, _text long, begin int, words array<long>, places array<int>, seeds array<long>", texts

@@ -208,7 +208,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _cut(numbered, mixture.block)
         .join(mixture.slots, ["_source", "block"])
         .groupBy("_source", "_id", "_hash", "n", "size", "pass")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int"), F.col("stop").cast("int")))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("words"))
         .select(*[F.col(c).alias(f"_mix{c}") for c in ("_source", "_id", "_hash", "n", "size", "spans", "words")])
     )
     keyed = docs.withColumn("_key_source", _source(source_col)).withColumn("_key_hash", F.xxhash64(text_col))

@@ -43,10 +43,10 @@ CATEGORIES = (
 )
 TRAIN_ROWS = 3000
 CELL_BITS = 20
-FEATURES = 4096
+FEATURES = 1024
 HEADS = (4, 6)
 FOLDS = 5
-FLAG_AT = 0.5
+FLAG_AT = 0.3
 
 
 @dataclass
@@ -90,7 +90,7 @@ def _term_hashes(terms) -> np.ndarray:
     return np.concatenate([b.hashes for b in kit.blocks(pa.array(list(terms), pa.string()), kit.ALNUM_SPLIT, fold=True)]) if terms else np.zeros(0, dtype=kit.U64)
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, steps: int = 250, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, steps: int = 300, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on present features (rows, cols) and dense extra columns, by Adam."""
     m = len(y)
     w, bias = np.zeros(n + extra.shape[1]), 0.0
