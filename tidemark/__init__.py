@@ -1,0 +1 @@
+"""Timed-interval and text analytics on PySpark."""
