@@ -58,12 +58,12 @@ def localized(sentences: DataFrame, keys: Keys, threshold: float = DEFAULTS.loca
 def batches(windows: DataFrame, keys: Keys, size: int = DEFAULTS.batch) -> DataFrame:
     """Windows by request batch, each with one window of context on either side: batch, and context true for the neighbours."""
     own = F.floor(F.col("idx") / size).cast("int")
-    last = F.max("idx").over(Window.partitionBy(*keys))
+    ends = windows.withColumn("_last", F.max("idx").over(Window.partitionBy(*keys)))
     at = F.col("idx") % size
-    before = F.when((at == size - 1) & (F.col("idx") < last), F.array(F.struct((own + 1).alias("batch"), F.lit(True).alias("context")))).otherwise(F.array().cast("array<struct<batch:int,context:boolean>>"))
+    before = F.when((at == size - 1) & (F.col("idx") < F.col("_last")), F.array(F.struct((own + 1).alias("batch"), F.lit(True).alias("context")))).otherwise(F.array().cast("array<struct<batch:int,context:boolean>>"))
     after = F.when((at == 0) & (F.col("idx") > 0), F.array(F.struct((own - 1).alias("batch"), F.lit(True).alias("context")))).otherwise(F.array().cast("array<struct<batch:int,context:boolean>>"))
     mine = F.array(F.struct(own.alias("batch"), F.lit(False).alias("context")))
-    return windows.withColumn("_b", F.explode(F.concat(before, mine, after))).select(*windows.columns, "_b.batch", "_b.context")
+    return ends.withColumn("_b", F.explode(F.concat(before, mine, after))).select(*windows.columns, "_b.batch", "_b.context")
 
 
 def region_filter(regions: DataFrame, shortest: float = DEFAULTS.min_region, localized_shortest: float = DEFAULTS.min_localized_region) -> DataFrame:
