@@ -30,7 +30,7 @@ def split_sentences(text: Column) -> Column:
 
 
 def starts_web_ending(text: Column) -> Column:
-    return text.rlike(rf"(?i)^({'|'.join(WEB_ENDINGS)})\b")
+    return text.rlike(rf"(?i)^({'|'.join(WEB_ENDINGS)})(?![A-Za-z0-9_])")
 
 
 def words(text: Column) -> Column:
@@ -47,7 +47,7 @@ def overlap_suffix(previous: Column, following: Column) -> Column:
     a, b = words(F.lower(previous)), words(F.lower(following))
     n = F.least(F.size(a), F.size(b))
     fits = F.filter(F.sequence(F.lit(0), n), lambda k: (k == 0) | (F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k)))
-    return F.array_max(fits)
+    return F.when(previous.isNotNull() & following.isNotNull(), F.array_max(fits))
 
 
 def lexical(text: Column, needles: list[str]) -> Column:

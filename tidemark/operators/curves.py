@@ -6,6 +6,8 @@ gathers a curve, the rest is higher-order functions in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,15 @@ def _prefix(ys: Column) -> Column:
     return F.aggregate(ys, F.array(F.lit(0.0)), lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + y)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once and not at each place of its use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def changepoint(ys: Column) -> Column:
     """The split with the least squared error of two means, the earliest on ties; 0 for fewer than two points."""
-    n = F.size(ys)
-    return F.when(n < 2, F.lit(0)).otherwise(_best_split(_prefix(ys), _prefix(F.transform(ys, lambda y: y * y)), n))
+    sums = F.struct(_prefix(ys).alias("s"), _prefix(F.transform(ys, lambda y: y * y)).alias("q"))
+    return F.when(F.size(ys) < 2, F.lit(0)).otherwise(let(sums, lambda x: _best_split(x["s"], x["q"], F.size(ys))))
 
 
 def _best_split(s: Column, q: Column, n: Column) -> Column:
@@ -68,8 +75,7 @@ def step_height(ys: Column, at: Column) -> Column:
 
 def fit_start(ys: Column) -> Column:
     """The changepoint if the curve rises there from a mean under one half, else 0."""
-    at = changepoint(ys)
-    return F.when((step_height(ys, at) > 0) & (mean(ys, F.lit(0), at) < 0.5), at).otherwise(F.lit(0))
+    return let(changepoint(ys), lambda at: F.when((step_height(ys, at) > 0) & (mean(ys, F.lit(0), at) < 0.5), at).otherwise(F.lit(0)))
 
 
 def fit_end(curves: DataFrame, keys: Keys, first: int = DEFAULTS.end_first, step: float = DEFAULTS.end_step, never: float = DEFAULTS.end_never) -> DataFrame:

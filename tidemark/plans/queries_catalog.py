@@ -1,2 +1,258 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the catalogue, the usage ledger, chapters, evidence, fits, sinks and sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import catalog as K
+from ..operators import chapters as H
+from ..operators import evidence as V
+from ..operators import usage as U
+from ..sources import sinks
+from ..streaming.sessions import sessions
+from . import detect, fitting
+from .tables import CUES, SCORED, cues, rounded, scored, segments, table
+
+
+
+def _newest():
+    return [F.desc("published_at"), F.asc("video_id")]
+
+
+def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "pending").otherwise("waiting")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("channel"), F.col("o_orderkey").alias("video_id"), F.col("o_orderdate").cast("timestamp").alias("published_at"),
+        F.floor("o_totalprice").cast("long").alias("bytes"), stage.alias("stage"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"),
+    )
+
+
+def cat_latest_n(spark, sf_dir):
+    return K.latest(_episodes(spark, sf_dir), ["channel"], 3, _newest()).select("channel", "video_id", "rank")
+
+
+def cat_keep_k(spark, sf_dir):
+    return K.retention(_episodes(spark, sf_dir), ["channel"], 5, "published_at", _newest()).select("channel", "video_id", "action", "ambiguous")
+
+
+def _items(spark, sf_dir):
+    """Events of a user as feed items; every third day lacks times of day, and every other item is listed."""
+    e = table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    day = F.date_trunc("day", ts)
+    at = F.when(F.dayofmonth(ts) % 3 == 0, day).otherwise(ts)
+    listing = F.when((F.dayofmonth(ts) % 3 == 0) & (F.col("event_id") % 2 == 0), (F.col("event_id") * 7919) % 10007)
+    return e.select("user_id", "event_id", at.alias("published_at"), listing.alias("listing"), F.col("event_id").alias("prior"))
+
+
+def cat_order_items(spark, sf_dir):
+    return K.ordered_items(_items(spark, sf_dir), ["user_id"]).select("user_id", "event_id", F.col("place").cast("int").alias("place"))
+
+
+def cat_order_items_exact(spark, sf_dir):
+    return K.ordered_items_exact(_items(spark, sf_dir), ["user_id"]).select("user_id", "event_id", "place")
+
+
+def cat_fits_retention(spark, sf_dir):
+    e = _episodes(spark, sf_dir).select("channel", "video_id", "published_at")
+    new = e.where("video_id % 5 = 0")
+    return K.fits_retention(new, e.where("video_id % 5 <> 0"), ["channel"], 4, _newest(), "video_id")
+
+
+def cat_upsert(spark, sf_dir):
+    e = _episodes(spark, sf_dir).select("channel", F.col("published_at").alias("version"), F.col("video_id").alias("value"))
+    order = [F.desc("version"), F.desc("value")]
+    current = K.latest(e.where("value % 2 = 0"), ["channel"], 1, order).drop("rank")
+    changes = K.latest(e.where("value % 2 = 1"), ["channel"], 1, order).drop("rank")
+    return K.upsert(current, changes, ["channel"], "version").select("channel", "value")
+
+
+def cat_plan_estimate(spark, sf_dir):
+    e = _episodes(spark, sf_dir).withColumns({"seconds": F.when(F.col("video_id") % 7 == 0, 0.0).otherwise(F.col("price") / 100), "tokens": (F.col("video_id") % 1000).cast("double")})
+    channels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"))
+    return rounded(K.plan_estimate(e, channels, ["channel"]), "todo_seconds", "tokens_low", "tokens_high", digits=2)
+
+
+def cat_status_counts(spark, sf_dir):
+    e = _episodes(spark, sf_dir).withColumns({"removing": F.col("priority") == "1-URGENT", "failed": F.col("bytes") % 11 == 0})
+    return K.status_counts(e, ["channel"])
+
+
+def cat_latest_state(spark, sf_dir):
+    e = _episodes(spark, sf_dir)
+    return K.latest_state(e.select("channel", "video_id", "stage"), ["channel"], "video_id").select("channel", "video_id", "stage", "has_published")
+
+
+def _calls(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 50).alias("channel"), F.col("l_orderkey").alias("attempt"), F.col("l_quantity").cast("long").alias("input"), F.col("l_linenumber").cast("long").alias("output"),
+        F.col("l_returnflag").alias("rate"), (F.col("l_linestatus") == "O").alias("missing_usage"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).alias("reported_cost"),
+    )
+
+
+def _rates(spark):
+    return spark.createDataFrame([("A", 42000.0, 0.0), ("R", 150000.0, 600000.0)], "rate string, input_price double, output_price double")
+
+
+def usage_observe(spark, sf_dir):
+    return rounded(U.observe(_calls(spark, sf_dir), _rates(spark), ["channel"]), "cost", digits=3)
+
+
+def usage_interval(spark, sf_dir):
+    c = _calls(spark, sf_dir)
+    now, then = U.observe(c, _rates(spark), ["channel"]), U.observe(c.where("attempt % 4 = 1 or channel < 10"), _rates(spark), ["channel"])
+    return rounded(U.interval(now, then, ["channel"]), "cost", digits=3)
+
+
+def usage_rollup(spark, sf_dir):
+    return rounded(U.rollup(U.observe(_calls(spark, sf_dir), _rates(spark), ["channel"]), ["channel", "rate"]), "cost", digits=2)
+
+
+def usage_deltas(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    c = _calls(spark, sf_dir).groupBy("channel", "attempt").agg(F.sum("input").alias("input"), F.sum("output").alias("output"))
+    w = Window.partitionBy("channel").orderBy("attempt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = c.select("channel", "attempt", F.sum("input").over(w).alias("input"), F.sum("output").over(w).alias("output"))
+    return U.deltas(totals, ["channel"], "attempt", ["input", "output"])
+
+
+def _chapter_inputs(spark, sf_dir):
+    """Turns of a conversation as chapters; every third turn's middle is cut."""
+    c = cues(spark, sf_dir)
+    chapters = c.select("conv_id", "seq", F.round("start", 3).alias("start"), F.lit(None).cast("double").alias("end"), F.concat(F.lit("turn "), F.col("seq")).alias("title"))
+    eps = c.groupBy("conv_id").agg(F.round(F.max("end"), 3).alias("source_duration"))
+    from ..operators.intervals import keep_ranges
+
+    cuts = c.where("seq % 3 = 1").select("conv_id", F.round(F.col("start") + 2, 3).alias("start"), F.round(F.col("end") + 3, 3).alias("end"))
+    keeps = keep_ranges(cuts, eps.withColumnRenamed("source_duration", "duration"), ["conv_id"], 1.0)
+    return chapters, keeps, eps.withColumn("duration", F.col("source_duration"))
+
+
+def chap_timeline(spark, sf_dir):
+    _, keeps, _ = _chapter_inputs(spark, sf_dir)
+    return rounded(H.timeline(keeps, ["conv_id"], 0.05).select("conv_id", F.col("n").cast("int").alias("n"), "start", "end", "offset"), "start", "end", "offset", digits=3)
+
+
+def chap_derive(spark, sf_dir):
+    chapters, keeps, eps = _chapter_inputs(spark, sf_dir)
+    return rounded(H.derive(chapters, keeps, eps, ["conv_id"]), "start", digits=3)
+
+
+def ev_replay_join(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    key = V.key(F.lit("ask"), F.col("user_id").cast("string"), F.array(F.col("event_type"), F.lit("q")))
+    asked = e.where("event_id % 3 <> 0").select("event_id", key.alias("key"))
+    recorded = e.where("event_id % 3 = 0").select("event_id", key.alias("key"), F.col("value").alias("answer"))
+    return V.replayed(asked, recorded, ["key"], "event_id", "answer")
+
+
+def ev_same_decisions(spark, sf_dir):
+    a = segments(spark, sf_dir).select("user_id", "rule", F.round("start", 3).alias("start"))
+    b = a.where("rule <> 'error' or user_id % 2 = 0")
+    return V.differing(a, b, ["rule", "start"], ["user_id"])
+
+
+def ev_incomplete(spark, sf_dir):
+    return V.incomplete(ev_replay_join(spark, sf_dir), ["key"])
+
+
+def fit_logistic(spark, sf_dir):
+    """Toxic labels from plain text features: the fitted probability of each labelled document."""
+    d = table(spark, sf_dir, "documents")
+    f = d.select("doc_id", (F.length("text") / 10000).alias("f_len"), (F.size(F.split("text", r"\s+")) / 1000).alias("f_words"), F.contains(F.lower("text"), F.lit("idiot")).cast("double").alias("f_a"), F.contains(F.lower("text"), F.lit("trash")).cast("double").alias("f_b"))
+    rows = f.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    names = ["f_a", "f_b", "f_len", "f_words"]
+    return rounded(fitting.predicted(fitting.fit(rows, names, "toxic", 1.0, 3.0), rows, names).select("doc_id", "toxic", "p"), "p", digits=4)
+
+
+def detect_plan(spark, sf_dir):
+    """Cuts of the offline detection plan over scored windows: strong runs, bridged, and weak leads, padded and fused."""
+    return rounded(detect.cuts(scored(spark, sf_dir), segments(spark, sf_dir).select("user_id").distinct().withColumn("duration", F.lit(30 * 86400.0)), ["user_id"], detect.EVENTS), "start", "end", "confidence")
+
+
+def stream_session_neighbour(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return sessions(e, "user_id", "ts", "6 hours").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+def sink_feed(spark, sf_dir):
+    items = K.latest(_episodes(spark, sf_dir), ["channel"], 3, _newest()).select("channel", F.col("rank").alias("place"), F.col("video_id").cast("string").alias("guid"), F.col("priority").alias("title"), "published_at", F.concat(F.lit("https://example.org/a?b&c="), F.col("video_id")).alias("url"), "bytes", (F.col("bytes") / 100).alias("seconds"))
+    feeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), F.col("c_name").alias("title"), F.lit("https://example.org/").alias("link"), F.col("c_mktsegment").alias("description"))
+    return sinks.feed_xml(feeds, items, "channel").select("channel", F.md5("xml").alias("digest"))
+
+
+def sink_changed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = d.where("doc_id % 3 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")), 256).alias("sha256"))
+    return sinks.changed(d, written, "doc_id", "text").select("doc_id", "sha256")
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("cat_", "usage_", "chap_", "ev_", "fit_", "stream_", "sink_", "detect_")) and callable(f)}
+
+_EP = """ep AS (SELECT o_custkey AS channel, o_orderkey AS video_id, o_orderdate AS published_at, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderpriority AS priority, o_totalprice AS price,
+  CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'pending' ELSE 'waiting' END AS stage FROM orders)"""
+_N = "row_number() OVER (PARTITION BY channel ORDER BY published_at DESC, video_id)"
+_ITEMS = """items AS (SELECT user_id, event_id, CASE WHEN day(ts) % 3 = 0 THEN date_trunc('day', ts) ELSE ts END AS p, CASE WHEN day(ts) % 3 = 0 AND event_id % 2 = 0 THEN (event_id * 7919) % 10007 END AS l FROM events),
+d AS (SELECT *, date_trunc('day', p) AS dd, max(CASE WHEN p = date_trunc('day', p) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, date_trunc('day', p)) AS dateless FROM items)"""
+_ORDER = """SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY dd DESC, CASE WHEN dateless = 1 AND l IS NULL THEN 1 ELSE 0 END, CASE WHEN dateless = 1 THEN 0 ELSE -epoch_us(p) END, coalesce(l, 2147483648), event_id) - 1 AS INTEGER) AS place FROM d"""
+_CALLS = """calls AS (SELECT l_orderkey % 50 AS channel, l_orderkey AS attempt, CAST(l_quantity AS BIGINT) AS i, CAST(l_linenumber AS BIGINT) AS o, l_returnflag AS rate, l_linestatus = 'O' AS miss, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END AS rep FROM lineitem),
+prices AS (SELECT * FROM (VALUES ('A', 42000e0, 0e0), ('R', 150000e0, 600000e0)) t(rate, ip, op))"""
+
+
+def _observed(where: str = "TRUE") -> str:
+    return f"""(SELECT channel, rate, count(*) AS calls, CAST(coalesce(sum(i) FILTER (WHERE NOT miss), 0) AS BIGINT) AS input, CAST(coalesce(sum(o) FILTER (WHERE NOT miss), 0) AS BIGINT) AS output, count(*) FILTER (WHERE miss) AS missing,
+count(*) FILTER (WHERE NOT miss AND ip IS NULL) AS unpriced, count(rep) AS reported, coalesce(sum((i * ip + o * op) / 1e6) FILTER (WHERE NOT miss AND ip IS NOT NULL), 0) AS cost FROM calls LEFT JOIN prices USING (rate) WHERE {where} GROUP BY channel, rate)"""
+
+
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in U.COUNTERS[:-1])
+_KEEPS = CUES + """, eps AS (SELECT conv_id, round(max("end"), 3) AS d FROM cues GROUP BY conv_id),
+cut0 AS (SELECT c.conv_id, greatest(0e0, least(round("start" + 2, 3), d)) AS "start", greatest(0e0, least(round("end" + 3, 3), d)) AS "end" FROM cues c JOIN eps USING (conv_id) WHERE seq % 3 = 1),
+cut AS (SELECT * FROM cut0 WHERE "end" - "start" > 0.05),
+cm AS (SELECT *, max("end") OVER (PARTITION BY conv_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cut),
+cg AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM cm),
+mk AS (SELECT conv_id, min("start") AS s, max("end") AS e FROM cg GROUP BY conv_id, g UNION ALL SELECT conv_id, d, d FROM eps),
+kp AS (SELECT conv_id, round(f, 3) AS "start", round(s, 3) AS "end" FROM (SELECT conv_id, s, lag(e, 1, 0e0) OVER (PARTITION BY conv_id ORDER BY s, e) AS f FROM mk) t WHERE s - f >= 1 AND s > f),
+tl AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(sum("end" - "start") OVER (PARTITION BY conv_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (row_number() OVER w - 1) * 0.05e0 AS off FROM kp WINDOW w AS (PARTITION BY conv_id ORDER BY "start"))"""
+_KEY = "sha256(concat_ws(chr(1), 'ask', CAST(user_id AS VARCHAR), array_to_string(list_sort([event_type, 'q']), chr(2))))"
+_REPLAY = f"""ev AS (SELECT event_id, value, {_KEY} AS key FROM events), a AS (SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM ev WHERE event_id % 3 <> 0),
+r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM ev WHERE event_id % 3 = 0), rp AS (SELECT a.key, a.event_id, r.value AS answer, r.key IS NOT NULL AS found FROM a LEFT JOIN r ON r.key = a.key AND r.k = a.k)"""
+
+ORACLES = {
+    "cat_latest_n": f"WITH {_EP} SELECT * FROM (SELECT channel, video_id, CAST({_N} AS INTEGER) AS rank FROM ep) t WHERE rank <= 3",
+    "cat_keep_k": f"""WITH {_EP}, r AS (SELECT *, {_N} AS n, lead(published_at) OVER (PARTITION BY channel ORDER BY published_at DESC, video_id) AS nx FROM ep)
+SELECT channel, video_id, CASE WHEN n <= 5 THEN 'keep' ELSE 'prune' END AS action, coalesce(bool_or(n = 5 AND published_at = nx AND published_at = date_trunc('day', published_at)) OVER (PARTITION BY channel), false) AS ambiguous FROM r""",
+    "cat_order_items": f"WITH {_ITEMS} {_ORDER}",
+    "cat_order_items_exact": f"WITH {_ITEMS} {_ORDER}",
+    "cat_fits_retention": f"""WITH {_EP}, b AS (SELECT *, video_id % 5 = 0 AS new FROM ep), c AS (SELECT *, coalesce(sum(CASE WHEN new THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY published_at DESC, video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM b)
+SELECT channel, video_id, CAST(a AS BIGINT) AS ahead, a < 4 AS fits FROM c WHERE new""",
+    "cat_upsert": f"""WITH {_EP}, l AS (SELECT channel, video_id, published_at, video_id % 2 AS side, row_number() OVER (PARTITION BY channel, video_id % 2 ORDER BY published_at DESC, video_id DESC) AS n FROM ep)
+SELECT channel, video_id AS value FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY published_at DESC, side DESC) AS m FROM l WHERE n = 1) t WHERE m = 1""",
+    "cat_plan_estimate": f"""WITH {_EP}, e AS (SELECT *, CASE WHEN video_id % 7 = 0 THEN 0 ELSE price / 100 END AS s, CAST(video_id % 1000 AS DOUBLE) AS t FROM ep),
+a AS (SELECT channel, count(*) FILTER (WHERE stage = 'pending') AS to_do, count(*) FILTER (WHERE stage = 'pending' AND s <= 0) AS unknown, coalesce(sum(s) FILTER (WHERE stage = 'pending' AND s > 0), 0) AS ts, coalesce(sum(bytes) FILTER (WHERE stage = 'published'), 0) AS sb,
+ count(*) FILTER (WHERE stage = 'published' AND s > 0 AND t > 0) AS samples, min(t / s) FILTER (WHERE stage = 'published' AND s > 0 AND t > 0) AS lo, max(t / s) FILTER (WHERE stage = 'published' AND s > 0 AND t > 0) AS hi FROM e GROUP BY channel)
+SELECT c_custkey AS channel, coalesce(to_do, 0) AS to_do, coalesce(unknown, 0) AS unknown, CAST(coalesce(sb, 0) AS BIGINT) AS stored_bytes, coalesce(samples, 0) AS samples, round(coalesce(ts, 0), 2) AS todo_seconds, round(lo * 0.5 * ts, 2) AS tokens_low, round(hi * 2 * ts, 2) AS tokens_high FROM customer LEFT JOIN a ON a.channel = c_custkey""",
+    "cat_status_counts": f"""WITH {_EP} SELECT channel, count(*) FILTER (WHERE stage = 'published') AS published, count(*) FILTER (WHERE stage = 'rendered') AS rendered, count(*) FILTER (WHERE stage = 'waiting') AS waiting, count(*) FILTER (WHERE stage = 'pending') AS pending,
+count(*) FILTER (WHERE priority = '1-URGENT') AS removing, count(*) FILTER (WHERE bytes % 11 = 0) AS failed FROM ep GROUP BY channel""",
+    "cat_latest_state": f"WITH {_EP} SELECT channel, max(video_id) AS video_id, arg_max(stage, video_id) AS stage, bool_or(stage = 'published') AS has_published FROM ep GROUP BY channel",
+    "usage_observe": f"WITH {_CALLS} SELECT channel, rate, calls, input, output, missing, unpriced, reported, round(cost, 3) AS cost FROM {_observed()} t",
+    "usage_interval": f"""WITH {_CALLS}, n AS {_observed()}, o AS {_observed("attempt % 4 = 1 OR channel < 10")}, b AS (SELECT *, 1 AS s FROM n UNION ALL SELECT *, -1 FROM o)
+SELECT channel, rate, {", ".join(f"CAST(sum(s * {c}) AS BIGINT) AS {c}" for c in U.COUNTERS[:-1])}, round(sum(s * cost), 3) AS cost FROM b GROUP BY channel, rate HAVING sum(s * calls) <> 0""",
+    "usage_rollup": f"WITH {_CALLS}, n AS {_observed()} SELECT channel, rate, {_SUMS}, round(sum(cost), 2) AS cost, CAST(grouping(channel) * 2 + grouping(rate) AS INTEGER) AS level FROM n GROUP BY ROLLUP (channel, rate)",
+    "usage_deltas": f"WITH {_CALLS} SELECT channel, attempt, CAST(sum(i) AS BIGINT) AS input, CAST(sum(o) AS BIGINT) AS output FROM calls GROUP BY channel, attempt",
+    "chap_timeline": f'WITH {_KEEPS} SELECT conv_id, CAST(n AS INTEGER) AS n, round("start", 3) AS "start", round("end", 3) AS "end", round(off, 3) AS "offset" FROM tl',
+    "chap_derive": f"""WITH {_KEEPS}, ch AS (SELECT conv_id, seq, round("start", 3) AS s, 'turn ' || seq AS title FROM cues),
+c2 AS (SELECT ch.*, d, least(d, coalesce((SELECT min(x.s) FROM ch x WHERE x.conv_id = ch.conv_id AND x.s > ch.s), d)) AS e FROM ch JOIN eps USING (conv_id) WHERE s < d),
+m AS (SELECT c2.conv_id, c2.seq, c2.s, title, d, arg_min(round(greatest(0, off + greatest(t."start", c2.s) - t."start"), 3), t.n) AS at_ FROM c2 JOIN tl t ON t.conv_id = c2.conv_id AND greatest(t."start", c2.s) < least(t."end", c2.e) GROUP BY ALL)
+SELECT conv_id, at_ AS "start", title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, at_ ORDER BY s, seq) AS k FROM m WHERE at_ < d) t WHERE k = 1""",
+    "ev_replay_join": f"WITH {_REPLAY} SELECT key, event_id, answer, found FROM rp",
+    "ev_incomplete": f"WITH {_REPLAY} SELECT key, count(*) FILTER (WHERE NOT found) AS unanswered FROM rp GROUP BY key HAVING count(*) FILTER (WHERE NOT found) > 0",
+    "ev_same_decisions": f"WITH {SCORED} SELECT user_id, count(*) AS only_left, CAST(0 AS BIGINT) AS only_right FROM seg WHERE rule = 'error' AND user_id % 2 = 1 GROUP BY user_id",
+    "stream_session_neighbour": """WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM g GROUP BY user_id, g""",
+    "sink_feed": f"""WITH {_EP}, t AS (SELECT *, {_N} AS n FROM ep), x AS (SELECT channel, string_agg('<item><title>' || priority || '</title><guid>' || video_id || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://example.org/a?b&amp;c=' || video_id || '" length="' || bytes || '" type="audio/mp4"/><itunes:duration>' ||
+ format('{{:d}}:{{:02d}}:{{:02d}}', CAST(floor(bytes / 100) AS BIGINT) // 3600, CAST(floor(bytes / 100) AS BIGINT) % 3600 // 60, CAST(floor(bytes / 100) AS BIGINT) % 60) || '</itunes:duration></item>', chr(10) ORDER BY n) AS items FROM t WHERE n <= 3 GROUP BY channel)
+SELECT c_custkey AS channel, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>' || c_name || '</title><link>https://example.org/</link><description>' || c_mktsegment || '</description>' || coalesce(items, '') || '</channel></rss>') AS digest FROM customer LEFT JOIN x ON x.channel = c_custkey""",
+    "sink_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
+}
