@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import bounded_broadcast, each_batch, settle, small_batches
+from .shared import bounded_broadcast, each_batch, free_name, settle, small_batches
 
 #: Fixed masks: 1 reads the word, 0 ignores it.  Each reads 8 words.
 MASKS = ("11111111", "1110110111", "11011010111", "110100110111")
@@ -189,5 +189,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that overlap no item, columns as they were; documents without an id stay."""
-    bad = contaminations(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+    bad = free_name(docs, "_bad")
+    found = contaminations(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias(bad)).distinct()
+    return docs.join(found, docs[id_col].cast("long") == found[bad], "left_anti")

@@ -161,13 +161,13 @@ def phrases(codes: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarr
         symbol = codes[begin[:live] + k].astype(np.int64)
         now = model.steps[state[:, :live] * width + symbol]
         over = now == 0
+        # a phrase begins where none is open and where the open one can't go on
+        found[:, :live] += over | (state[:, :live] == model.roots[:, None])
         if over.any():
-            # the symbol opens a new phrase, alone if the language has never seen it
-            found[:, :live] += over
+            # a symbol that the language has never seen is a phrase alone
             fresh = root_steps[:, symbol]
             now = np.where(over, np.where(fresh > 0, fresh, model.roots[:, None]), now)
         state[:, :live] = now
-    found += 1
     for language in range(n_languages):
         total[language] = np.bincount(text, weights=found[language], minlength=len(size)).astype(np.int64)
     return total, letters

@@ -44,6 +44,8 @@ CATEGORIES = (
 TRAIN_ROWS = 3000
 CELL_BITS = 20
 FEATURES = 1024
+#: Standard errors by which a feature's shares in the classes must differ to be kept.
+SIGNIFICANT = 3.5
 HEADS = (4, 6)
 FOLDS = 5
 FLAG_AT = 0.3
@@ -125,8 +127,8 @@ def learn(toxic: np.ndarray, fold: np.ndarray, marks: np.ndarray, cells: list[np
     b = np.bincount(flat[~toxic[rows]], minlength=1 << CELL_BITS)
     pa_, pb = (a + 0.5) / (toxic.sum() + 1), (b + 0.5) / ((~toxic).sum() + 1)
     p = (a + b + 1) / (m + 2)
-    gap = np.abs(pa_ - pb) / np.sqrt(p * (1 - p) + 1e-12)
-    gap[a + b < 3] = 0
+    gap = np.abs(pa_ - pb) / np.sqrt((p * (1 - p) + 1e-12) * (1 / toxic.sum() + 1 / (~toxic).sum()))
+    gap[(a + b < 3) | (gap < SIGNIFICANT)] = 0
     best = np.argsort(-gap, kind="stable")[:FEATURES]
     best = best[gap[best] > 0]
     table = np.full(1 << CELL_BITS, -1, dtype=np.int32)
