@@ -10,6 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import curves as C
 from ..operators import intervals as I
 from ..operators import runs as R
 from ..options import DEFAULTS, Options
@@ -36,3 +37,49 @@ def cuts(scored: DataFrame, episodes: DataFrame, keys: I.Keys, options: Options
     source = F.when(F.col("localized"), "localized").otherwise("scan")
     named = I.clamp(kept.withColumns({"source": source, "confidence": F.col("prob")}), "duration")
     return I.merge(named.select(*keys, "start", "end", "rule", "source", "confidence"), keys, options.merge_gap)
+
+
+def bound_ends(anchors_df: DataFrame, points: DataFrame, keys: I.Keys, options: Options = DEFAULTS, conservative: bool = True) -> DataFrame:
+    """Ends of anchors (keys, start, end, localized) from their end curves (keys, idx, p_start, p_end, p, ad or null).
+
+    The keys name one anchor.  Result: keys, new_end, reason.
+
+    The fitted step is where the programme comes back; without any return the read runs to the last point.  An ambiguous curve
+    starts from the first point inside the anchor that is scored as an ad; failing that, a wholly low-scored tail inside the
+    anchor is kept (if `conservative`, and if a cut long enough remains), else the anchor's end counts.  Then the end moves on
+    past points still scored as ads.  Localized anchors and curves of fewer than two points keep their end.
+    """
+    curve = C.gathered(points, keys, "p_start", "p_end", "ad")
+    fit = C.fit_end(curve, keys, options.end_first, options.end_step, options.end_never)
+    x = anchors_df.join(curve, keys, "left").join(fit, keys, "left").withColumn("n", F.size("ys"))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    start_of = lambda i: F.get("p_start", i)
+    ad_of = lambda i: F.get("ad", i)
+    inside = F.filter(places, lambda i: (start_of(i) >= F.col("start")) & (start_of(i) < F.col("end")))
+    has_ads = F.exists("ad", lambda a: a.isNotNull())
+    x = x.withColumns(
+        {
+            "_inside": inside,
+            "_seed": F.array_min(F.filter(inside, lambda i: ad_of(i) >= options.extend_while)),
+            "_after": F.coalesce(F.array_min(F.filter(places, lambda i: start_of(i) >= F.col("end"))), F.col("n")),
+        }
+    )
+    tail = F.array_min("_inside")
+    low = F.size("_inside") > 0
+    quiet = ~F.exists("_inside", lambda i: ad_of(i) > 1 - options.extend_while)
+    keeps_tail = F.lit(conservative) & F.lit(0.5 < options.extend_while <= 1) & has_ads & low & quiet & (start_of(tail) - F.col("start") >= options.min_region)
+    base = (
+        F.when(F.col("state") == "never", F.col("n"))
+        .when(F.col("state") != "ambiguous", F.col("end_idx"))
+        .when(F.col("_seed").isNotNull(), F.col("_seed"))
+        .when(keeps_tail, tail)
+        .otherwise(F.col("_after"))
+    )
+    reason = F.when((F.col("state") == "ambiguous") & F.col("_seed").isNull() & keeps_tail, "low tail kept").otherwise(F.col("state"))
+    x = x.withColumns({"_base": base, "_why": reason})
+    walked = F.when(has_ads, C.end_walk(F.col("ad"), F.col("_base"), options.extend_while)).otherwise(F.col("_base"))
+    x = x.withColumn("_at", walked)
+    found = F.when(F.col("_at") >= F.col("n"), F.greatest(F.element_at("p_end", -1), F.col("end"))).otherwise(start_of(F.col("_at")))
+    kept = F.col("localized") | F.col("n").isNull() | (F.col("n") < 2)
+    why = F.when(F.col("localized"), "localized run").when(kept, "no curve").when(F.col("_at") > F.col("_base"), F.concat("_why", F.lit(", extended"))).otherwise(F.col("_why"))
+    return x.select(*keys, F.when(kept, F.col("end")).otherwise(found).alias("new_end"), why.alias("reason"))
