@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Length of an episode of the events table: 30 days.
 DURATION = 30 * 86400.0
 THRESHOLD = 0.35
@@ -12,6 +14,7 @@ GAP = 21600.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
