@@ -163,7 +163,8 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     inner = Window.partitionBy("_source", "chunk").orderBy("h", "_id", "_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hashed.withColumn("upto", F.sum("size").over(inner)).join(ahead, ["_source", "chunk"])
     placed = placed.select("_source", "_id", "_hash", "size", (F.col("ahead") + F.col("upto") - F.col("size")).alias("first"))
-    return Mixture(settle(placed), slots, sources, block)
+    # slots are made from a short list, which Spark would take for small: settled, they have their size
+    return Mixture(settle(placed), settle(slots), sources, block)
 
 
 def _cut(docs: DataFrame, b: int) -> DataFrame:
@@ -177,7 +178,7 @@ def _cut(docs: DataFrame, b: int) -> DataFrame:
 def pieces(mixture: Mixture) -> DataFrame:
     """The mixture itself: each slot's parts of documents, with _source, shard, slot, pass, block, _id, _hash,
     first, size, start and stop."""
-    return _cut(mixture.docs, mixture.block).join(mixture.slots, ["_source", "block"])
+    return _cut(mixture.docs, mixture.block).join(mixture.slots.hint("merge"), ["_source", "block"])
 
 
 def mixture_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -187,7 +188,7 @@ def mixture_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     times = mixture.slots.groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
         _cut(mixture.docs, mixture.block)
-        .join(times, ["_source", "block"])
+        .join(times.hint("merge"), ["_source", "block"])
         .groupBy("_source", "first")
         .agg(F.sum((F.col("stop") - F.col("start")) * F.col("times")).alias("taken"))
         .withColumn("some", F.lit(True))
@@ -206,7 +207,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbered = mixture.docs.withColumn("n", F.row_number().over(Window.partitionBy("_source", "_id", "_hash").orderBy("first")))
     spans = (
         _cut(numbered, mixture.block)
-        .join(mixture.slots, ["_source", "block"])
+        .join(mixture.slots.hint("merge"), ["_source", "block"])
         .groupBy("_source", "_id", "_hash", "n", "size", "pass")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("words"))
         .select(*[F.col(c).alias(f"_mix{c}") for c in ("_source", "_id", "_hash", "n", "size", "spans", "words")])
@@ -215,7 +216,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = keyed.withColumn("_key_n", F.row_number().over(Window.partitionBy("_key_source", id_col, "_key_hash").orderBy("_key_hash")))
     match = (F.col("_key_source") == F.col("_mix_source")) & F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_key_hash") == F.col("_mix_hash")) & (F.col("_key_n") == F.col("_mixn"))
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    chosen = F.array_join(F.flatten(F.transform("_mixspans", lambda s: F.slice(words, s["start"] + 1, s["stop"] - s["start"]))), " ")
+    # the words are split once, as the argument of an outer transform, and not for each span
+    cut = lambda w: F.array_join(F.flatten(F.transform("_mixspans", lambda s: F.slice(w, s["start"] + 1, s["stop"] - s["start"]))), " ")
+    chosen = F.get(F.transform(F.array(words), cut), 0)
     out = keyed.join(spans, match).withColumn(text_col, F.when(F.col("_mixwords") == F.col("_mixsize"), F.col(text_col)).otherwise(chosen))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
