@@ -84,6 +84,8 @@ def test_phrases_are_greedy_longest_matches():
             # letters that the language has never seen are phrases of their own
             assert counts[number][t] == want
     assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
+    found, score = language_id.classify(["\U0001f600 12", "\U00020000", "", "\u00e9"], model)
+    assert found.tolist()[0] == -1 and found.tolist()[1] >= 0 and found.tolist()[2] == -1 and score[0] == 0
 
 
 def test_language_of_awkward_rows(spark):

@@ -88,9 +88,15 @@ def _letters() -> np.ndarray:
 
 
 def _points(texts: list[str]) -> np.ndarray:
-    """Code points of the lower-cased texts, a zero after each; those over 0xFFFF are folded into it."""
+    """Code points of the lower-cased texts, a zero after each; those over 0xFFFF are folded into that range."""
     points = np.frombuffer("".join(t.lower().replace("\0", " ") + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(points > 0xFFFF, 0x4E00 + (points & 0xFFF), points)
+    far = points > 0xFFFF
+    if far.any():
+        # letters beyond the table share its ideographs, all else is a blank
+        kinds, at = np.unique(points[far], return_inverse=True)
+        points = points.copy()
+        points[far] = np.array([0x4E00 + (c & 0xFFF) if chr(c).isalpha() else 0x20 for c in kinds.tolist()], dtype=np.uint32)[at]
+    return points
 
 
 def _read(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of texts in one Arrow batch; a batch of ordinary documents is then a few megabytes.
 TEXT_BATCH = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,7 +56,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so Arrow batches are bounded by rows too."""
+    """Texts are long, so Arrow batches are bounded by rows too.  The package goes to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
 
 
