@@ -13,7 +13,7 @@ from tidemark.llm.decontamination import without_contaminated
 from tidemark.llm.language_id import UNDETERMINED, identify_languages
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.near_duplicates import near_duplicate_classes
-from tidemark.llm.shared import free_name, settle, table
+from tidemark.llm.shared import discard, free_name, settle, table
 from tidemark.llm.sharding import with_shards
 
 
@@ -66,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = settle(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
