@@ -310,6 +310,28 @@ def test_samples_collide_as_often_as_texts_are_similar():
     assert abs(np.mean(keys[0] == keys[1]) - n / (n + 200)) < 0.05
 
 
+def test_bound_is_no_less_than_the_similarity():
+    import pyarrow as pa
+
+    rng = np.random.RandomState(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(30):
+        base = rng.choice(vocabulary, rng.randint(1, 300)).tolist()
+        texts.append(" ".join(base))
+        texts.append(" ".join(w if rng.rand() > 0.03 else "edit" for w in base))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["_id", "text"])
+    (out,) = near_duplicates._weighted(batch, near_duplicates.idf_table(np.ones(near_duplicates.CELLS, dtype=np.int64), 60))
+    packed, sums = out.column("packed").to_pylist(), out.column("sums").to_pylist()
+    close = 0
+    for i in range(60):
+        for j in range(60):
+            exact, bound = near_duplicates.weighted_jaccard(packed[i], packed[j]), near_duplicates.greatest_similarity(sums[i], sums[j])
+            assert bound >= exact - 1e-9
+            close += exact > 0.5
+    assert close > 60
+
+
 def test_connected_components(spark):
     rng = np.random.RandomState(3)
     chain = [(i, i + 1) for i in range(0, 40)]
