@@ -45,7 +45,7 @@ class Config:
     rules: tuple[Rule, ...] = ()
     channels: tuple[Channel, ...] = ()
     bitrate_kbps: int = 128
-    jev: dict = field(default_factory=dict)
+    other: dict = field(default_factory=dict)  #: all tables but these, as they are
 
 
 def selection_limit(channel: Channel, default: int = 10) -> int:
@@ -75,7 +75,7 @@ def parse(text: str) -> Config:
             raise ValueError(f"{where}: latest and watch_limit exclude each other")
         known = {k: v for k, v in c.items() if k in Channel.__dataclass_fields__}
         channels.append(Channel(**known | {"name": c.get("name", ""), "slug": c.get("slug", ""), "rules": tuple(c.get("rules", ()))}))
-    config = Config(rules, tuple(channels), int(raw.get("audio", {}).get("bitrate_kbps", 128)), raw.get("jev", {}))
+    config = Config(rules, tuple(channels), int(raw.get("audio", {}).get("bitrate_kbps", 128)), {k: v for k, v in raw.items() if k not in ("rules", "channels", "audio")})
     if problem := next(_problems(config), None):
         raise ValueError(problem)
     return config
