@@ -454,7 +454,7 @@ def test_toxicity_chain(spark):
 
 # ---- 2: personal data
 
-VALUES = ["4041894974608795", "4041-8949-7460-8795", "+1 (386) 555-3733", "386-555-3733", "42.144.35.254", "123-45-6789", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "2021-02-28", "28/02/2021", "12.31.1999", "bosbt.42@mail8.example.com", "+13865553733"]
+VALUES = ["4041894974608795", "4041-8949-7460-8795", "+1 (386) 555-3733", "386-555-3733", "42.144.35.254", "123-45-6789", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "2021-02-28", "28/02/2021", "12.31.1999", "bosbt.42@mail8.example.com", "+13865553733", "+1 (319) 555-5132"]
 INVALID = ["4041894974608796", "999.1.2.3", "000-45-6789", "2021-02-30", "DE88 3704 0044 0532 0130 00", "1234", "123-555-1234"]
 
 
@@ -476,6 +476,11 @@ def test_what_is_not_valid_stays(value):
     assert pii.pseudonymise(f"see {value} here")[0] == f"see {value} here"
 
 
+def test_neighbours_do_not_hide_each_other():
+    new, found = pii.pseudonymise("4451718024887799 27.65.93.188, 2021-02-28 386-555-3733")
+    assert [f[0] for f in found] == ["card", "ipv4", "date", "phone"]
+
+
 def test_equal_values_are_linked_whatever_their_layout():
     digits = lambda t: re.sub(r"\D", "", t)
     a, b = pii.pseudonymise("4041894974608795")[0], pii.pseudonymise("4041-8949-7460-8795")[0]

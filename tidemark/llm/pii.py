@@ -37,7 +37,7 @@ _SHAPE = re.compile(
     r"|(?P<date>(?<![\d/.-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|\+1\d{10}(?!\d))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,4}(?:(?P=sep)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
 )
 #: What must be in a text for any shape to be there.
 _HINT = re.compile(r"[0-9@]")
@@ -105,7 +105,7 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone_valid(v: int) -> bool:
-    return v // 10**9 >= 2 and v // 10**6 % 1000 >= 200
+    return v // 10**7 >= 200 and v // 10**4 % 1000 >= 200
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
