@@ -19,6 +19,7 @@ target 0.  Rows that are equal in all columns used share their fate up to their
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, REPEATS = 1.5, 2
 BLOCK = 64
 SHARDS = 64
-#: Documents that share a chunk of the order, on average.
-CHUNK_DOCS = 4096
+#: Documents that share a chunk of the order, on average; over many documents the root of their number, so that
+#: neither a chunk nor the list of chunks grows as they do.
+CHUNK_DOCS = 512
 FEISTEL_ROUNDS = 6
 
 
@@ -155,7 +157,8 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
     )
     # places: prefix sums over chunks, then within each chunk
-    chunks = max(1, sum(r["docs"] for r in order) // CHUNK_DOCS)
+    n_docs = sum(r["docs"] for r in order)
+    chunks = max(1, n_docs // max(CHUNK_DOCS, math.isqrt(n_docs)))
     by = F.xxhash64(F.col("_id").cast("string"), F.col("_hash"), F.lit(seed))
     hashed = rows.withColumn("h", by).withColumn("chunk", F.pmod(F.col("h"), F.lit(chunks)))
     totals = hashed.groupBy("_source", "chunk").agg(F.sum("size").alias("n"))

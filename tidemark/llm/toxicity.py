@@ -85,7 +85,7 @@ def _cells_of(batch: pa.RecordBatch):
             has[words.doc_of_word()[np.isin(words.hashes, wanted)]] = True
             marks.append(has)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) * words.docs + 1, len(marks), dtype=np.int32)), pa.array(np.array(marks).T.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic").take(rows), batch.column("h").take(rows), pa.ListArray.from_arrays(pa.array(cut), pa.array(cell)), lists], names=["toxic", "h", "cells", "marks"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic").take(rows), batch.column("h").take(rows), pa.ListArray.from_arrays(pa.array(cut), pa.array(cell.astype(np.int32))), lists], names=["toxic", "h", "cells", "marks"])
 
 
 def _term_hashes(terms) -> np.ndarray:
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.where("toxic = 1").orderBy(order).limit(TRAIN_ROWS).unionByName(known.where("toxic = 0").orderBy(order).limit(TRAIN_ROWS))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_label_id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(chosen), "_label_id").select("toxic", F.xxhash64("text").alias("h"), "text")
-    got = each_batch(_cells_of, "toxic int, h long, cells array<long>, marks array<boolean>", rows).toPandas().sort_values(["h", "toxic"]).reset_index(drop=True)
+    got = each_batch(_cells_of, "toxic int, h long, cells array<int>, marks array<boolean>", rows).toPandas().sort_values(["h", "toxic"]).reset_index(drop=True)
     if got.empty:
         return None
     total = sum(shares.values())
