@@ -6,8 +6,8 @@ Vectors are lifted so that larger inner products are smaller distances: a candid
 batch; the largest |d(q, p) - d(x, p)| over the pivots p is a lower bound of d(q, x).  Candidates
 are evaluated in order of their bounds until the bound passes the k-th best distance: the rest
 can't be among the k best.  The k-th best starts at a score that k rows of a sample reach, so each
-task reports few rows.  Bounds are loosened by a relative 1e-9, which covers the rounding of
-distances; scores are integers and exact.
+task reports few rows.  Bounds are loosened by more than the rounding of the distances; scores are
+integers and exact.
 
 Queries travel in blocks of QUERY_BLOCK vectors, a proven bound, and each block meets all
 candidates, a batch at a time.  Partial lists are merged by rank.
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 QUERY_BLOCK = 4096
-PIVOTS = 16
+PIVOTS = 8
 #: Rows of the sample that pivots and first thresholds come from.
 SAMPLE = 2048
-STEP = 256
+STEP = 512
 
 
 def scaled(vector: Column, factor: float = 64.0) -> Column:
@@ -59,23 +59,28 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, pivots: np.ndarray, largest: float, k: int):
     """For each query: ids and scores of its k best in the batch that reach `least`, a score that k rows are known to reach."""
     lifted = np.concatenate([x, np.sqrt(np.maximum(largest - (x**2).sum(axis=1), 0))[:, None]], axis=1)
-    to_pivots = _distances(lifted, pivots)
+    to_pivots = np.ascontiguousarray(_distances(lifted, pivots).T, dtype=np.float32)
     own = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-    from_query = _distances(own, pivots)
+    from_query = _distances(own, pivots).astype(np.float32)
     lengths = (q**2).sum(axis=1)
+    # distances are kept in single precision: bounds give way by more than its rounding
+    slack = 1e-6 * (float(np.sqrt(largest)) * 2 + float(np.sqrt(lengths.max(initial=0))) + 1)
+
+    def reach(i: int, score: float) -> float:
+        # d^2 = |q|^2 + M - 2 score: a bound above this distance can't reach the score
+        return float(np.sqrt(max(0.0, lengths[i] + largest - 2 * score))) * (1 + 1e-9) + slack
+
     for i in range(len(q)):
-        bound = np.abs(to_pivots - from_query[i]).max(axis=1) * (1 - 1e-9)
+        bound = np.abs(to_pivots - from_query[i][:, None]).max(axis=0)
         floor_score = least[i]
-        # d^2 = |q|^2 + M - 2 score: a bound above this distance can't reach the score
-        limit = np.sqrt(max(0.0, lengths[i] + largest - 2 * floor_score)) * (1 + 1e-9) + 1e-6
-        open_ = np.flatnonzero(bound <= limit)
-        open_ = open_[np.argsort(bound[open_], kind="stable")]
+        limit = reach(i, floor_score)
         best_ids, best_scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for at in range(0, len(open_), STEP):
-            if bound[open_[at]] > limit:
-                break
-            rows = open_[at : at + STEP]
-            scores = x[rows] @ q[i]
+        # the candidates with the smallest bounds first, STEP of them, then four times as many each time
+        size, done = STEP, -1.0
+        while done <= limit:
+            upto = float(np.partition(bound, size)[size]) if size < len(bound) else np.inf
+            rows = np.flatnonzero((bound > done) & (bound <= min(upto, limit)))
+            scores = x[rows] @ q[i] if 3 * len(rows) < len(x) else (x @ q[i])[rows]
             keep = (scores >= floor_score) & (ids[rows] != query_ids[i])
             best_ids, best_scores = np.append(best_ids, ids[rows][keep]), np.append(best_scores, scores[keep])
             if len(best_ids) > k:
@@ -83,7 +88,10 @@ def search_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
                 best_ids, best_scores = best_ids[order], best_scores[order]
             if len(best_ids) == k:
                 floor_score = max(floor_score, best_scores.min())
-                limit = np.sqrt(max(0.0, lengths[i] + largest - 2 * floor_score)) * (1 + 1e-9) + 1e-6
+                limit = reach(i, floor_score)
+            if upto == np.inf:
+                break
+            size, done = 4 * size, upto
         yield i, best_ids, best_scores
 
 
