@@ -215,7 +215,7 @@ def test_license_facts(spark):
         (5, None),
         (6, ""),
         (None, "mit license"),
-        (7, "nothing at all about the license"),
+        (7, "nothing at all released under the other license"),
         (0, "another text"),
     ]
     out = collections.Counter(tuple(r)[:7] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -227,6 +227,7 @@ def test_license_facts(spark):
     assert out[(5, 0, 0, None, None, "", "")] == 1 and out[(6, 0, 0, None, None, "", "")] == 1
     assert out[(None, 2, 1, 0, 0, "mit", "mit")] == 1
     assert out[(0, 2, 0, None, None, "", "")] == 1
+    assert out[(7, 8, 0, None, None, "", "")] == 1
     assert sum(out.values()) == len(rows)
 
 

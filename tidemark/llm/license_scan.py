@@ -52,8 +52,9 @@ TEMPLATES = (
 )
 #: Neighbouring diagonals differ by so many words at most.
 BAND = 4
-#: A span is kept if its hits cover this share of the template and are this dense in the text.
-COVERED, DENSE = 0.6, 0.5
+#: A span is kept if its hits cover this share of the template (short ones share phrases with each other, so need
+#: more) and are this dense in the text.
+COVERED, COVERED_SHORT, SHORT_WORDS, DENSE = 0.5, 0.8, 20, 0.5
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -114,7 +115,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return (
         merged.withColumn("covered", under)
         .withColumn("coverage", F.col("covered") / F.col("t_words"))
-        .where((F.col("coverage") >= COVERED) & (F.col("covered") >= DENSE * (F.col("last_word") - F.col("first_word") + 1)))
+        .where((F.col("coverage") >= F.when(F.col("t_words") < SHORT_WORDS, COVERED_SHORT).otherwise(COVERED)) & (F.col("covered") >= DENSE * (F.col("last_word") - F.col("first_word") + 1)))
         .select("_id", "_text", "template", "label", "first_word", "last_word", "coverage")
     )
 
