@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import DEFAULTS
-from .intervals import Keys, blocks, clamp, covered, difference, intersection, total, union
+from .intervals import Keys, blocks, clamp, difference, overlap, total, union
 
 
 def score(labels: DataFrame, cuts: DataFrame, episodes: DataFrame, keys: Keys, worst: float = DEFAULTS.worst_cut) -> DataFrame:
@@ -19,11 +19,15 @@ def score(labels: DataFrame, cuts: DataFrame, episodes: DataFrame, keys: Keys, w
     lost = difference(cut, union(label, keys), keys)
     left = total(difference(union(must, keys), cut, keys), keys, "required_left")
     lost_sums = lost.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("content_lost"), F.max(F.col("end") - F.col("start")).alias("worst"))
-    b = blocks(label, keys).where("required").select(*keys, "start", "end")
-    block = [*keys, "b_start", "b_end"]
-    named = b.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"), "start", "end")
-    inside = intersection(named.select(*block, "start", "end"), cut.join(named.select(*block), keys).select(*block, "start", "end"), block)
-    hit = named.select(*block).join(covered(inside, block), block, "left").select(*block, F.coalesce("covered", F.lit(0.0)).alias("c"))
+    # the cuts are disjoint, so the overlaps of a block add up
+    b = blocks(label, keys).where("required").select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    c = cut.select(*[F.col(k).alias(f"c_{k}") for k in keys], "start", "end")
+    meets = (F.col("end") > F.col("b_start")) & (F.col("start") < F.col("b_end"))
+    for k in keys:
+        meets = meets & (F.col(k) == F.col(f"c_{k}"))
+    both = overlap(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))
+    # a block without a cut has nulls, which least and greatest would pass over
+    hit = b.join(c, meets, "left").groupBy(*keys, "b_start", "b_end").agg(F.sum(F.when(F.col("start").isNull(), 0.0).otherwise(both)).alias("c"))
     full = F.col("b_end") - F.col("b_start") - F.col("c") <= 1e-9
     by_block = hit.groupBy(*keys).agg(F.count_if(F.col("c") <= 0).alias("missed"), F.count_if((F.col("c") > 0) & ~full).alias("partly"), F.count_if((F.col("c") > 0) & full).alias("fully"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
