@@ -280,6 +280,22 @@ def test_classes_are_components_of_similar_texts(spark):
     assert all(got[i] == i for i in lone)
 
 
+def test_twins_inside_a_family_that_shares_boilerplate_meet(spark):
+    rng = np.random.RandomState(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    boilerplate = rng.choice(vocabulary, 294).tolist()
+    rows = []
+    for pair in range(150):
+        own = rng.choice(vocabulary, 18).tolist()
+        rows += [(2 * pair + k, " ".join(boilerplate + own + rng.choice(vocabulary, 18).tolist())) for k in (0, 1)]
+    grams = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    likeness = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    assert min(likeness(2 * p, 2 * p + 1) for p in range(150)) > 0.87 and max(likeness(0, i) for i in range(2, 300)) < 0.81
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [p for p in range(150) if got[2 * p] != got[2 * p + 1]] == []
+    assert len(set(got.values())) == 150
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     out = near_duplicates.near_duplicate_classes(corpora.documents(spark)).collect()
     rows = corpora.rows()

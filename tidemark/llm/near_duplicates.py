@@ -19,8 +19,11 @@ many copies shares buckets with most of them.  The LEADERS most central texts of
 compared with its other members, each text with the COMPARED most central of the leaders that it meets, in
 ROUNDS: with the first, then, as far as they are not of its class yet, with the next.  Classes are the components
 of the links.  A bucket of up to LEADERS + 1 texts is thus compared in full (while its texts meet no
-more than COMPARED leaders); in a larger one two texts that are both unlike the leaders can
-stay apart though they are alike.  Every link used is verified by the exact weighted Jaccard
+more than COMPARED leaders).  In the other buckets that still hold several classes, the members are
+dealt into chunks and each pair of chunks is compared: every pair of texts of different classes, in the first
+bucket that they share.  So two texts that share a bucket and are alike are always of one class.  Members of
+one class are not compared again, and a class that fills a chunk has chunks of its own, which
+don't meet each other.  Every link used is verified by the exact weighted Jaccard
 similarity of the two texts' shingles; before, pairs are dropped whose similarity can't reach the
 threshold, by an upper bound from the weights summed in SUMS cells.
 
@@ -52,6 +55,8 @@ _PAIRS_R, _CUTS_C = 1 << 12, 1 << 18
 _SHINGLE_BITS = 48
 #: Leaders of a bucket, leaders that a text is compared with, and the last rank of each round.
 LEADERS, COMPARED, ROUNDS = 4, 24, (1, 6, 24)
+#: Texts of a chunk, and their packed bytes, on average.
+CHUNK, CHUNK_BYTES = 128, 1 << 22
 #: Cells of a text's weight sums, and their unit; a sum is rounded up, and SUM_LIMIT stands for more.
 SUMS, SUM_UNIT, SUM_LIMIT = 256, 1 / 16, 0xFFFF
 
@@ -248,6 +253,50 @@ def _linked(batch: pa.RecordBatch, threshold: float):
     yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _joined(bucket: int, left: list, right: list | None, threshold: float):
+    """Links that join the classes of two chunks of a bucket (right None: of one chunk) as far as any pair's similarity does."""
+    rows = left + (right or [])
+    sums = np.stack([np.frombuffer(r["sums"], dtype=np.uint16, offset=8) for r in rows])
+    totals = np.array([np.frombuffer(r["sums"], dtype=np.float64, count=1)[0] for r in rows])
+    keys = np.array([r["keys"] for r in rows], dtype=np.int64)
+    root = np.unique(np.array([r["class"] for r in rows], dtype=np.int64), return_inverse=True)[1]
+    for i in range(len(left)):
+        others = np.arange(i + 1 if right is None else len(left), len(rows))
+        others = others[root[others] != root[i]]
+        # a pair is compared in the first bucket that it shares
+        same = keys[others] == keys[i]
+        others = others[keys[others, same.argmax(axis=1)] == bucket] if len(others) else others
+        if not len(others):
+            continue
+        least = np.minimum(sums[others], sums[i])
+        total = totals[others] + totals[i]
+        both = np.minimum(least.sum(axis=1, dtype=np.int64) * SUM_UNIT, total / 2)
+        possible = (both >= (threshold - 1e-9) * (total - both)) | (least == SUM_LIMIT).any(axis=1)
+        for j in others[possible]:
+            if root[i] != root[j] and weighted_jaccard(rows[i]["packed"], rows[j]["packed"]) >= threshold:
+                root[root == root[j]] = root[i]
+                yield rows[i]["node"], rows[j]["node"]
+
+
+def _finished(batches, threshold: float):
+    """Links of pairs of chunks; the rows of each are consecutive."""
+
+    def links(held):
+        left, right = ([r for r in held if r["second"] == x] for x in (False, True))
+        found = list(_joined(held[0]["bucket"], left, None if held[0]["alone"] else right, threshold))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    held = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[c] != held[0][c] for c in ("bucket", "ca", "cb")):
+                yield links(held)
+                held = []
+            held.append(row)
+    if held:
+        yield links(held)
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the links, root the smallest node that it is connected to.
 
@@ -277,6 +326,34 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rest(members: DataFrame, classes: DataFrame, drawn: DataFrame, nodes: DataFrame, weighed: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes in the buckets that the rounds did not compare in full."""
+    capped = drawn.where(F.col("n") > COMPARED).select(F.col("b").alias("node"), F.lit(1).alias("capped"))
+    sizes = weighed.select(F.col("_id").alias("node"), F.length("packed").alias("bytes"))
+    known = classes.select("node", "root").join(capped, "node", "full_outer")
+    placed = settle(
+        members.select("bucket", "node").join(known, "node", "left").join(sizes, "node").select("bucket", "node", F.coalesce("root", "node").alias("class"), F.coalesce("capped", F.lit(0)).alias("capped"), "bytes")
+    )
+    groups = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"), F.max("capped").alias("capped"))
+    unsettled = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("texts").alias("all"), F.max("capped").alias("any_capped"))
+    unsettled = unsettled.where((F.col("classes") > 1) & ((F.col("all") > LEADERS + 1) | (F.col("any_capped") > 0))).select("bucket")
+    # classes that fill a chunk are units of their own, the others of a bucket one unit
+    big = F.col("texts") >= CHUNK
+    groups = settle(groups.join(unsettled, "bucket").select("bucket", "class", "texts", "bytes", F.struct(big.alias("big"), F.when(big, F.col("class")).otherwise(0).alias("of")).alias("unit")))
+    parts = F.ceil(F.greatest(F.sum("texts") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("parts")
+    units = settle(groups.groupBy("bucket", "unit").agg(parts))
+    chunks = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", F.struct("unit", "part").alias("chunk"))
+    other = chunks.select("bucket", F.col("chunk").alias("cb"))
+    pairs = chunks.withColumnRenamed("chunk", "ca").join(other, "bucket").where("ca <= cb and not (ca.unit.big and ca.unit = cb.unit)")
+    ends = pairs.select("bucket", "ca", "cb", (F.col("ca") == F.col("cb")).alias("alone"), F.explode(F.array_distinct(F.array("ca", "cb"))).alias("chunk"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    dealt = placed.join(groups.select("bucket", "class", "unit"), ["bucket", "class"]).join(units, ["bucket", "unit"]).select("bucket", F.struct("unit", part).alias("chunk"), "node", "class")
+    texts = weighed.select(F.col("_id").alias("node"), "packed", "sums").join(nodes.select("node", "keys"), "node")
+    rows = ends.join(dealt, ["bucket", "chunk"]).join(texts, "node").select("bucket", "ca", "cb", "alone", (F.col("chunk") != F.col("ca")).alias("second"), "node", "class", "packed", "sums", "keys")
+    rows = rows.repartition("bucket", "ca", "cb").sortWithinPartitions("bucket", "ca", "cb")
+    return rows.mapInArrow(lambda batches: _finished(batches, threshold), "a long, b long")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(id, class_id): one row for each row of docs; class_id is the smallest id of the class."""
     spark = docs.sparkSession
@@ -316,8 +393,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     leaders = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LEADERS).select("bucket", F.col("node").alias("leader"), F.col("central").alias("c"))
     met = members.select("bucket", "node").join(leaders, "bucket").where("node <> leader").groupBy("node", "leader").agg(F.max("c").alias("c"))
     rank = Window.partitionBy("node").orderBy(F.desc("c"), "leader")
-    drawn = settle(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= COMPARED).select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"))
-    discard(members)
+    drawn = settle(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= COMPARED + 1).select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"))
     done = 0
     links = classes = None
     for last in ROUNDS:
@@ -329,7 +405,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if classes is None or not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             classes = connected(links)
-    discard(weighed, drawn)
+    more = settle(_rest(members, classes, drawn, nodes, weighed, threshold))
+    if not more.isEmpty():
+        classes = connected(links.unionByName(more))
+    discard(members, weighed, drawn)
     by_text = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("digest"))
     # texts without words have no signature: equal ones are one class still
