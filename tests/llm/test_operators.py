@@ -505,6 +505,14 @@ def test_equal_values_are_linked_whatever_their_layout():
     assert digits(pii.pseudonymise("386-555-3733")[0]) == digits(pii.pseudonymise("+1 (386) 555-3733")[0])[1:]
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(123) 155-1234", "1-023-055-1234", "+10175557713", "233.254.104.120", "127.0.0.1", "0.12.3.4", "255.255.255.255"])
+def test_values_outside_the_usual_ranges_are_replaced(value):
+    new, found = pii.pseudonymise(f"see {value} here")
+    assert len(found) == 1 and value not in new
+    assert [f[0] for f in pii.pseudonymise(new)[1]] == [f[0] for f in found]
+    assert pii.invert(new) == f"see {value} here"
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 10, 73, 256):
         seen = [pii.feistel(v, n, b"k", "t") for v in range(n)]

@@ -6,8 +6,8 @@ kind's numbers, walked until it lands on a valid one.  The pseudonym is written
 the original (separators, brackets, number of digits), and equal values get equal pseudonyms in all
 documents, whatever their layout.  With the key the step can be undone (`invert`).
 
-Kinds: card (13 to 19 digits, Luhn), ssn, phone (ten digits of the North American plan), ipv4, iban
-(mod 97), date (year first, or day and month before a year), email (letters and digits of the
+Kinds: card (13 to 19 digits, Luhn), ssn, phone (any ten digits after +1 or 1 or with brackets, otherwise ten
+digits of the North American plan), ipv4 (any four octets), iban (mod 97), date (year first, or day and month before a year), email (letters and digits of the
 local part).  A candidate that fails validation stays as it is.
 
 Cases: a null text stays null with nothing found.  Empty text stays.  Whole texts are read.  All
@@ -111,20 +111,23 @@ def _phone_valid(v: int) -> bool:
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     digits = re.sub(r"\D", "", text)
     lead, own = digits[:-10], digits[-10:]
-    if len(own) != 10 or lead not in ("", "1") or not _phone_valid(int(own)):
+    if len(own) != 10 or lead not in ("", "1"):
         return None
-    return _relaid(text, lead + str(_walk(int(own), 10**10, _phone_valid, key, "phone", back)))
+    # numbers in the plan stay in it and others out of it, so that a number's pseudonym is the same in all layouts
+    planned = _phone_valid(int(own))
+    if not (planned or lead or "(" in text):
+        return None
+    return _relaid(text, f"{lead}{_walk(int(own), 10**10, lambda v: _phone_valid(v) == planned, key, 'phone', back):010d}")
 
 
 def _ipv4(text: str, key: bytes, back: bool) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
         return None
-    valid = lambda v: 0 < v >> 24 < 224 and v >> 24 != 127
+    # addresses of hosts become addresses of hosts, others others
+    host = lambda v: 0 < v >> 24 < 224 and v >> 24 != 127
     value = int.from_bytes(bytes(parts), "big")
-    if not valid(value):
-        return None
-    return ".".join(str(b) for b in _walk(value, 1 << 32, valid, key, "ipv4", back).to_bytes(4, "big"))
+    return ".".join(str(b) for b in _walk(value, 1 << 32, lambda v: host(v) == host(value), key, "ipv4", back).to_bytes(4, "big"))
 
 
 def _mod97(text: str) -> int:
