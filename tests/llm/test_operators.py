@@ -202,6 +202,36 @@ def test_best_overlap_is_the_best_stretch():
         assert score(start, start + length) == best
 
 
+@pytest.mark.parametrize("size", [8, 15, 20, 30, 60])
+def test_overlaps_are_those_that_the_rule_accepts(size):
+    rng = np.random.RandomState(size)
+    accepted = 0
+    for n in range(150):
+        item = rng.randint(0, 1 << 40, size)
+        text = rng.randint(0, 1 << 40, size + 20)
+        text[10 : 10 + size] = np.where(rng.rand(size) < (0.1, 0.15, 0.2, 0.3)[n % 4], text[10 : 10 + size], item)
+        text[2:8] = item[:6]  # a second diagonal, too short but for small items
+        allowed = {}
+        for d in (2, 10):
+            equal = text[d : d + size] == item
+            allowed |= {(d + i, j - i, int(equal[i:j].sum())): d for i in range(size) for j in range(i + 1, size + 1) if decontamination.is_overlap(j - i, int(equal[i:j].sum()), size)}
+        got = decontamination.overlap(text, item, [2, 10])
+        assert (got is not None) == bool(allowed) and (got is None or got in allowed)
+        accepted += got is not None
+        widest = decontamination.widest_overlap(text, item, 10)
+        assert not any(d == 10 and x[2] > widest[2] for x, d in allowed.items())
+    assert accepted > 50
+
+
+def test_a_copied_item_with_two_changed_words_is_found(spark):
+    words = [f"word{i}" for i in range(60)]
+    item, body = words[:15], words[20:60]
+    changed = ["other" if i in (5, 6) else w for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(body[:20] + changed + body[20:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.contaminations(docs, bench).collect()] == [(1, 7, 20, 15, 13, 15)]
+
+
 # ---- 8: licenses
 
 

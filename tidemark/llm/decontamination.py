@@ -3,8 +3,9 @@
 A fixed mask reads some of the words under it and ignores the others, so a hash of the words read
 survives substitutions at ignored places.  Each place of each text and of each benchmark item is
 hashed under each mask; equal hashes of one mask are hits, and around a hit the text and the item
-are compared word by word on the hit's diagonal.  The best stretch (+1 for an equal word,
--PENALTY for another) is an overlap if it holds enough equal words and few others.
+are compared word by word on the hit's diagonal.  A stretch is an overlap if it holds enough equal
+words and few others: the best one (+1 for an equal word, -PENALTY for another) or, if that is none, the
+one of most equal words among all that hold few others.  Every diagonal with a hit is tried.
 
 The texts are read once.  While they are read, a table of fixed size (one flag for each cell of
 the benchmark's hashes) passes over places that can't hit; from the others, stretches of word
@@ -134,12 +135,38 @@ def is_overlap(length: int, equal: int, item_words: int) -> bool:
     return equal > 0 and equal >= IDENTITY * length and (equal >= MIN_WORDS or equal >= MIN_SHARE * item_words)
 
 
+def widest_overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+    """(start in the text, length, equal words) of the stretch of most equal words of those that hold IDENTITY of them."""
+    a, b = max(0, diagonal), min(len(text), diagonal + len(item))
+    if a >= b:
+        return a, 0, 0
+    equal = text[a:b] == item[a - diagonal : b - diagonal]
+    # a stretch holds the share if its total is not negative; for each end, the first start that allows it
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -round(IDENTITY / (1 - IDENTITY))))])
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+    count = np.concatenate([[0], np.cumsum(equal)])
+    stop = int(np.argmax(count - count[starts]))
+    start = int(starts[stop])
+    inside = np.flatnonzero(equal[start:stop])
+    if not len(inside):
+        return a, 0, 0
+    # words at the ends that are not equal don't belong to it
+    return a + start + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)
+
+
+def overlap(text: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int] | None:
+    """The overlap of most equal words on the diagonals: of each the best stretch, or else the widest."""
+    tried = ((best_overlap(text, item, d), widest_overlap(text, item, d)) for d in diagonals)
+    passed = [next((x for x in pair if is_overlap(x[1], x[2], len(item))), None) for pair in tried]
+    return max((x for x in passed if x), key=lambda x: (x[2], -x[1], -x[0]), default=None)
+
+
 def _verified(batch: pa.RecordBatch):
     rows = []
     for i in range(batch.num_rows):
         text, item = batch.column("words")[i].values.to_numpy(), batch.column("item_words")[i].values.to_numpy()
-        best = max((best_overlap(text, item, d) for d in batch.column("diagonals")[i].as_py()), key=lambda x: (x[2], -x[1], -x[0]))
-        rows.append((*best, len(item)) if is_overlap(best[1], best[2], len(item)) else (-1, 0, 0, 0))
+        best = overlap(text, item, batch.column("diagonals")[i].as_py())
+        rows.append((*best, len(item)) if best else (-1, 0, 0, 0))
     keep = np.array([r[0] >= 0 for r in rows], dtype=bool)
     start, length, equal, size = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, dtype=np.int64),) * 4
     start = start + batch.column("begin").to_numpy()
