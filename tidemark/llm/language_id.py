@@ -4,16 +4,29 @@ Each language has a text of labelled documents and its suffix automaton.  A docu
 greedily into the longest phrases that occur in that text; the language in which it needs the
 fewest phrases, normalised as phrases * log2(length of the language's text) / letters, wins.
 
-Texts are read as letters: lower-cased, all else is one blank.  The automata of all languages
-stand in one dense table, state and symbol to state, so that thousands of pieces of documents
-are parsed in step.  A piece is `PIECE` symbols; a phrase ends at its end, in all languages alike.
+Texts are read as letters: lower-cased, all else is one blank.  Every letter of the labelled sample
+is a symbol; a letter that no language has shown is a phrase alone in all of them, so such letters need
+no names.  The automata stand in one packed table (`pack`): the arcs of a state lie at its base plus
+the symbol, and each place names the state that it belongs to, so the table grows with the arcs and
+not with the alphabet, and thousands of pieces of documents are parsed in step.
+
+A text is cut into pieces of `PIECE` symbols only to be parsed in step.  Each piece is first parsed from
+its own start; then the phrase that enters it from the piece before is followed until it ends where a
+phrase of the piece begins, from where both parses agree.  The phrases are those of one parse
+from the first symbol of the text to its last.
+
+The sample is bounded by rows: SAMPLE_DOCS distinct labelled texts of each language, those with the
+smallest hashes among texts of at most LONGEST characters, taken whole, and no more of them than
+fit into an even share of SAMPLE_TOTAL characters (one at least).
 
 score: how much the winner undercuts the runner-up, 1 - best / second (1 if there is one language
 only), clipped to [0, 1].  Ties go to the first language by code point.
 
 Cases: a text that is null, empty or without letters is `und` with score 0.  With no labelled
-rows at all every text is `und`.  All columns of the input are kept; the result columns come
-last and get underscores in front if their names are taken.
+rows at all every text is `und`; a language whose labelled texts are all longer than LONGEST is not
+learned.  Copies of a labelled text count once.  Very long texts are read whole.  No rows
+give no rows.  All columns of the input are kept; the result columns come last and get
+underscores in front if their names are taken.
 """
 
 from __future__ import annotations
@@ -30,27 +43,33 @@ from pyspark.sql.window import Window
 from .shared import free_name, small_batches
 
 UNDETERMINED = "und"
-#: Bound of the labelled sample: documents for each language, characters of each, and characters
-#: in all, which many languages share evenly.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 24, 1000, 120_000
-#: Symbols: 0 blank, 1..FREQUENT frequent letters of the sample, then OTHER shared by code point.
-FREQUENT, OTHER = 55, 8
+#: Bound of the labelled sample: whole texts for each language, characters of a text that may be
+#: among them, and characters in all, which the languages share evenly.
+SAMPLE_DOCS, LONGEST, SAMPLE_TOTAL = 24, 8000, 400_000
 PIECE = 256
 #: Characters that are parsed at a time.
 BLOCK_CHARS = 1 << 19
+_CODE_POINTS = 0x110000
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbols: np.ndarray  #: code point (up to 0xFFFF) to symbol
-    steps: np.ndarray  #: states * symbols: next state, 0 where a phrase ends
+    symbols: np.ndarray  #: code point to symbol: 0 blank, 1.. letters of the sample, the last one all others
+    base: np.ndarray  #: of each state: where its arcs lie
+    owner: np.ndarray  #: of each place: the state whose arc lies there
+    target: np.ndarray  #: of each place: the state that the arc leads to
     roots: np.ndarray  #: start state of each language
     bits: np.ndarray  #: log2 of the length of each language's text
 
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states; 0 where a state has no such arc."""
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.target[at], 0)
+
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions of the smallest automaton of all substrings; state 1 is the start, 0 means none."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Arcs of the smallest automaton of all substrings; state 1 is the start, state 0 is none."""
     moves: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for symbol in text:
@@ -76,27 +95,68 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
                     moves[p][symbol] = twin
                     p = link[p]
         last = new
-    table = np.zeros((len(moves), width), dtype=np.int32)
-    for state, row in enumerate(moves):
-        for symbol, to in row.items():
-            table[state, symbol] = to
-    return table
+    return moves
+
+
+def pack(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target): arcs of all states in one array, each state's at its base plus the symbol."""
+    arcs = sum(len(m) for m in moves)
+    free = np.ones(width + 2 * arcs + width * 64, dtype=bool)
+    base = np.zeros(len(moves), dtype=np.int64)
+    owner = np.zeros(len(free), dtype=np.int32)
+    target = np.zeros(len(free), dtype=np.int32)
+    many = sorted((s for s in range(len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s]))
+    low = width  # no place before it is searched any more
+    for state in many:
+        symbols = np.array(sorted(moves[state]), dtype=np.int64)
+        at, chosen = low, -1
+        while chosen < 0:
+            if at + 1024 + width > len(free):
+                grown = len(free)
+                free = np.append(free, np.ones(grown, dtype=bool))
+                owner, target = (np.append(x, np.zeros(grown, dtype=np.int32)) for x in (owner, target))
+            window = at + np.flatnonzero(free[at : at + 1024])
+            fits = free[(window - symbols[0])[:, None] + symbols].all(axis=1)
+            if fits.any():
+                chosen = int(window[np.argmax(fits)] - symbols[0])
+            at += 1024
+        if at - low > 8 * 1024:
+            low += 1024
+        places = chosen + symbols
+        base[state] = chosen
+        free[places] = False
+        owner[places] = state
+        target[places] = [moves[state][c] for c in symbols.tolist()]
+    # a state with one arc takes any place that is left
+    single = np.array([s for s in range(len(moves)) if len(moves[s]) == 1], dtype=np.int64)
+    room = width + np.flatnonzero(free[width:])
+    if len(room) < len(single):
+        room = np.append(room, len(free) + np.arange(len(single) - len(room)))
+    places = room[: len(single)]
+    size = max(len(free), int(places.max(initial=0)) + 1) + width
+    owner, target = (np.append(x, np.zeros(size - len(x), dtype=np.int32)) for x in (owner, target))
+    arc = [next(iter(moves[s].items())) for s in single.tolist()]
+    symbols = np.array([c for c, _ in arc], dtype=np.int64)
+    base[single] = places - symbols
+    owner[places] = single
+    target[places] = [to for _, to in arc]
+    used = max(int(places.max(initial=0)), int(np.flatnonzero(owner).max(initial=0))) + 1
+    size = max(used, int(base.max()) + width)
+    return base, owner[:size], target[:size]
+
+
+_LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(_CODE_POINTS)]))
+    return _LETTERS[0]
 
 
 def _points(texts: list[str]) -> np.ndarray:
-    """Code points of the lower-cased texts, a zero after each; those over 0xFFFF are folded into that range."""
-    points = np.frombuffer("".join(t.lower().replace("\0", " ") + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    far = points > 0xFFFF
-    if far.any():
-        # letters beyond the table share its ideographs, all else is a blank
-        kinds, at = np.unique(points[far], return_inverse=True)
-        points = points.copy()
-        points[far] = np.array([0x4E00 + (c & 0xFFF) if chr(c).isalpha() else 0x20 for c in kinds.tolist()], dtype=np.uint32)[at]
-    return points
+    """Code points of the lower-cased texts, a zero after each."""
+    return np.frombuffer("".join(t.lower().replace("\0", " ") + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _read(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,66 +176,120 @@ def learn(sample: list[tuple[str, str]]) -> Model | None:
     for language, text in sorted(sample):
         texts.setdefault(language, []).append(text)
     letters = _letters()
-    counts = np.zeros(0x10000, dtype=np.int64)
+    seen = np.zeros(_CODE_POINTS, dtype=bool)
     for rows in texts.values():
-        counts += np.bincount(_points(rows), minlength=0x10000)
-    counts[~letters] = 0
-    symbols = np.zeros(0x10000, dtype=np.uint8)
-    points = np.arange(0x10000)
-    symbols[letters] = (1 + FREQUENT + points % OTHER)[letters]
-    frequent = np.argsort(-counts, kind="stable")[:FREQUENT]
-    frequent = frequent[counts[frequent] > 0]
-    symbols[frequent] = 1 + np.arange(len(frequent))
-    languages, tables, roots, bits = [], [], [], []
-    at = 0
+        seen[_points(rows)] = True
+    seen &= letters
+    count = int(seen.sum())
+    symbols = np.zeros(_CODE_POINTS, dtype=np.int32)
+    symbols[letters] = count + 1
+    symbols[seen] = 1 + np.arange(count)
+    languages, roots, bits = [], [], []
+    moves: list[dict[int, int]] = [{}]
     for language, rows in texts.items():
         codes, _ = _read(rows, symbols)
-        codes = codes[: max(1, SAMPLE_TOTAL // len(texts))]
         if not (codes != 0).any():
             continue
-        table = suffix_automaton(codes.tolist(), 1 + FREQUENT + OTHER)
-        tables.append(np.where(table > 0, table + at, 0).astype(np.int32))
+        at = len(moves) - 1
+        own = suffix_automaton(codes.tolist())
+        moves += [{c: to + at for c, to in m.items()} for m in own[1:]]
         languages.append(language)
         roots.append(at + 1)
         bits.append(np.log2(max(2, len(codes))))
-        at += len(table)
-    return Model(languages, symbols, np.concatenate(tables).ravel(), np.array(roots), np.array(bits)) if languages else None
+    return Model(languages, symbols, *pack(moves, count + 2), np.array(roots), np.array(bits)) if languages else None
+
+
+def _followed(model: Model, codes: np.ndarray, state: np.ndarray, at: np.ndarray, end: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Where the phrases that are open in these states end, at the end of their texts at last."""
+    out = at.copy()
+    open_ = np.flatnonzero((state != root) & (at < end))
+    state = state[open_]
+    while len(open_):
+        state = model.step(state, codes[out[open_]])
+        on = state > 0
+        open_, state = open_[on], state[on]
+        out[open_] += 1
+        on = out[open_] < end[open_]
+        open_, state = open_[on], state[on]
+    return out
 
 
 def phrases(codes: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text in each language, and the letters of each text."""
-    width = 1 + FREQUENT + OTHER
     starts = np.append(0, ends[:-1] + 1)
     size = ends - starts
-    letters = np.add.reduceat(np.append(codes != 0, False).astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)
-    letters = np.where(size > 0, letters, 0)
+    many, n = len(model.roots), len(codes)
+    if not len(size):
+        return np.zeros((many, 0), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    inside = np.append(codes != 0, False)
+    letters = np.where(size > 0, np.add.reduceat(inside.astype(np.int64), starts), 0)
+    codes = codes.astype(np.int64)
     pieces = -(-size // PIECE)
     text = np.repeat(np.arange(len(size)), pieces)
-    offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-    begin = starts[text] + offset
-    length = np.minimum(PIECE, size[text] - offset)
-    order = np.argsort(-length, kind="stable")
-    begin, length, text = begin[order], length[order], text[order]
-    n_languages = len(model.roots)
-    total = np.zeros((n_languages, len(size)), dtype=np.int64)
-    live = len(begin)
-    state = np.repeat(model.roots[:, None], live, axis=1)
-    found = np.zeros((n_languages, live), dtype=np.int32)
-    root_steps = model.steps.reshape(-1, width)[model.roots]
+    begin = starts[text] + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    end = ends[text]
+    stop = np.minimum(begin + PIECE, end)
+    # each piece from its own start, the longest first, so that those still going are in front
+    order = np.argsort(begin - stop, kind="stable")
+    length = (stop - begin)[order]
+    first = np.zeros((many, n), dtype=bool)  # a phrase of the language begins here
+    root = model.roots[:, None]
+    state = np.repeat(root, len(order), axis=1)
+    live = len(order)
     for k in range(int(length[0]) if live else 0):
         live = int(np.searchsorted(-length, -k, side="left"))
-        symbol = codes[begin[:live] + k].astype(np.int64)
-        now = model.steps[state[:, :live] * width + symbol]
+        at = begin[order[:live]] + k
+        symbol = codes[at]
+        before = state[:, :live]
+        now = model.step(before, symbol)
         over = now == 0
         # a phrase begins where none is open and where the open one can't go on
-        found[:, :live] += over | (state[:, :live] == model.roots[:, None])
+        first[:, at] = over | (before == root)
         if over.any():
             # a symbol that the language has never seen is a phrase alone
-            fresh = root_steps[:, symbol]
-            now = np.where(over, np.where(fresh > 0, fresh, model.roots[:, None]), now)
+            fresh = model.step(root, symbol[None, :])
+            now = np.where(over, np.where(fresh > 0, fresh, root), now)
         state[:, :live] = now
-    for language in range(n_languages):
-        total[language] = np.bincount(text, weights=found[language], minlength=len(size)).astype(np.int64)
+    left = np.empty_like(state)
+    left[:, order] = state
+    lane = lambda x: np.tile(x, many)
+    roots = np.repeat(model.roots, len(begin))
+    leaves = _followed(model, codes, left.ravel(), lane(stop), lane(end), roots)
+    flat = first.ravel()
+    # what enters from the piece before, until both parses begin a phrase at one place
+    joined = np.append(False, text[1:] == text[:-1])
+    todo = np.flatnonzero(lane(joined))
+    while len(todo):
+        language, piece = np.divmod(todo, len(begin))
+        at, upto = leaves[todo - 1], stop[piece]
+        gone = np.minimum(at, upto) - begin[piece]
+        flat[np.repeat(language * n + begin[piece] - np.cumsum(gone) + gone, gone) + np.arange(gone.sum())] = False
+        out = np.where(at >= upto, at, leaves[todo])
+        going = np.flatnonzero(at < upto)
+        at, here = at[going], model.roots[language[going]]
+        while len(going):
+            own = model.roots[language[going]]
+            symbol = codes[at]
+            now = model.step(here, symbol)
+            begins = (now == 0) | (here == own)
+            place = language[going] * n + at
+            met = begins & flat[place]
+            flat[place] = begins
+            fresh = model.step(own, symbol)
+            here = np.where(now > 0, now, np.where(fresh > 0, fresh, own))
+            at = at + 1
+            past = ~met & (at == upto[going])
+            if past.any():
+                lanes = going[past]
+                out[lanes] = _followed(model, codes, here[past], at[past], end[piece[lanes]], own[past])
+            on = ~met & ~past
+            going, at, here = going[on], at[on], here[on]
+        changed = todo[out != leaves[todo]]
+        leaves[todo] = out
+        after = changed + 1
+        after = after[after < len(leaves)]
+        todo = after[lane(joined)[after]]
+    total = np.where(size > 0, np.add.reduceat(np.append(first, np.zeros((many, 1), dtype=bool), axis=1).astype(np.int64), starts, axis=1), 0)
     return total, letters
 
 
@@ -193,14 +307,24 @@ def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, text: Column, language: Column) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS texts of each language, those with the smallest hashes, SAMPLE_CHARS of each.
+    """The bounded sample of whole texts.
 
-    Ranks are limited before the shuffle too, so a task holds a few rows of each language from
-    each input partition, whatever the share of one language.
+    Hashes are ranked first, one for each distinct text, and limited in each input partition before they
+    are shuffled; the texts of those that are chosen are read after that.
     """
-    rows = docs.where(text.isNotNull() & language.isNotNull()).select(language.alias("language"), F.substring(text, 1, SAMPLE_CHARS).alias("sample"), F.xxhash64(text).alias("h"))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("language").orderBy("h", "sample"))).where(F.col("n") <= SAMPLE_DOCS)
-    return [(r.language, r.sample) for r in ranked.select("language", "sample").collect()]
+    rows = docs.where(text.isNotNull() & language.isNotNull() & (F.length(text) <= LONGEST)).select(language.alias("language"), F.xxhash64(text).alias("h"), text.alias("sample"))
+    once = rows.groupBy("language", "h").agg(F.max(F.length("sample")).alias("chars"))
+    by = Window.partitionBy("language").orderBy("h")
+    ranked = once.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_DOCS).withColumn("upto", F.sum("chars").over(by))
+    # SAMPLE_DOCS rows for each language
+    known = ranked.select("language", "h", "n", "upto").collect()
+    share = SAMPLE_TOTAL / max(1, len({r.language for r in known}))
+    chosen = [(r.language, r.h) for r in known if r.n == 1 or r.upto <= share]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, "language string, h long")
+    found = rows.join(F.broadcast(wanted), ["language", "h"]).groupBy("language", "h").agg(F.min("sample").alias("sample"))
+    return [(r.language, r.sample) for r in found.collect()]
 
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -216,13 +340,15 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held = shared.value
         names = np.array([*held.languages, UNDETERMINED], dtype=object)
+        # the marks of a block take a byte for each language and character
+        limit = max(1, 4 * BLOCK_CHARS // (3 + len(held.languages)))
         for part in parts:
             texts = part.fillna("").tolist()
             langs, scores = [], []
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= BLOCK_CHARS):
+                while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= limit):
                     chars += len(texts[upto])
                     upto += 1
                 lang, value = classify(texts[at:upto], held)
@@ -231,8 +357,10 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text")
                 at = upto
             yield pd.DataFrame({"lang": np.concatenate(langs) if langs else [], "score": np.concatenate(scores) if scores else []})
 
+    # a filter on what it returns must not make it run twice
     found = free_name(docs, "_found")
-    return docs.withColumn(found, judge(F.col(text_col))).select(*docs.columns, F.col(f"{found}.lang").alias(pred), F.col(f"{found}.score").alias(score))
+    judged = docs.withColumn(found, judge.asNondeterministic()(F.col(text_col)))
+    return judged.select(*docs.columns, F.col(f"{found}.lang").alias(pred), F.col(f"{found}.score").alias(score))
 
 
 def fold(id_col: Column) -> Column:
