@@ -6,15 +6,20 @@
 2.  Packing.  The documents of a source stand in a pseudorandom order and their words are packed
     into blocks of `block` words.  Places in that order are prefix sums over chunks of documents, so
     no task holds a whole source.
-3.  Drawing.  Each output shard draws its slots' sources from a multinomial over what the sources
-    still owe, so the totals meet the targets, and each shard is a fair sample.
+3.  Drawing.  A source gives as many slots as its target needs.  It deals them to the output shards by a
+    multinomial draw with equal chances, seeded by its name.  Given the size of a shard, the counts of
+    the sources in it are then multinomial too, and every source gives just what it is to give.
 4.  Slot j of a source is block P(j mod blocks) of its pass j div blocks, P a keyed Feistel
-    permutation of the source's block numbers; slots and documents are joined by block number.
+    permutation of the source's whole blocks (a shorter last block comes last in each pass); the last slot of all takes
+    the words that the target still lacks.  Slots and documents are joined by block number.
 
-Everything is a function of the rows and the seed: reruns agree, whatever the partitions.
+Sources, slots and documents are all tables: nothing of them is gathered in the driver, and a source of
+any size is dealt to all tasks.  Everything is a function of the rows and the seed: reruns agree, whatever the partitions.
 
 Cases: a null or empty text has size 0 and nothing is taken from it.  A source without words has
-target 0.  Rows that are equal in all columns used share their fate up to their order.
+target 0, a source of few words meets its target as the others do, to the word.  No rows give no rows.
+Rows that are equal in all columns used share their fate up to their order.  Very long texts are cut into their blocks.
+Columns beside id, text and source are kept by mixed_documents and not carried by mixture_counts.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as kit
-from .shared import settle
+from .shared import bounded_broadcast, discard, settle
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, REPEATS = 1.5, 2
@@ -39,6 +44,10 @@ SHARDS = 64
 #: Documents that share a chunk of the order, on average; over many documents the root of their number, so that
 #: neither a chunk nor the list of chunks grows as they do.
 CHUNK_DOCS = 512
+#: Slots that are listed from one row.
+SLOT_RUN = 1 << 14
+#: Sources up to which their table is broadcast.
+BROADCAST_ROWS = 50_000
 FEISTEL_ROUNDS = 6
 
 
@@ -48,47 +57,49 @@ def size_of(text: Column) -> Column:
     return F.length(F.regexp_replace(spaced, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> list[float]:
-    """Target words of each source, in the order of the sizes."""
-    total = share * sum(sizes)
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    out = [0.0] * len(sizes)
-    # the sources with the smallest size for their weight are the first to be full
-    order = sorted(range(len(sizes)), key=lambda i: sizes[i] / weight[i])
-    left, open_weight = total, sum(weight)
-    for position, i in enumerate(order):
-        if left * weight[i] / open_weight <= repeats * sizes[i]:
-            for j in order[position:]:
-                out[j] = left * weight[j] / open_weight
-            return out
-        out[i] = float(repeats * sizes[i])
-        left -= out[i]
-        open_weight -= weight[i]
-    return out
-
-
-def draw(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Slots of each shard and source: each shard draws from what the sources still owe."""
-    owed = np.array(quotas, dtype=np.int64)
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    for shard in range(shards):
-        left = int(owed.sum())
-        slots = -(-left // (shards - shard))
-        if slots:
-            got = rng.multinomial(slots, owed / left)
-            # a source can't give more than it owes; what it can't is dealt to the others in order
-            over = int(np.maximum(got - owed, 0).sum())
-            got = np.minimum(got, owed)
-            for i in np.argsort(-(owed - got), kind="stable"):
-                if not over:
-                    break
-                more = min(over, int(owed[i] - got[i]))
-                got[i] += more
-                over -= more
-            out[shard] = got
-            owed = owed - got
-    return out
+def numbered(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with `place`, its place in the order from 0, and a sum over all rows before it for each name and column of `sums`.
+
+    Rows are dealt to tasks by ranges of the order; then each task needs only the totals of those before it.
+    """
+    held = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    # a row for each task
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = totals.select("_part", zero(F.sum("_n").over(before)).alias("_n"), *[zero(F.sum(f"_{k}").over(before)).alias(f"_{k}") for k in sums])
+    own = Window.partitionBy("_part").orderBy(*order)
+    out = held.withColumn("place", F.row_number().over(own) - 1)
+    for k, c in sums.items():
+        out = out.withColumn(k, zero(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1))))
+    out = out.join(F.broadcast(totals), "_part").withColumn("place", F.col("place") + F.col("_n"))
+    for k in sums:
+        out = out.withColumn(k, F.col(k) + F.col(f"_{k}"))
+    return out.drop("_part", "_n", *[f"_{k}" for k in sums])
+
+
+def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
+    """sources (_source and its words n) with their weight by turns and their target words.
+
+    Sources in the order of words to weight are the order in which they fill up.  The first that does not, with all
+    that are fuller taken away, tells what a unit of weight gives.
+    """
+    by_name = numbered(sources.withColumn("_last", F.col("_source") == ""), ["_last", "_source"], {})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    weighted = settle(by_name.select("_source", "n", weight.alias("weight")))
+    all_ = weighted.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    if not all_.n:
+        return weighted.withColumn("target", F.lit(0.0))
+    filling = numbered(weighted.withColumn("fill", F.col("n") / F.col("weight")), ["fill", "_source"], {"n_before": "n", "weight_before": "weight"})
+    unit = (F.lit(share * all_.n) - repeats * F.col("n_before")) / (F.lit(all_.weight) - F.col("weight_before"))
+    open_ = filling.where(unit * F.col("weight") <= repeats * F.col("n")).agg(F.min_by(unit, "place").alias("unit")).first().unit
+    target = F.lit(repeats) * F.col("n") if open_ is None else F.least(F.lit(repeats) * F.col("n"), F.lit(open_) * F.col("weight"))
+    return weighted.withColumn("target", target.cast("double"))
+
+
+def draw(slots: int, shards: int, seed: int) -> np.ndarray:
+    """How many of a source's slots each shard gets."""
+    return np.random.Generator(np.random.PCG64(seed & (2**64 - 1))).multinomial(slots, np.full(shards, 1 / shards))
 
 
 def permuted(values: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -113,8 +124,8 @@ def permuted(values: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarra
 
 @dataclass
 class Mixture:
-    docs: DataFrame  #: each document's _source, _id, _hash (of its text), size, first (place of its first word in the source)
-    slots: DataFrame  #: _source, shard, slot, pass, block
+    docs: DataFrame  #: each document's _source, _id, _hash (of its text), size, first (place of its first word in the source, null without words)
+    slots: DataFrame  #: _source, shard, slot, pass, block, take (words of the block, null: all)
     sources: DataFrame  #: _source, source_size, target, blocks
     block: int
 
@@ -124,50 +135,66 @@ def _source(source_col: str) -> Column:
     return F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
 
 
-def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, repeats=REPEATS, block=BLOCK, shards=SHARDS, seed=7) -> Mixture:
-    spark = docs.sparkSession
-    rows = settle(docs.select(_source(source_col).alias("_source"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), size_of(F.col(text_col)).alias("size")))
-    # one row for each source
-    found = rows.groupBy("_source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
-    order = sorted(found, key=lambda r: (r["_source"] == "", [ord(c) for c in r["_source"]]))
-    sizes = [r["n"] for r in order]
-    aims = targets(sizes, weights, share, repeats)
-    blocks = [-(-n // block) for n in sizes]
-    # a slot holds as many words as the source's blocks do on average
-    quotas = [min(int(repeats) * b, round(aim * b / n)) if n else 0 for aim, b, n in zip(aims, blocks, sizes, strict=True)]
-    drawn = draw(quotas, shards, seed)
-    before = np.cumsum(drawn, axis=0) - drawn
-    fields = "_source string, source_size long, target double, blocks long"
-    sources = spark.createDataFrame([(r["_source"], n, aim, b) for r, n, aim, b in zip(order, sizes, aims, blocks, strict=True)], fields)
-    parts = [
-        (order[s]["_source"], shard, int(before[shard, s]), int(drawn[shard, s]), blocks[s]) for shard in range(shards) for s in range(len(order)) if drawn[shard, s]
-    ]
+def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """The slots of sources (_source, source_size, target, blocks)."""
+
+    @F.pandas_udf("array<long>")
+    def dealt(cols: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for slots, key in cols:
+            yield pd.Series([draw(n, shards, k) for n, k in zip(slots, key, strict=True)])
 
     @F.pandas_udf("long")
     def permute(cols: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for value, size, key in cols:
-            yield pd.Series(permuted(value.to_numpy(), size.to_numpy(), key.to_numpy().view(kit.U64)))
-
-    slots = (
-        spark.createDataFrame(parts, "_source string, shard int, before long, n long, blocks long")
-        .repartition(max(8, len(parts) // 64), "_source", "shard")
-        .select("_source", "shard", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("slot"))
-        .select(
-            "_source", "shard", "slot", F.expr("slot div blocks").alias("pass"), permute(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("_source", F.lit(seed))).alias("block")
-        )
-    )
-    # places: prefix sums over chunks, then within each chunk
-    n_docs = sum(r["docs"] for r in order)
+            # a place past the whole blocks stays
+            value, size = value.to_numpy(), size.to_numpy()
+            whole = value < size
+            out = value.copy()
+            out[whole] = permuted(value[whole], size[whole], key.to_numpy().view(kit.U64)[whole])
+            yield pd.Series(out)
+
+    words = F.round("target").cast("long")
+    aim = sources.where("source_size > 0").withColumn("passes", F.floor(words / F.col("source_size")).cast("long"))
+    aim = aim.withColumn("rest", words - F.col("passes") * F.col("source_size"))
+    aim = aim.withColumn("n", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)).where("n > 0")
+    key = F.xxhash64("_source", F.lit(seed))
+    facts = ["_source", "source_size", "blocks", "n", "rest"]
+    shares = aim.select(*facts, F.posexplode(dealt("n", F.xxhash64("_source", F.lit(seed + 1)))).alias("shard", "here"))
+    shares = shares.withColumn("start", F.sum("here").over(Window.partitionBy("_source").orderBy("shard")) - F.col("here")).where("here > 0")
+    # runs of slots are dealt to all tasks before they are listed
+    runs = shares.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(here - 1) div {SLOT_RUN}")))).repartition("_source", "shard", "run")
+    listed = runs.withColumn("slot", F.explode(F.sequence(F.expr(f"start + run * {SLOT_RUN}"), F.expr(f"start + least(here, (run + 1) * {SLOT_RUN}) - 1"))))
+    last = (F.col("slot") == F.col("n") - 1) & (F.col("rest") > 0)
+    return listed.select(
+        "_source",
+        "shard",
+        "slot",
+        F.expr("slot div blocks").alias("pass"),
+        permute(F.col("slot") % F.col("blocks"), F.expr(f"source_size div {block}"), key).alias("block"),
+        F.when(last, F.col("rest") - (F.ceil(F.col("rest") / block) - 1) * block).alias("take"),
+    )
+
+
+def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, repeats=REPEATS, block=BLOCK, shards=SHARDS, seed=7) -> Mixture:
+    rows = settle(docs.select(_source(source_col).alias("_source"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), size_of(F.col(text_col)).alias("size")))
+    sizes = settle(rows.groupBy("_source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")))
+    aims = with_targets(sizes.select("_source", "n"), weights, share, repeats)
+    sources = settle(aims.select("_source", F.col("n").alias("source_size"), "target", F.ceil(F.col("n") / block).alias("blocks")))
+    # places: prefix sums over chunks, then within each chunk; documents without words have none
+    n_docs = sizes.agg(F.sum("docs")).first()[0] or 0
     chunks = max(1, n_docs // max(CHUNK_DOCS, math.isqrt(n_docs)))
     by = F.xxhash64(F.col("_id").cast("string"), F.col("_hash"), F.lit(seed))
-    hashed = rows.withColumn("h", by).withColumn("chunk", F.pmod(F.col("h"), F.lit(chunks)))
+    hashed = rows.where("size > 0").withColumn("h", by).withColumn("chunk", F.pmod(F.col("h"), F.lit(chunks)))
     totals = hashed.groupBy("_source", "chunk").agg(F.sum("size").alias("n"))
     ahead = totals.select("_source", "chunk", (F.sum("n").over(Window.partitionBy("_source").orderBy("chunk")) - F.col("n")).alias("ahead"))
     inner = Window.partitionBy("_source", "chunk").orderBy("h", "_id", "_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hashed.withColumn("upto", F.sum("size").over(inner)).join(ahead, ["_source", "chunk"])
     placed = placed.select("_source", "_id", "_hash", "size", (F.col("ahead") + F.col("upto") - F.col("size")).alias("first"))
+    wordless = rows.where("size = 0").withColumn("first", F.lit(None).cast("long"))
     # slots are made from a short list, which Spark would take for small: settled, they have their size
-    return Mixture(settle(placed), settle(slots), sources, block)
+    out = Mixture(settle(placed.unionByName(wordless)), settle(slots_of(sources, block, shards, seed)), sources, block)
+    discard(rows, sizes)
+    return out
 
 
 def _cut(docs: DataFrame, b: int) -> DataFrame:
@@ -178,26 +205,34 @@ def _cut(docs: DataFrame, b: int) -> DataFrame:
     return cut.withColumn("start", start).withColumn("stop", stop)
 
 
+def _taken(b: int) -> Column:
+    """Words of a document's part in a block, start..stop, that are taken when `take` words of the block are."""
+    upto = F.least(F.col("stop"), F.col("block") * b + F.col("take") - F.col("first"))
+    return F.greatest(F.lit(0), F.coalesce(upto, F.col("stop")) - F.col("start"))
+
+
 def pieces(mixture: Mixture) -> DataFrame:
     """The mixture itself: each slot's parts of documents, with _source, shard, slot, pass, block, _id, _hash,
     first, size, start and stop."""
-    return _cut(mixture.docs, mixture.block).join(mixture.slots.hint("merge"), ["_source", "block"])
+    parts = _cut(mixture.docs, mixture.block).join(mixture.slots.hint("merge"), ["_source", "block"])
+    return parts.withColumn("stop", F.col("start") + _taken(mixture.block)).where("start < stop")
 
 
 def mixture_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row for each document: id, size, source_size, target (of its source), taken (words, repeats counted)."""
     mixture = plan_mixture(docs, id_col, text_col, source_col, **options)
-    # slots are counted by block first, so a document's part meets one row
-    times = mixture.slots.groupBy("_source", "block").agg(F.count(F.lit(1)).alias("times"))
+    # slots are counted by block first, so a document's part meets one row; one slot of a source at most takes a part of its block
+    times = mixture.slots.groupBy("_source", "block").agg(F.count_if(F.col("take").isNull()).alias("times"), F.max("take").alias("take"))
+    part = F.when(F.col("take").isNull(), F.lit(0)).otherwise(_taken(mixture.block))
     taken = (
         _cut(mixture.docs, mixture.block)
         .join(times.hint("merge"), ["_source", "block"])
         .groupBy("_source", "first")
-        .agg(F.sum((F.col("stop") - F.col("start")) * F.col("times")).alias("taken"))
-        .withColumn("some", F.lit(True))
+        .agg(F.sum((F.col("stop") - F.col("start")) * F.col("times") + part).alias("taken"))
     )
-    # places within a source tell documents with words apart; those without words take part in no place
-    out = mixture.docs.withColumn("some", F.col("size") > 0).join(taken, ["_source", "first", "some"], "left").join(F.broadcast(mixture.sources), "_source")
+    # places within a source tell documents with words apart; those without words have none
+    n_sources = mixture.sources.count()
+    out = mixture.docs.join(taken, ["_source", "first"], "left").join(bounded_broadcast(mixture.sources, n_sources, BROADCAST_ROWS), "_source")
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -207,10 +242,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words are not taken.  length_col, if there, gets the new text's characters."""
     mixture = plan_mixture(docs, id_col, text_col, source_col, **options)
     # rows of one source, id and text are numbered, here and there: which is which does not matter
-    numbered = mixture.docs.withColumn("n", F.row_number().over(Window.partitionBy("_source", "_id", "_hash").orderBy("first")))
+    copies = mixture.docs.where("size > 0").withColumn("n", F.row_number().over(Window.partitionBy("_source", "_id", "_hash").orderBy("first")))
     spans = (
-        _cut(numbered, mixture.block)
-        .join(mixture.slots.hint("merge"), ["_source", "block"])
+        pieces(Mixture(copies, mixture.slots, mixture.sources, mixture.block))
         .groupBy("_source", "_id", "_hash", "n", "size", "pass")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("words"))
         .select(*[F.col(c).alias(f"_mix{c}") for c in ("_source", "_id", "_hash", "n", "size", "spans", "words")])
