@@ -3,32 +3,35 @@
 Vectors are lifted so that larger inner products are smaller distances: a candidate x becomes
 (x, sqrt(M - |x|^2)) with M the largest squared length, a query q becomes (q, 0); then
 |q - x|^2 = |q|^2 + M - 2 qx.  Every candidate's distances to the pivots are computed once per
-batch; the largest |d(q, p) - d(x, p)| over the pivots p is a lower bound of d(q, x).  Candidates
-are evaluated in order of their bounds until the bound passes the k-th best distance: the rest
-can't be among the k best.  The k-th best starts at a score that k rows of a sample reach, so each
-task reports few rows.  Bounds are loosened by more than the rounding of the distances; scores are
-integers and exact.
-
-Queries travel in blocks of QUERY_BLOCK vectors, a proven bound, and each block meets all
-candidates, a batch at a time.  Partial lists are merged by rank.
-
-Cases: vectors that are null, empty, of another length than most, or that hold null or non-finite
-components take no part; nor do rows without an id.  Rows that repeat an id are candidates each
-(never of their own id's queries); a query id that repeats is answered for its first vector (by
-components).  Scores beyond 2**53 are refused with an error.
+block; the largest |d(q, p) - d(x, p)| over the pivots p is a lower bound of d(q, x).  Candidates
+are evaluated in the order of their bounds, STEP at a time and then more, until the bound passes the k-th best
+distance: the rest can't be among the k best, and no candidate beyond is scored.  The k-th best starts at a score
+that k rows of a sample reach, so each block reports few rows.  Bounds are loosened by more than the
+rounding of the distances; scores are integers and exact.
+
+The candidates and the queries are dealt into blocks of BLOCK_ROWS and QUERY_BLOCK rows by their
+hashes, and one join brings each pair of blocks together in a task; nothing but a sample of SAMPLE rows, the pivots among
+them, passes through the driver.  Partial lists are merged by rank.
+
+Cases: vectors that are null or that hold null or non-finite components take no part; nor do rows without an id.
+A vector that is shorter than others counts as filled up with zeros, an empty one as all zeros.  Rows that repeat an
+id are candidates each (never of their own id's queries); a query id that repeats is answered for its first vector (by
+components).  Ties go to the smaller id.  No rows, or no queries among them, give no rows.  Extra columns are not
+carried.  Scores beyond 2**53 are refused with an error.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 4096
-PIVOTS = 8
+from ..shipping import ship
+
+QUERY_BLOCK, BLOCK_ROWS = 1024, 8192
+PIVOTS = 256
 #: Rows of the sample that pivots and first thresholds come from.
 SAMPLE = 2048
 STEP = 512
@@ -38,7 +41,7 @@ def scaled(vector: Column, factor: float = 64.0) -> Column:
     """floor(factor * x) of each component, x as double; null for vectors that take no part."""
     x = F.transform(vector, lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.transform(x, lambda v: F.floor(v * factor).cast("double")))
+    return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * factor).cast("double")))
 
 
 def choose_pivots(rows: np.ndarray, n: int) -> np.ndarray:
@@ -56,12 +59,15 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def search_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, pivots: np.ndarray, largest: float, k: int):
-    """For each query: ids and scores of its k best in the batch that reach `least`, a score that k rows are known to reach."""
-    lifted = np.concatenate([x, np.sqrt(np.maximum(largest - (x**2).sum(axis=1), 0))[:, None]], axis=1)
-    to_pivots = np.ascontiguousarray(_distances(lifted, pivots).T, dtype=np.float32)
-    own = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-    from_query = _distances(own, pivots).astype(np.float32)
+def lifted(x: np.ndarray, largest: float) -> np.ndarray:
+    return np.concatenate([x, np.sqrt(np.maximum(largest - (x**2).sum(axis=1), 0))[:, None]], axis=1)
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, pivots: np.ndarray, largest: float, k: int):
+    """For each query: its number, the ids and scores of its k best in the block that reach `least`, a score that k rows
+    are known to reach, and how many candidates were scored."""
+    to_pivots = np.ascontiguousarray(_distances(lifted(x, largest), pivots).T, dtype=np.float32)
+    from_query = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots).astype(np.float32)
     lengths = (q**2).sum(axis=1)
     # distances are kept in single precision: bounds give way by more than its rounding
     slack = 1e-6 * (float(np.sqrt(largest)) * 2 + float(np.sqrt(lengths.max(initial=0))) + 1)
@@ -70,17 +76,22 @@ def search_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         # d^2 = |q|^2 + M - 2 score: a bound above this distance can't reach the score
         return float(np.sqrt(max(0.0, lengths[i] + largest - 2 * score))) * (1 + 1e-9) + slack
 
+    gap = np.empty(len(ids), dtype=np.float32)
     for i in range(len(q)):
-        bound = np.abs(to_pivots - from_query[i][:, None]).max(axis=0)
-        floor_score = least[i]
+        bound = np.zeros(len(ids), dtype=np.float32)
+        for row, own in zip(to_pivots, from_query[i], strict=True):
+            np.subtract(row, own, out=gap)
+            np.maximum(bound, np.abs(gap, out=gap), out=bound)
+        floor_score, scored = least[i], 0
         limit = reach(i, floor_score)
         best_ids, best_scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        # the candidates with the smallest bounds first, STEP of them, then four times as many each time
-        size, done = STEP, -1.0
-        while done <= limit:
-            upto = float(np.partition(bound, size)[size]) if size < len(bound) else np.inf
-            rows = np.flatnonzero((bound > done) & (bound <= min(upto, limit)))
-            scores = x[rows] @ q[i] if 3 * len(rows) < len(x) else (x @ q[i])[rows]
+        # the candidates with the smallest bounds first, STEP of them, then twice as many each time
+        rest, size = np.flatnonzero(bound <= limit), STEP
+        while len(rest):
+            near = np.argpartition(bound[rest], size - 1)[:size] if size < len(rest) else np.arange(len(rest))
+            rows = rest[near]
+            scores = x[rows] @ q[i]
+            scored += len(rows)
             keep = (scores >= floor_score) & (ids[rows] != query_ids[i])
             best_ids, best_scores = np.append(best_ids, ids[rows][keep]), np.append(best_scores, scores[keep])
             if len(best_ids) > k:
@@ -89,64 +100,91 @@ def search_batch(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             if len(best_ids) == k:
                 floor_score = max(floor_score, best_scores.min())
                 limit = reach(i, floor_score)
-            if upto == np.inf:
-                break
-            size, done = 4 * size, upto
-        yield i, best_ids, best_scores
+            rest = np.delete(rest, near)
+            rest = rest[bound[rest] <= limit]
+            size *= 2
+        yield i, best_ids, best_scores, scored
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 64.0) -> DataFrame:
-    """(query_id, rank, <id_col>, score): for each row with the condition `queries`, its k best other rows."""
+def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (the first two columns), shorter ones filled up with zeros."""
+    lists = table.column(1).combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(size), width))
+    out[np.arange(width)[None, :] < size[:, None]] = flat
+    return table.column(0).to_numpy(), out
+
+
+def _dealt(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
+    return rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_x", F.lit(seed)), F.lit(blocks)).cast("int"))
+
+
+def searched(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 64.0) -> DataFrame | None:
+    """(query_id, _id, score, scored): for each query the best of each block; scored: candidates of the block that were
+    evaluated for it (on one row of the block, which has no _id).  None if there are no queries."""
     spark = vectors.sparkSession
-    schema = f"query_id long, rank int, {id_col} long, score long"
+    ship(spark)
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), queries.alias("_asked"), scaled(F.col(vector_col), factor).alias("_x")).where("_x is not null")
-    facts = rows.groupBy(F.size("_x").alias("n")).agg(
+    facts = rows.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("_asked").alias("asked"),
+        F.max(F.size("_x")).alias("width"),
         F.max(F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v)).alias("largest"),
-    ).orderBy(F.desc("rows"), "n").first()
-    if facts is None or not facts.asked:
-        return spark.createDataFrame([], schema)
+    ).first()
+    if not facts.asked:
+        return None
     if facts.largest >= 2**53:
         raise ValueError("components are too large for exact scores")
-    rows = rows.where(F.size("_x") == facts.n)
-    largest = float(facts.largest)
+    largest, width = float(facts.largest), max(1, facts.width)
     # a sample of bounded size: the smallest hashes
-    share = min(1.0, 4 * SAMPLE / facts.rows)
-    drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).orderBy(F.xxhash64("_id"), "_x").limit(SAMPLE).select("_id", "_x").collect()
-    if not drawn:
-        drawn = rows.orderBy("_id", "_x").limit(SAMPLE).select("_id", "_x").collect()
-    sample_ids, sample = np.array([r._id for r in drawn]), np.array([r._x for r in drawn], dtype=np.float64)
-    lifted = np.concatenate([sample, np.sqrt(np.maximum(largest - (sample**2).sum(axis=1), 0))[:, None]], axis=1)
-    pivots = choose_pivots(lifted, PIVOTS)
-    n_blocks = -(-facts.asked * 2 // QUERY_BLOCK)
-    asked = rows.where("_asked").withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(n_blocks)))
-    found = None
-    for number in range(n_blocks):
-        got = asked.where(F.col("_block") == number).groupBy("_id").agg(F.min("_x").alias("x")).orderBy("_id").collect()
-        if not got:
-            continue
-        query_ids, q = np.array([r._id for r in got]), np.array([r.x for r in got], dtype=np.float64)
-        least = np.full(len(q), -np.inf)
-        for i in range(len(q)):
-            scores = np.sort((sample @ q[i])[sample_ids != query_ids[i]])
-            if len(scores) >= k:
-                least[i] = scores[-k]
-        least = np.where(np.isinf(least), -(2.0**53), least)
-        shared = spark.sparkContext.broadcast((query_ids, q, least, pivots))
-
-        def scan(batches, shared=shared):
-            query_ids, q, least, pivots = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column("_id").to_numpy()
-                x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                out = [(np.full(len(b), query_ids[i]), b, s) for i, b, s in search_batch(ids, x, query_ids, q, least, pivots, largest, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out]).astype(np.int64)) for j in range(3)], names=["query_id", "_id", "score"])
-
-        part = rows.select("_id", "_x").mapInArrow(scan, "query_id long, _id long, score long")
-        found = part if found is None else found.unionByName(part)
+    drawn = rows.select("_id", "_x").orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_x").limit(SAMPLE).toArrow()
+    sample_ids, sample = _matrix(drawn, width)
+    pivots = choose_pivots(lifted(sample, largest), PIVOTS)
+    shared = spark.sparkContext.broadcast((sample_ids, sample, pivots))
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        sample_ids, sample, pivots = shared.value
+        out = [[], [], [], []]
+        if left.num_rows and right.num_rows:
+            (ids, x), (query_ids, q) = _matrix(left, width), _matrix(right, width)
+            scores = sample @ q.T
+            scores[sample_ids[:, None] == query_ids[None, :]] = -np.inf
+            least = np.full(len(q), -(2.0**53))
+            if len(sample) >= k:
+                least = np.maximum(least, np.partition(scores, len(sample) - k, axis=0)[len(sample) - k])
+            total = np.zeros(len(q), dtype=np.int64)
+            for i, b, s, total[i] in search_block(ids, x, query_ids, q, least, pivots, largest, k):
+                out[0].append(np.full(len(b), query_ids[i]))
+                out[1].append(b)
+                out[2].append(s.astype(np.int64))
+            column = lambda parts, more: pa.array(np.concatenate([*parts, more]))
+            found = sum(map(len, out[1]))
+            blank = np.arange(found + len(q)) >= found
+            zeros = np.zeros(len(q), dtype=np.int64)
+            return pa.table(
+                {
+                    "query_id": column(out[0], query_ids),
+                    "_id": pa.array(np.concatenate([*out[1], zeros]), mask=blank),
+                    "score": pa.array(np.concatenate([*out[2], zeros]), mask=blank),
+                    "scored": pa.array(np.concatenate([np.zeros(found, dtype=np.int64), total]), mask=~blank),
+                }
+            )
+        return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "_id", "score", "scored")})
+
+    n_query, n_rows = (-(-n // size) for n, size in ((facts.asked, QUERY_BLOCK // 2), (facts.rows, BLOCK_ROWS // 2)))
+    asked = rows.where("_asked").groupBy("_id").agg(F.min("_x").alias("_x"))
+    left = _dealt(rows.select("_id", "_x"), n_rows, 11).withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+    right = _dealt(asked, n_query, 13).select(F.col("_id").alias("_qid"), F.col("_x").alias("_qx"), F.col("_block").alias("_qof"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("_qblock"))
+    pairs = left.groupBy("_block", "_of").cogroup(right.groupBy("_qblock", "_qof"))
+    return pairs.applyInArrow(scan, "query_id long, _id long, score long, scored long")
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 64.0) -> DataFrame:
+    """(query_id, rank, <id_col>, score): for each row with the condition `queries`, its k best other rows."""
+    found = searched(vectors, queries, k, id_col, vector_col, factor)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.where("_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id_col), "score")
