@@ -1,10 +1,11 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are runs of five words of the lower-cased text (a shorter text is one shingle).  A shingle's weight is its count
-in the text times its idf, 1 + IDF_SHARE * ln(1 + documents / documents with it) / ln(1 + documents):
-common shingles count for less, but not so much that members of a large family grow unlike; document counts cover the whole corpus
-and are kept in a table of fixed size, hashed (a rare shingle is then counted with those that
-share its cell, which holds the weights of rare shingles level).  Weights are rounded to steps
+in the text times its idf, 1 + IDF_SHARE * ln(1 + documents / d) / ln(1 + RARE) with d the documents that hold it, but no
+fewer than one in RARE: common shingles count for less, but not so much that members of a large family grow unlike.
+Document counts cover the whole corpus and are kept in a table of fixed size, hashed.  What a cell holds on average is
+taken off each cell: over many documents rare shingles fill all cells evenly and only common ones stand out, over few
+documents a cell holds one shingle, so idf means the same at every size.  Weights are rounded to steps
 of 1/16 in the logarithm, in samples and in verification alike.
 
 Improved consistent weighted sampling draws for each shingle and sample r, c ~ Gamma(2, 1) and
@@ -29,7 +30,8 @@ threshold, by an upper bound from the weights summed in SUMS cells.
 
 Cases: copies of a text are one node.  A null text is a class of its own, as is a text without
 words unless an equal text exists.  Rows without an id get a null class.  Rows of one id form one
-document.  Extra columns are not carried.
+document.  Ties of centrality go to the smaller id.  Very long texts are read whole.  No rows give no rows.  Extra
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ SHINGLE = 5
 BANDS, ROWS = 20, 5
 #: Cells of the table of document counts, and the chunks it travels in.
 CELLS, CHUNKS = 1 << 18, 256
-IDF_SHARE = 0.25
+IDF_SHARE, RARE = 0.25, 512
 #: Weight levels: 16 to a factor of e; level LEVEL_ONE is weight 1.
 LEVEL_STEPS, LEVEL_ONE, LEVELS = 16.0, 64, 256
 _PAIRS_R, _CUTS_C = 1 << 12, 1 << 18
@@ -143,7 +145,9 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_table(counts: np.ndarray, docs: int) -> np.ndarray:
-    return 1 + IDF_SHARE * np.log1p(docs / np.maximum(counts, 1)) / np.log1p(max(docs, 1))
+    others = (counts.sum() - counts) / (CELLS - 1)
+    own = np.maximum(counts - others, max(1, docs / RARE))
+    return 1 + IDF_SHARE * np.log1p(docs / own) / np.log1p(max(1, min(docs, RARE)))
 
 
 def weight_levels(shingle: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -303,7 +307,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large stars and small stars until the links form stars around the roots; each
     round is a min per node and a join, written to the shared folder.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    edges, before = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), None
     while True:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -318,16 +322,21 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         edges = settle(small)
+        if before is not None:
+            discard(before)
+        before = edges
         # stars: a node hangs on one root only, and no root hangs on another
         ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(
             edges.select(F.col("v").alias("n"), F.lit(0).alias("hangs"), F.lit(1).alias("root"))
         )
         if ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root")).where("hangs + root > 1").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._tidemark_path = edges._tidemark_path
+            return out
 
 
 def _rest(members: DataFrame, classes: DataFrame, drawn: DataFrame, nodes: DataFrame, weighed: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different classes in the buckets that the rounds did not compare in full."""
+    """Links (a, b) between different classes in the buckets that the rounds did not compare in full, settled."""
     capped = drawn.where(F.col("n") > COMPARED).select(F.col("b").alias("node"), F.lit(1).alias("capped"))
     sizes = weighed.select(F.col("_id").alias("node"), F.length("packed").alias("bytes"))
     known = classes.select("node", "root").join(capped, "node", "full_outer")
@@ -339,19 +348,21 @@ def _rest(members: DataFrame, classes: DataFrame, drawn: DataFrame, nodes: DataF
     unsettled = unsettled.where((F.col("classes") > 1) & ((F.col("all") > LEADERS + 1) | (F.col("any_capped") > 0))).select("bucket")
     # classes that fill a chunk are units of their own, the others of a bucket one unit
     big = F.col("texts") >= CHUNK
-    groups = settle(groups.join(unsettled, "bucket").select("bucket", "class", "texts", "bytes", F.struct(big.alias("big"), F.when(big, F.col("class")).otherwise(0).alias("of")).alias("unit")))
+    grouped = settle(groups.join(unsettled, "bucket").select("bucket", "class", "texts", "bytes", F.struct(big.alias("big"), F.when(big, F.col("class")).otherwise(0).alias("of")).alias("unit")))
     parts = F.ceil(F.greatest(F.sum("texts") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("parts")
-    units = settle(groups.groupBy("bucket", "unit").agg(parts))
+    units = settle(grouped.groupBy("bucket", "unit").agg(parts))
     chunks = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", F.struct("unit", "part").alias("chunk"))
     other = chunks.select("bucket", F.col("chunk").alias("cb"))
     pairs = chunks.withColumnRenamed("chunk", "ca").join(other, "bucket").where("ca <= cb and not (ca.unit.big and ca.unit = cb.unit)")
     ends = pairs.select("bucket", "ca", "cb", (F.col("ca") == F.col("cb")).alias("alone"), F.explode(F.array_distinct(F.array("ca", "cb"))).alias("chunk"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    dealt = placed.join(groups.select("bucket", "class", "unit"), ["bucket", "class"]).join(units, ["bucket", "unit"]).select("bucket", F.struct("unit", part).alias("chunk"), "node", "class")
+    dealt = placed.join(grouped.select("bucket", "class", "unit"), ["bucket", "class"]).join(units, ["bucket", "unit"]).select("bucket", F.struct("unit", part).alias("chunk"), "node", "class")
     texts = weighed.select(F.col("_id").alias("node"), "packed", "sums").join(nodes.select("node", "keys"), "node")
     rows = ends.join(dealt, ["bucket", "chunk"]).join(texts, "node").select("bucket", "ca", "cb", "alone", (F.col("chunk") != F.col("ca")).alias("second"), "node", "class", "packed", "sums", "keys")
     rows = rows.repartition("bucket", "ca", "cb").sortWithinPartitions("bucket", "ca", "cb")
-    return rows.mapInArrow(lambda batches: _finished(batches, threshold), "a long, b long")
+    found = settle(rows.mapInArrow(lambda batches: _finished(batches, threshold), "a long, b long"))
+    discard(placed, grouped, units)
+    return found
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -394,22 +405,32 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     met = members.select("bucket", "node").join(leaders, "bucket").where("node <> leader").groupBy("node", "leader").agg(F.max("c").alias("c"))
     rank = Window.partitionBy("node").orderBy(F.desc("c"), "leader")
     drawn = settle(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= COMPARED + 1).select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"))
-    done = 0
-    links = classes = None
+    idf.destroy()
+    done, found, classes = 0, [], None
+
+    def joined() -> DataFrame:
+        if classes is not None:
+            discard(classes)
+        links = found[0]
+        for more in found[1:]:
+            links = links.unionByName(more)
+        return connected(links)
+
     for last in ROUNDS:
         pairs = drawn.where((F.col("n") > done) & (F.col("n") <= last)).select("a", "b")
         if classes is not None:
             la, lb = classes.select(F.col("node").alias("a"), F.col("root").alias("la")), classes.select(F.col("node").alias("b"), F.col("root").alias("lb"))
             pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         done, more = last, verified(pairs)
+        found.append(more)
         if classes is None or not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-            classes = connected(links)
-    more = settle(_rest(members, classes, drawn, nodes, weighed, threshold))
+            classes = joined()
+    more = _rest(members, classes, drawn, nodes, weighed, threshold)
+    found.append(more)
     if not more.isEmpty():
-        classes = connected(links.unionByName(more))
-    discard(members, weighed, drawn)
-    by_text = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
+        classes = joined()
+    by_text = settle(nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id")))
+    discard(members, weighed, drawn, nodes, classes, *found)
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("digest"))
     # texts without words have no signature: equal ones are one class still
     bare = keyed.where(F.col("_id").isNotNull() & F.col("digest").isNotNull()).groupBy("digest").agg(F.min("_id").alias("least_id"))
