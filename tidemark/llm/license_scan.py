@@ -7,12 +7,16 @@ diagonals that neighbour each other (an inserted or lost word moves the diagonal
 they hold different places of the template, and a merged span is verified: its hits must cover enough of the
 template's words, and lie densely enough in the text.
 
-The templates are a fixed list of this module, a few hundred k-grams, so their side is broadcast.
+The templates are the paragraphs of short licenses and the notices of long ones, a fixed list of this module, or a
+table of (label, text): a folder of license texts can be read with `templates_in`.  Their k-grams are counted, and
+broadcast only if they are few; otherwise both sides are shuffled.
 
 Beside the method, base places are counted: a phrase's words standing consecutively.
 
 Cases: a null text is empty: no words, no places, labels ''.  Rows that repeat an id are judged
-each by its own text (rows equal in both are equal in the result, too).  A null id is kept.
+each by its own text (rows equal in both are equal in the result, too).  A null id is kept.  Very long texts are
+read whole.  Of templates that fit equally well each gives its label.  No rows give no rows.  Extra columns
+are not carried.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as kit
-from .shared import each_batch, small_batches
+from .shared import bounded_broadcast, each_batch, settle, small_batches
 
 K = 3
 #: Phrases whose places are counted, and their labels.
@@ -40,6 +44,24 @@ TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see http www gnu org licenses"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program if not see http www gnu org licenses"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("boost", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
@@ -61,14 +83,30 @@ def _hashes(text: str) -> np.ndarray:
     return next(kit.blocks(pa.array([text]), kit.ALNUM_SPLIT, fold=True)).hashes
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(gram, template, label, t_pos, t_words) for each place of a k-gram in a template."""
-    rows = []
-    for number, (label, text) in enumerate(templates):
-        words = _hashes(text)
-        for place, gram in enumerate(kit.rolling(words, k, 41).view(np.int64).tolist()):
-            rows.append((gram, number, label, place, len(words)))
-    return spark.createDataFrame(rows, "gram long, template int, label string, t_pos int, t_words int")
+#: K-grams up to which the templates are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def listed(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """Templates of a list as a table of (label, text)."""
+    return spark.createDataFrame([tuple(t) for t in templates], "label string, text string")
+
+
+def templates_in(spark: SparkSession, path: str) -> DataFrame:
+    """License texts as templates: each file is one, labelled by its name without the ending."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("label"), F.col("value").alias("text"))
+    return files
+
+
+def template_table(templates: DataFrame, k: int = K) -> DataFrame:
+    """(gram, template, label, t_pos, t_words) for each place of a k-gram in a template; template is a hash of its text."""
+    small_batches(templates.sparkSession)
+    texts = templates.where("label is not null and text is not null").distinct()
+    rows = texts.select(F.monotonically_increasing_id().alias("_id"), F.xxhash64("label", "text").alias("_text"), "label", "text")
+    named = rows.select(F.col("_text").alias("template"), "label").distinct()
+    grams = each_batch(lambda b: _grams(b, k), "_id long, _text long, pos int, gram long", rows.drop("label"))
+    sized = grams.groupBy(F.col("_text").alias("template")).agg((F.max("pos") + k).alias("t_words"))
+    return grams.select("gram", F.col("_text").alias("template"), F.col("pos").alias("t_pos")).join(sized, "template").join(named, "template").select("gram", "template", "label", "t_pos", "t_words")
 
 
 def _grams(batch: pa.RecordBatch, k: int):
@@ -83,12 +121,13 @@ def _grams(batch: pa.RecordBatch, k: int):
         yield pa.RecordBatch.from_arrays([ids.take(row), texts.take(row), pa.array((at - words.ptr[doc]).astype(np.int32)), pa.array(gram)], names=["_id", "_text", "pos", "gram"])
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = K) -> DataFrame:
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, k: int = K) -> DataFrame:
     """Verified spans: (_id, _text, template, label, first_word, last_word, coverage), _text a hash of the text."""
     small_batches(docs.sparkSession)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text"))
     grams = each_batch(lambda b: _grams(b, k), "_id long, _text long, pos int, gram long", texts)
-    hits = grams.join(F.broadcast(template_table(docs.sparkSession, templates, k)), "gram")
+    known = settle(template_table(listed(docs.sparkSession) if templates is None else templates, k))
+    hits = grams.join(bounded_broadcast(known, known.count(), BROADCAST_ROWS), "gram")
     # votes: a diagonal of a text and template, with the places of its hits in both
     votes = hits.groupBy("_id", "_text", "template", "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.collect_set("t_pos").alias("places")
@@ -158,13 +197,13 @@ def _base_places(batch: pa.RecordBatch):
         )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None) -> DataFrame:
     """One row for each document: id, n_words, n_base, first_word and last_word (of base places),
     base_labels, labels, score (1 with a base place, else the best coverage of a verified span, or 0)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text"))
     facts = each_batch(_base_places, "_id long, _text long, n_words long, n_base long, first_word long, last_word long, base array<string>", texts)
-    spans = license_spans(docs, id_col, text_col).groupBy("_id", "_text").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
+    spans = license_spans(docs, id_col, text_col, templates).groupBy("_id", "_text").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
     spans = spans.withColumnRenamed("_id", "span_id").withColumnRenamed("_text", "span_text")
     both = facts.join(spans, F.col("_id").eqNullSafe(F.col("span_id")) & (F.col("_text") == F.col("span_text")), "left")
     none = F.array().cast("array<string>")
