@@ -3,15 +3,24 @@
 A candidate is found by its shape and validated (check digits, ranges, calendar).  Its value is
 then permuted, under a secret key, among the valid values of its kind: a Feistel network over the
 kind's numbers, walked until it lands on a valid one.  The pseudonym is written in the layout of
-the original (separators, brackets, number of digits), and equal values get equal pseudonyms in all
+the original (separators, brackets, capitals, number of digits), and equal values get equal pseudonyms in all
 documents, whatever their layout.  With the key the step can be undone (`invert`).
 
 Kinds: card (13 to 19 digits, Luhn), ssn, phone (any ten digits after +1 or 1 or with brackets, otherwise ten
 digits of the North American plan), ipv4 (any four octets), iban (mod 97), date (year first, or day and month before a year), email (letters and digits of the
-local part).  A candidate that fails validation stays as it is.
+local part).  Digits are those of ASCII.
 
-Cases: a null text stays null with nothing found.  Empty text stays.  Whole texts are read.  All
-input columns are kept; result columns come last, underscores in front where names are taken.
+A candidate that fails validation stays, but hides nothing: the other kinds are tried where it begins, then shorter
+readings of its groups, and the search goes on just after its first character.
+
+Dates are permuted among those with as many digits in day and month, and a day over 12 among such days, so that a
+date is written the same way with and without leading zeros and reads in the order of the original.
+
+The key has no default: whoever has it can undo the pseudonyms.
+
+Cases: a null text stays null with nothing found.  Empty text stays.  Whole texts are read, very long ones too.  Repeated rows
+are equal again.  No rows give no rows.  All input columns are kept; result columns come last, underscores in front
+where names are taken.
 """
 
 from __future__ import annotations
@@ -19,26 +28,32 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import free_name, small_batches
 
 ROUNDS = 10
-DEFAULT_KEY = b"tidemark pseudonym key: replace in production"
-
-_SHAPE = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ipv4>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
-    r"|(?P<date>(?<![\d/.-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|\+1\d{10}(?!\d))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,4}(?:(?P=sep)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
-)
+#: The session's setting that holds the key, as text.
+KEY_SETTING = "spark.tidemark.pseudonym.key"
+
+#: The shapes, in the order in which they are tried at a place.
+_SHAPES = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv4": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9/-]|\.[0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<!\w)(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+1[0-9]{10})(?![0-9])",
+    "card": r"(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
+}
+_KIND_SHAPE = {kind: re.compile(shape) for kind, shape in _SHAPES.items()}
+#: Where any shape may begin.
+_SHAPE = re.compile("|".join(f"(?:{shape})" for shape in _SHAPES.values()).replace("([ -])", "(?P<sep>[ -])").replace("\\1", "(?P=sep)"))
 #: What must be in a text for any shape to be there.
 _HINT = re.compile(r"[0-9@]")
 
@@ -82,7 +97,7 @@ def _relaid(layout: str, digits: str) -> str:
 
 
 def _card(text: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if not 13 <= len(digits) <= 19 or not luhn(digits) or len(set(digits)) == 1:
         return None
     # the first digit (the network) stays, the last follows from the rest
@@ -109,7 +124,7 @@ def _phone_valid(v: int) -> bool:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     lead, own = digits[:-10], digits[-10:]
     if len(own) != 10 or lead not in ("", "1"):
         return None
@@ -161,28 +176,26 @@ _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
 
 
+def _date_class(d: datetime.date) -> tuple[bool, int]:
+    """Dates of one class have as many digits in month and day, and read in the same orders."""
+    return d.month < 10, 0 if d.day < 10 else 1 if d.day <= 12 else 2
+
+
 def _date(text: str, key: bytes, back: bool) -> str | None:
     parts = re.split(r"[-/.]", text)
     marks = re.findall(r"[-/.]", text)
-    year_first = len(parts[0]) == 4
-    orders = ["ymd"] if year_first else ["dmy", "mdy"]
-    for order in orders:
+    # a date that reads either way is day first; what reads month first only has a day over 12
+    for order in ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"]:
         at = {c: i for i, c in enumerate(order)}
         try:
             day = datetime.date(*(int(parts[at[c]]) for c in "ymd"))
         except ValueError:
             continue
-        # parts of two digits take any day and month; parts of one digit need values of one digit
-        def fits(v: int, at=at) -> bool:
-            d = datetime.date.fromordinal(_FIRST + v)
-            return all(len(str(x)) <= len(parts[at[c]]) and (len(parts[at[c]]) == 2 or len(str(x)) == 1) for c, x in (("m", d.month), ("d", d.day)))
-
         value = day.toordinal() - _FIRST
-        if not 0 <= value < _DAYS or marks[0] != marks[1] or not fits(value):
+        if not 0 <= value < _DAYS or marks[0] != marks[1]:
             return None
-        widths = "".join(str(len(parts[at[c]])) for c in "md")
-        new = datetime.date.fromordinal(_FIRST + _walk(value, _DAYS, fits, key, f"date{'' if widths == '22' else widths}", back))
-        # a date that reads either way is written day first, and its pseudonym must read as it does
+        alike = lambda v: _date_class(datetime.date.fromordinal(_FIRST + v)) == _date_class(day)  # noqa: B023, E731
+        new = datetime.date.fromordinal(_FIRST + _walk(value, _DAYS, alike, key, "date", back))
         shown = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(parts[at["m"]])), "d": str(new.day).zfill(len(parts[at["d"]]))}
         out = [shown[c] for c in order]
         return out[0] + marks[0] + out[1] + marks[1] + out[2]
@@ -191,7 +204,10 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
     local, domain = text.rsplit("@", 1)
-    bases = [(10, "0") if c.isdigit() and c.isascii() else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else None for c in local]
+    # capitals are part of the layout: they stay in their places, and the value is that of the small letters
+    capital = [c.isascii() and c.isupper() for c in local]
+    local = "".join(c.lower() if big else c for c, big in zip(local, capital, strict=True))
+    bases = [(10, "0") if c.isdigit() and c.isascii() else (26, "a") if "a" <= c <= "z" else None for c in local]
     value, size = 0, 1
     for c, base in zip(local, bases, strict=True):
         if base:
@@ -202,39 +218,67 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
     shape = "".join(b[1] if b else c for c, b in zip(local, bases, strict=True))
     value = feistel(value, size, key, f"email{shape}@{domain.lower()}", back)
     out = []
-    for c, base in zip(reversed(local), reversed(bases), strict=True):
+    for c, base, big in zip(reversed(local), reversed(bases), reversed(capital), strict=True):
         if base:
             value, d = divmod(value, base[0])
             c = chr(ord(base[1]) + d)
-        out.append(c)
+        out.append(c.upper() if big else c)
     return "".join(reversed(out)) + "@" + domain
 
 
 _KINDS = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonymise(text: str, key: bytes = DEFAULT_KEY, backwards: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def _replaced(text: str, at: int, key: bytes, backwards: bool) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value that begins at this place."""
+    for kind, shape in _KIND_SHAPE.items():
+        match = shape.match(text, at)
+        if not match:
+            continue
+        ends = [match.end()]
+        if kind in ("card", "iban"):
+            # without its last groups it may be a value beside which another number or word stands
+            ends += [at + m.start() for m in reversed(list(re.finditer(r"[ -]", match[0])))]
+        for end in ends:
+            new = _KINDS[kind](text[at:end], key, backwards)
+            if new is not None:
+                return kind, end, new
+    return None
+
+
+def pseudonymise(text: str, key: bytes, backwards: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, stop) of each replaced value in the original."""
     if not _HINT.search(text):
         return text, []
-    out, found, at = [], [], 0
-    for match in _SHAPE.finditer(text):
-        kind = match.lastgroup
-        new = _KINDS[kind](match[0], key, backwards)
-        if new is None:
+    out, found, done, at = [], [], 0, 0
+    while match := _SHAPE.search(text, at):
+        start = match.start()
+        got = _replaced(text, start, key, backwards)
+        if got is None:
+            at = start + 1
             continue
-        out += [text[at : match.start()], new]
-        found.append((kind, match.start(), match.end()))
-        at = match.end()
-    return ("".join(out) + text[at:], found) if found else (text, [])
+        kind, at, new = got
+        out += [text[done:start], new]
+        found.append((kind, start, at))
+        done = at
+    return ("".join(out) + text[done:], found) if found else (text, [])
 
 
-def invert(text: str, key: bytes = DEFAULT_KEY) -> str:
+def invert(text: str, key: bytes) -> str:
     """The text that pseudonymise() was given, if it held no other valid values."""
     return pseudonymise(text, key, backwards=True)[0]
 
 
-def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
+_DRAWN: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's KEY_SETTING; without one a random key that lasts as long as the application."""
+    held = spark.conf.get(KEY_SETTING, None)
+    return held.encode() if held else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def with_pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with pseudonymous text in text_col, and n_found, kinds (distinct, sorted, comma-joined) and found
     (kind, start and stop in the original text)."""
     small_batches(docs.sparkSession)
@@ -246,7 +290,7 @@ def with_pseudonyms(docs: DataFrame, text_col: str = "text", key: bytes = DEFAUL
             done = [pseudonymise(t, key) if isinstance(t, str) else (None, []) for t in part]
             yield pd.DataFrame({"text": [d[0] for d in done], "found": [[{"kind": k, "start": a, "stop": b} for k, a, b in d[1]] for d in done]})
 
-    out = docs.withColumn(held, replace(F.col(text_col)))
+    out = docs.withColumn(held, replace.asNondeterministic()(F.col(text_col)))
     columns = [F.col(f"{held}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     spans = F.col(f"{held}.found")
     return out.select(*columns, F.size(spans).alias(n_found), F.array_join(F.array_sort(F.array_distinct(spans["kind"])), ",").alias(kinds), spans.alias(found))

@@ -11,7 +11,7 @@ from .language_id import identify_languages
 from .license_scan import scan_licenses
 from .mixing import mixture_counts
 from .near_duplicates import near_duplicate_classes
-from .pii import with_pseudonyms
+from .pii import session_key, with_pseudonyms
 from .shared import table
 from .sharding import SHARDS, TABLE_SIZE, lookup_table, shard_names, with_shards
 from .substring_dedup import remove_repeats
@@ -24,7 +24,7 @@ def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return with_pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
