@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Rows of texts in one Arrow batch; a batch of ordinary documents is then a few megabytes.
-TEXT_BATCH = 512
+#: Rows and bytes of texts in one Arrow batch; a longer text is a batch alone.
+TEXT_BATCH, TEXT_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a local one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a local one is set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -56,9 +61,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so Arrow batches are bounded by rows too.  The package goes to the workers."""
+    """Texts are long, so the session's Arrow batches get smaller, by rows and by bytes (smaller ones that are set
+    stay).  The package goes to the workers."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    for name, most in (("maxRecordsPerBatch", TEXT_BATCH), ("maxBytesPerBatch", TEXT_BYTES)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}", str(most))
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -80,5 +89,13 @@ def each_batch(work: Callable, schema: str, df: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield from work(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Memory that the worker has freed goes back to the machine: workers wait for their next task beside the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
