@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,7 +23,8 @@ def ship(spark: SparkSession) -> None:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
-    with zipfile.PyZipFile(path, "w") as package:
-        package.writepy(here)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as package:
+        for at in sorted(Path(here).rglob("*.py")):
+            package.write(at, at.relative_to(Path(here).parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
