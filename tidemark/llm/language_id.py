@@ -47,6 +47,8 @@ UNDETERMINED = "und"
 #: among them, and characters in all, which the languages share evenly.
 SAMPLE_DOCS, LONGEST, SAMPLE_TOTAL = 24, 8000, 400_000
 PIECE = 256
+#: So few parses are gone on with one by one and not in step.
+FEW = 24
 #: Characters that are parsed at a time.
 BLOCK_CHARS = 1 << 19
 _CODE_POINTS = 0x110000
@@ -61,6 +63,7 @@ class Model:
     target: np.ndarray  #: of each place: the state that the arc leads to
     roots: np.ndarray  #: start state of each language
     bits: np.ndarray  #: log2 of the length of each language's text
+    width: int  #: number of symbols
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states; 0 where a state has no such arc."""
@@ -196,7 +199,7 @@ def learn(sample: list[tuple[str, str]]) -> Model | None:
         languages.append(language)
         roots.append(at + 1)
         bits.append(np.log2(max(2, len(codes))))
-    return Model(languages, symbols, *pack(moves, count + 2), np.array(roots), np.array(bits)) if languages else None
+    return Model(languages, symbols, *pack(moves, count + 2), np.array(roots), np.array(bits), count + 2) if languages else None
 
 
 def _followed(model: Model, codes: np.ndarray, state: np.ndarray, at: np.ndarray, end: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -214,6 +217,43 @@ def _followed(model: Model, codes: np.ndarray, state: np.ndarray, at: np.ndarray
     return out
 
 
+def _swept(model: Model, codes: np.ndarray, first: np.ndarray, n: int, text: np.ndarray, end: np.ndarray, language: np.ndarray, piece: np.ndarray, at: np.ndarray, state: np.ndarray) -> None:
+    """Corrects the marks from each of these places, in the state that the parse has there, until the marks agree with it.
+
+    A text is gone through once for each language: a parse that gets to the place of the next takes that one's place.
+    """
+    base, owner, target, symbols, marks = (memoryview(x) for x in (model.base, model.owner, model.target, codes, first.view(np.uint8)))
+    order = np.lexsort((piece, text[piece], language))
+    rows = [(int(language[i]), int(text[piece[i]]), int(at[i]), int(state[i]), int(end[piece[i]])) for i in order]
+    i = 0
+    while i < len(rows):
+        own, doc, place, here, stop = rows[i]
+        root, offset = int(model.roots[own]), own * n
+        i += 1
+        after = rows[i][2] if i < len(rows) and rows[i][:2] == (own, doc) else n
+        while True:
+            while place >= after:
+                # the marks of the parse that is left out end here: what a later one cleared is cleared already
+                i += 1
+                after = rows[i][2] if i < len(rows) and rows[i][:2] == (own, doc) else n
+            if place >= stop:
+                break
+            symbol = symbols[place]
+            j = base[here] + symbol
+            now = target[j] if owner[j] == here else 0
+            if now and here != root:
+                marks[offset + place] = 0
+            else:
+                if marks[offset + place]:
+                    break
+                marks[offset + place] = 1
+                if not now:
+                    j = base[root] + symbol
+                    now = target[j] if owner[j] == root else root
+            here = now
+            place += 1
+
+
 def phrases(codes: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text in each language, and the letters of each text."""
     starts = np.append(0, ends[:-1] + 1)
@@ -233,7 +273,11 @@ def phrases(codes: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarr
     order = np.argsort(begin - stop, kind="stable")
     length = (stop - begin)[order]
     first = np.zeros((many, n), dtype=bool)  # a phrase of the language begins here
+    flat, rows = first.ravel(), np.arange(many)[:, None] * n
     root = model.roots[:, None]
+    # a symbol that the language has never seen is a phrase alone
+    fresh = model.step(root, np.arange(model.width)[None, :])
+    fresh = np.where(fresh > 0, fresh, root)
     state = np.repeat(root, len(order), axis=1)
     live = len(order)
     for k in range(int(length[0]) if live else 0):
@@ -244,51 +288,42 @@ def phrases(codes: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarr
         now = model.step(before, symbol)
         over = now == 0
         # a phrase begins where none is open and where the open one can't go on
-        first[:, at] = over | (before == root)
-        if over.any():
-            # a symbol that the language has never seen is a phrase alone
-            fresh = model.step(root, symbol[None, :])
-            now = np.where(over, np.where(fresh > 0, fresh, root), now)
-        state[:, :live] = now
+        flat[rows + at] = over | (before == root)
+        state[:, :live] = np.where(over, fresh[:, symbol], now)
     left = np.empty_like(state)
     left[:, order] = state
     lane = lambda x: np.tile(x, many)
     roots = np.repeat(model.roots, len(begin))
     leaves = _followed(model, codes, left.ravel(), lane(stop), lane(end), roots)
-    flat = first.ravel()
     # what enters from the piece before, until both parses begin a phrase at one place
     joined = np.append(False, text[1:] == text[:-1])
-    todo = np.flatnonzero(lane(joined))
-    while len(todo):
-        language, piece = np.divmod(todo, len(begin))
-        at, upto = leaves[todo - 1], stop[piece]
-        gone = np.minimum(at, upto) - begin[piece]
-        flat[np.repeat(language * n + begin[piece] - np.cumsum(gone) + gone, gone) + np.arange(gone.sum())] = False
-        out = np.where(at >= upto, at, leaves[todo])
-        going = np.flatnonzero(at < upto)
-        at, here = at[going], model.roots[language[going]]
-        while len(going):
-            own = model.roots[language[going]]
-            symbol = codes[at]
-            now = model.step(here, symbol)
-            begins = (now == 0) | (here == own)
-            place = language[going] * n + at
-            met = begins & flat[place]
-            flat[place] = begins
-            fresh = model.step(own, symbol)
-            here = np.where(now > 0, now, np.where(fresh > 0, fresh, own))
-            at = at + 1
-            past = ~met & (at == upto[going])
-            if past.any():
-                lanes = going[past]
-                out[lanes] = _followed(model, codes, here[past], at[past], end[piece[lanes]], own[past])
-            on = ~met & ~past
-            going, at, here = going[on], at[on], here[on]
-        changed = todo[out != leaves[todo]]
-        leaves[todo] = out
-        after = changed + 1
-        after = after[after < len(leaves)]
-        todo = after[lane(joined)[after]]
+    lanes = np.flatnonzero(lane(joined))
+    language, piece = np.divmod(lanes, len(begin))
+    at, upto, own = leaves[lanes - 1], stop[piece], model.roots[language]
+    here = own.copy()
+    gone = np.minimum(at, upto) - begin[piece]
+    flat[np.repeat(language * n + begin[piece] - np.cumsum(gone) + gone, gone) + np.arange(gone.sum())] = False
+    late = at >= upto
+    waiting = [(language[late], piece[late], at[late], here[late])]
+    on = ~late
+    while len(at):
+        language, piece, at, upto, own, here = (x[on] for x in (language, piece, at, upto, own, here))
+        if len(at) <= FEW:
+            break
+        symbol = codes[at]
+        now = model.step(here, symbol)
+        begins = (now == 0) | (here == own)
+        place = language * n + at
+        met = begins & flat[place]
+        flat[place] = begins
+        here = np.where(now > 0, now, fresh[language, symbol])
+        at = at + 1
+        past = ~met & (at == upto)
+        if past.any():
+            waiting.append((language[past], piece[past], at[past], here[past]))
+        on = ~met & ~past
+    waiting.append((language, piece, at, here))
+    _swept(model, codes, flat, n, text, end, *(np.concatenate(x) for x in zip(*waiting, strict=True)))
     total = np.where(size > 0, np.add.reduceat(np.append(first, np.zeros((many, 1), dtype=bool), axis=1).astype(np.int64), starts, axis=1), 0)
     return total, letters
 
