@@ -6,8 +6,8 @@ Vectors are lifted so that larger inner products are smaller distances: a candid
 block; the largest |d(q, p) - d(x, p)| over the pivots p is a lower bound of d(q, x).  Candidates
 are evaluated in the order of their bounds, STEP at a time and then more, until the bound passes the k-th best
 distance: the rest can't be among the k best, and no candidate beyond is scored.  The k-th best starts at a score
-that k rows of a sample reach, so each block reports few rows.  Bounds are loosened by more than the
-rounding of the distances; scores are integers and exact.
+that k rows of a sample reach, so each block reports few rows.  Distances to pivots are kept as 16-bit whole steps and bounds are
+loosened by more than that rounding; scores are integers and exact.
 
 The candidates and the queries are dealt into blocks of BLOCK_ROWS and QUERY_BLOCK rows by their
 hashes, and one join brings each pair of blocks together in a task; nothing but a sample of SAMPLE rows, the pivots among
@@ -31,10 +31,12 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 
 QUERY_BLOCK, BLOCK_ROWS = 1024, 8192
-PIVOTS = 256
+PIVOTS = 128
 #: Rows of the sample that pivots and first thresholds come from.
 SAMPLE = 2048
 STEP = 512
+#: Candidates whose bounds are found at a time.
+TILE = 1024
 
 
 def scaled(vector: Column, factor: float = 64.0) -> Column:
@@ -66,43 +68,53 @@ def lifted(x: np.ndarray, largest: float) -> np.ndarray:
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, pivots: np.ndarray, largest: float, k: int):
     """For each query: its number, the ids and scores of its k best in the block that reach `least`, a score that k rows
     are known to reach, and how many candidates were scored."""
-    to_pivots = np.ascontiguousarray(_distances(lifted(x, largest), pivots).T, dtype=np.float32)
-    from_query = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots).astype(np.float32)
+    to_pivots = _distances(lifted(x, largest), pivots).T
+    from_query = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots)
     lengths = (q**2).sum(axis=1)
-    # distances are kept in single precision: bounds give way by more than its rounding
-    slack = 1e-6 * (float(np.sqrt(largest)) * 2 + float(np.sqrt(lengths.max(initial=0))) + 1)
+    # whole steps of a length: a difference of two is at most one more than that of the distances
+    steps = 32000 / max(float(to_pivots.max(initial=0)), float(from_query.max(initial=0)), 1e-9)
+    to_pivots = np.ascontiguousarray(to_pivots * steps, dtype=np.int16)
+    from_query = (from_query * steps).astype(np.int16)
 
     def reach(i: int, score: float) -> float:
         # d^2 = |q|^2 + M - 2 score: a bound above this distance can't reach the score
-        return float(np.sqrt(max(0.0, lengths[i] + largest - 2 * score))) * (1 + 1e-9) + slack
-
-    gap = np.empty(len(ids), dtype=np.float32)
+        return (float(np.sqrt(max(0.0, lengths[i] + largest - 2 * score))) * (1 + 1e-9) + 1e-6) * steps + 2
+
+    # whole numbers, kept narrow: rows are picked one by one.  No sum of their products is larger than the largest squared length
+    widest = float(np.abs(x).max(initial=0))
+    x = x.astype(next((t for t, most in ((np.int8, 127), (np.int16, 32767)) if widest <= most), np.float64))
+    kind = np.float32 if largest < 2**24 else np.float64
+    q = q.astype(kind)
+    bound = np.empty(len(ids), dtype=np.int16)
+    gap = np.empty((len(pivots), TILE), dtype=np.int16)
     for i in range(len(q)):
-        bound = np.zeros(len(ids), dtype=np.float32)
-        for row, own in zip(to_pivots, from_query[i], strict=True):
-            np.subtract(row, own, out=gap)
-            np.maximum(bound, np.abs(gap, out=gap), out=bound)
-        floor_score, scored = least[i], 0
+        own = from_query[i][:, None]
+        for at in range(0, len(ids), TILE):
+            tile = to_pivots[:, at : at + TILE]
+            far = gap[:, : tile.shape[1]]
+            np.subtract(tile, own, out=far)
+            np.abs(far, out=far).max(axis=0, out=bound[at : at + TILE])
+        floor_score, scored = float(least[i]), 0
         limit = reach(i, floor_score)
         best_ids, best_scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         # the candidates with the smallest bounds first, STEP of them, then twice as many each time
-        rest, size = np.flatnonzero(bound <= limit), STEP
-        while len(rest):
-            near = np.argpartition(bound[rest], size - 1)[:size] if size < len(rest) else np.arange(len(rest))
-            rows = rest[near]
-            scores = x[rows] @ q[i]
-            scored += len(rows)
-            keep = (scores >= floor_score) & (ids[rows] != query_ids[i])
-            best_ids, best_scores = np.append(best_ids, ids[rows][keep]), np.append(best_scores, scores[keep])
+        order = np.argsort(bound, kind="stable")
+        ranked = bound[order]
+        size = STEP
+        while scored < len(order) and ranked[scored] <= limit:
+            stop = min(scored + size, int(np.searchsorted(ranked, min(limit, 32767), side="right")))
+            rows = order[scored:stop]
+            scores = np.take(x, rows, axis=0).astype(kind) @ q[i]
+            keep = np.flatnonzero(scores >= floor_score)
+            keep = keep[ids[rows[keep]] != query_ids[i]]
+            best_ids, best_scores = np.append(best_ids, ids[rows[keep]]), np.append(best_scores, scores[keep].astype(np.float64))
             if len(best_ids) > k:
-                order = np.lexsort((best_ids, -best_scores))[:k]
-                best_ids, best_scores = best_ids[order], best_scores[order]
+                top = np.lexsort((best_ids, -best_scores))[:k]
+                best_ids, best_scores = best_ids[top], best_scores[top]
             if len(best_ids) == k:
-                floor_score = max(floor_score, best_scores.min())
+                floor_score = max(floor_score, float(best_scores.min()))
                 limit = reach(i, floor_score)
-            rest = np.delete(rest, near)
-            rest = rest[bound[rest] <= limit]
-            size *= 2
+            scored, size = stop, 2 * size
         yield i, best_ids, best_scores, scored
 
 
