@@ -56,8 +56,13 @@ def test_replay(spark):
 def test_answers(spark):
     df = spark.createDataFrame([({"a": 0.5, "b": 0.5},), ({"a": 1.5, "b": -0.5},), ({"a": 0.5},), ({"a": 0.5, "b": 0.3},)], "p map<string,double>")
     assert [r.x for r in df.select(scoring.answer_problem(F.col("p"), ["a", "b"]).alias("x")).collect()] == [None, "range", "keys", "sum"]
-    with pytest.raises(Exception, match="range"):
-        scoring.checked(df, scoring.answer_problem(F.col("p"), ["a", "b"])).where("p['a'] > 1").collect()
+    problem = scoring.answer_problem(F.col("p"), ["a", "b"])
+    with pytest.raises(ValueError, match=r"keys \(1\), range \(1\), sum \(1\)"):
+        scoring.checked(df, problem)
+    for name, where in (("range", "p['a'] > 1"), ("keys", "size(p) = 1"), ("sum", "p['b'] = 0.3D")):
+        with pytest.raises(ValueError, match=rf"problems: {name} \(1\)$"):
+            scoring.checked(df.where(where), problem)
+    assert scoring.checked(df.where("p['a'] = 0.5D and p['b'] = 0.5D"), problem).count() == 1
     rule, total = scoring.scan_rule(F.col("p"), ["b", "a"])
     assert [tuple(r) for r in df.limit(1).select(rule, total).collect()] == [("b", 1.0)]
 

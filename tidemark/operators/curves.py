@@ -6,11 +6,10 @@ gathers a curve, the rest is higher-order functions in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import appended, let, listed, paged
 from ..options import DEFAULTS
 from .intervals import Keys
 
@@ -36,12 +35,12 @@ def _sum(ys: Column) -> Column:
 
 def _prefix(ys: Column) -> Column:
     """Sums of the first 0, 1, ..., n values."""
-    return F.aggregate(ys, F.array(F.lit(0.0)), lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + y)))
 
+    def step(state: Column, y: Column) -> Column:
+        total = state["total"] + y
+        return F.struct(total.alias("total"), appended(state["sums"], total).alias("sums"))
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once and not at each place of its use."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return F.concat(F.array(F.lit(0.0)), F.aggregate(ys, F.struct(F.lit(0.0).alias("total"), paged("double").alias("sums")), step, lambda s: listed(s["sums"])))
 
 
 def changepoint(ys: Column) -> Column:

@@ -158,15 +158,20 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
 
 
-def interior_left(required: DataFrame, hits: DataFrame, keys: Keys) -> DataFrame:
+def interior_left(required: DataFrame, hits: DataFrame, keys: Keys, bucket: float | None = None) -> DataFrame:
     """For each required block (keys, start, end): seconds between its first and last hit that no hit covers."""
     block = [*keys, "b_start", "b_end"]
-    b = required.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    touching = hits.select(*keys, "start", "end").join(b, keys).where("end > b_start and start < b_end")
-    inside = touching.select(*block, F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))
+    b = required.select(*keys, "start", "end")
+    touching = overlapping(b, hits.select(*keys, "start", "end"), keys, bucket=bucket).withColumnsRenamed({"start": "b_start", "end": "b_end"})
+    inside = touching.select(*block, F.greatest("r_start", "b_start").alias("start"), F.least("r_end", "b_end").alias("end"))
     spans = inside.groupBy(*block).agg(F.min("start").alias("_a"), F.max("end").alias("_b"))
     left = covered(inside, block).join(spans, block).select(*block, (F.col("_b") - F.col("_a") - F.col("covered")).alias("left"))
-    return b.join(left, block, "left").select(*block, F.coalesce("left", F.lit(0.0)).alias("left"))
+    return b.withColumnsRenamed({"start": "b_start", "end": "b_end"}).join(left, block, "left").select(*block, F.coalesce("left", F.lit(0.0)).alias("left"))
+
+
+def _cells(start: Column, end: Column, bucket: float) -> Column:
+    """The numbers of the time buckets from start to end."""
+    return F.explode(F.sequence(F.floor(start / bucket), F.floor(end / bucket)))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner", bucket: float | None = None) -> DataFrame:
@@ -174,7 +179,8 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner
 
     right's start and end are r_start and r_end.  The keys make it an equi-join with a residual range.  With
     `bucket` seconds both sides are cut into time buckets, which join too: for keys that hold
-    very many intervals.  Pairs that meet in several buckets come once, from the first shared one.
+    very many intervals.  Pairs that meet in several buckets come once, from the first shared one; left rows that
+    are equal in all columns are judged once and come as often as they stand there.
     """
     r = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
     meets = (F.col("end") > F.col("r_start")) & (F.col("start") < F.col("r_end"))
@@ -182,36 +188,57 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner
         pair = reduce(lambda a, k: a & (left[k] == r[k]), keys[1:], left[keys[0]] == r[keys[0]]) & meets
         out = left.join(r, pair, how)
         return reduce(lambda d, k: d.drop(r[k]), keys, out) if how == "inner" else out
-    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
-    lb, rb = left.withColumn("_cell", cell("start", "end")), r.withColumn("_cell", cell("r_start", "r_end"))
+    rb = r.withColumn("_cell", _cells(F.col("r_start"), F.col("r_end"), bucket))
     if how == "inner":
         first = F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("r_start") / bucket))
+        lb = left.withColumn("_cell", _cells(F.col("start"), F.col("end"), bucket))
         return lb.join(rb, [*keys, "_cell"]).where(meets & (F.col("_cell") == first)).drop("_cell")
-    pair = reduce(lambda a, k: a & (lb[k] == rb[k]), [*keys], lb["_cell"] == rb["_cell"]) & meets
+    rows = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_n"))
+    lb = rows.withColumn("_cell", _cells(F.col("start"), F.col("end"), bucket))
+    pair = reduce(lambda a, k: a & (lb[k] == rb[k]), keys, lb["_cell"] == rb["_cell"]) & meets
     met = lb.join(rb, pair, "left_semi").drop("_cell").distinct()
-    return met if how == "left_semi" else left.join(met, left.columns, "left_anti")
+    if how == "left_anti":
+        m = met.select(*[F.col(c).alias(f"_m_{c}") for c in left.columns])
+        met = rows.join(m, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in left.columns]), "left_anti")
+    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*left.columns)
 
 
-def greatest_overlap(left: DataFrame, right: DataFrame, keys: Keys, left_id: Keys, right_cols: list[str]) -> DataFrame:
+def greatest_overlap(left: DataFrame, right: DataFrame, keys: Keys, left_id: Keys, right_cols: list[str], bucket: float | None = None) -> DataFrame:
     """For each left row: the right row with the greatest overlap (earliest, then shortest, on ties), null if none."""
-    pairs = overlapping(left, right.select(*keys, "start", "end", *right_cols), keys)
+    pairs = overlapping(left, right.select(*keys, "start", "end", *right_cols), keys, bucket=bucket)
     size = overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
     best = F.max_by(F.struct("r_start", "r_end", *right_cols, size.alias("overlap")), F.struct(size, -F.col("r_start"), -F.col("r_end")))
     chosen = pairs.groupBy(*keys, *left_id).agg(best.alias("_b"))
     return left.join(chosen, [*keys, *left_id], "left").select(*left.columns, "_b.r_start", "_b.r_end", *[F.col(f"_b.{c}").alias(c) for c in right_cols], "_b.overlap")
 
 
-def containing(points: DataFrame, segments: DataFrame, keys: Keys, point: str, point_id: Keys, seq: str, value: str) -> DataFrame:
+def same_start_or_greatest_overlap(left: DataFrame, right: DataFrame, keys: Keys, left_id: Keys, right_cols: list[str], bucket: float | None = None) -> DataFrame:
+    """For each left row: the right row that starts where it does (the shortest), or else the one with the greatest
+    overlap; `by` is start, overlap or null."""
+    equal = right.groupBy(*keys, F.col("start")).agg(F.min_by(F.struct(F.col("start").alias("r_start"), F.col("end").alias("r_end"), *right_cols), F.struct("end", *right_cols)).alias("_e"))
+    best = greatest_overlap(left, right, keys, left_id, right_cols, bucket)
+    both = best.withColumnsRenamed({c: f"_o_{c}" for c in ("r_start", "r_end", *right_cols)}).drop("overlap").join(equal, [*keys, "start"], "left")
+    by = F.when(F.col("_e").isNotNull(), "start").when(F.col("_o_r_start").isNotNull(), "overlap")
+    return both.select(*left.columns, *[F.when(F.col("_e").isNotNull(), F.col(f"_e.{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in ("r_start", "r_end", *right_cols)], by.alias("by"))
+
+
+def containing(points: DataFrame, segments: DataFrame, keys: Keys, point: str, point_id: Keys, seq: str, value: str, bucket: float | None = None) -> DataFrame:
     """Each point with `value` of the first segment (by seq) with start <= point < end, null if none."""
+    p, on = points, list(keys)
     s = segments.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(seq).alias("_q"), F.col(value).alias("_v"))
-    hit = points.join(s, keys).where((F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e"))).groupBy(*keys, *point_id).agg(F.min_by("_v", "_q").alias(value))
+    if bucket is not None:
+        p, s, on = p.withColumn("_cell", F.floor(F.col(point) / bucket)), s.withColumn("_cell", _cells(F.col("_s"), F.col("_e"), bucket)), [*on, "_cell"]
+    hit = p.join(s, on).where((F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e"))).groupBy(*keys, *point_id).agg(F.min_by("_v", "_q").alias(value))
     return points.join(hit, [*keys, *point_id], "left")
 
 
-def snapped(points: DataFrame, silences: DataFrame, keys: Keys, point: str, point_id: Keys, reach: float = DEFAULTS.snap_reach) -> DataFrame:
+def snapped(points: DataFrame, silences: DataFrame, keys: Keys, point: str, point_id: Keys, reach: float = DEFAULTS.snap_reach, bucket: float | None = None) -> DataFrame:
     """Each point moved to the nearest silence's middle within reach (earliest on ties), else as it is: `snapped`."""
+    p, on = points, list(keys)
     mids = silences.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("_mid"))
-    near = points.join(mids, keys).where(F.abs(F.col("_mid") - F.col(point)) <= reach)
+    if bucket is not None:
+        p, mids, on = p.withColumn("_cell", _cells(F.col(point) - reach, F.col(point) + reach, bucket)), mids.withColumn("_cell", F.floor(F.col("_mid") / bucket)), [*on, "_cell"]
+    near = p.join(mids, on).where(F.abs(F.col("_mid") - F.col(point)) <= reach)
     moved = near.groupBy(*keys, *point_id).agg(F.min_by("_mid", F.struct(F.abs(F.col("_mid") - F.col(point)), F.col("_mid"))).alias("_to"))
     return points.join(moved, [*keys, *point_id], "left").withColumn("snapped", F.coalesce("_to", point)).drop("_to")
 

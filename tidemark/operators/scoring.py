@@ -55,5 +55,12 @@ def answer_problem(probs: Column, names: list[str], slack: float = 0.02) -> Colu
 
 
 def checked(df: DataFrame, problem: Column) -> DataFrame:
-    """df, or an error on the first row with a problem."""
-    return df.where(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+    """df if none of its rows has a problem, else an error that counts the rows of each problem.
+
+    The rows are looked at here and now: an error inside a later filter would depend on which task came first.
+    """
+    # a row for each kind of problem
+    found = df.select(problem.alias("_problem")).where("_problem is not null").groupBy("_problem").count().orderBy("_problem").collect()
+    if found:
+        raise ValueError("answers with problems: " + ", ".join(f"{r['_problem']} ({r['count']})" for r in found))
+    return df

@@ -101,12 +101,12 @@ def iv_off(spark, sf_dir):
 
 
 def iv_score_views(spark, sf_dir):
-    s = segments(spark, sf_dir)
-    views = {"wide": _of(s, "error", "click"), "narrow": _of(s, "error").where("prob >= 0.2")}
-    out = None
-    for name, cuts in views.items():
-        part = E.score(_labels(spark, sf_dir), cuts.select("user_id", "start", "end"), episodes(spark, sf_dir), KEY).withColumn("view", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    """All views at once: the view is part of the key."""
+    views = F.explode(F.array(F.lit("wide"), F.lit("narrow")))
+    error = F.col("rule") == "error"
+    taken = F.array_compact(F.array(F.when(error | (F.col("rule") == "click"), "wide"), F.when(error & (F.col("prob") >= 0.2), "narrow")))
+    cuts = segments(spark, sf_dir).select("user_id", "start", "end", F.explode(taken).alias("view"))
+    out = E.score(_labels(spark, sf_dir).withColumn("view", views), cuts, episodes(spark, sf_dir).withColumn("view", views), ["view", *KEY])
     return rounded(out, "content_lost", "worst", "required_left", digits=3)
 
 
@@ -131,6 +131,22 @@ def iv_overlap_anti(spark, sf_dir):
     return I.overlapping(left, right.select("user_id", "start", "end"), KEY, "left_anti").select("event_id")
 
 
+def _twice(spark, sf_dir):
+    """Left rows without their ids, so that some are equal, each twice, and rows of nulls; and right rows."""
+    left, right = _sides(spark, sf_dir)
+    day = left.select("user_id", (F.floor(F.col("start") / 86400) * 86400.0).alias("start"), (F.floor(F.col("start") / 86400) * 86400.0 + 3600.0).alias("end"), F.when(F.col("event_id") % 2 == 0, F.col("rule")).alias("rule"))
+    nulls = day.select("user_id", F.lit(None).cast("double").alias("start"), F.col("end"), "rule")
+    return day.unionByName(day).unionByName(nulls), right.select("user_id", "start", "end")
+
+
+def iv_overlap_semi_bucketed(spark, sf_dir):
+    return I.overlapping(*_twice(spark, sf_dir), KEY, "left_semi", bucket=7200.0)
+
+
+def iv_overlap_anti_bucketed(spark, sf_dir):
+    return I.overlapping(*_twice(spark, sf_dir), KEY, "left_anti", bucket=7200.0)
+
+
 def iv_overlap_bucketed(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
     pairs = I.overlapping(left.select("user_id", "event_id", "start", "end"), right.select("user_id", "start", "end", F.col("event_id").alias("other_id")), KEY, bucket=7200.0)
@@ -143,6 +159,40 @@ def iv_overlap_argmax(spark, sf_dir):
     return rounded(best.select("event_id", "other_id", "overlap"), "overlap")
 
 
+def iv_overlap_argmax_bucketed(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    best = I.greatest_overlap(left.select("user_id", "event_id", "start", "end"), right.select("user_id", "start", "end", F.col("event_id").alias("other_id")), KEY, ["event_id"], ["other_id"], bucket=7200.0)
+    return rounded(best.select("event_id", "other_id", "overlap"), "overlap")
+
+
+def iv_same_start(spark, sf_dir):
+    """Views against all other events, with starts to the hour so that some are equal."""
+    left, _ = _sides(spark, sf_dir)
+    hour = lambda df: df.withColumn("start", F.floor(F.col("start") / 3600) * 3600.0)
+    right = hour(_of(segments(spark, sf_dir), "click", "error", "signup")).select("user_id", "start", "end", F.col("event_id").alias("other_id"))
+    best = I.same_start_or_greatest_overlap(hour(left).select("user_id", "event_id", "start", "end"), right, KEY, ["event_id"], ["other_id"])
+    return best.select("event_id", "other_id", "by")
+
+
+def iv_point_in_bucketed(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    points = _of(s, "view").select("user_id", "event_id", ((F.col("start") + F.col("end")) / 2).alias("middle"))
+    held = _of(s, "click", "error", "signup").withColumnRenamed("event_id", "seq")
+    return I.containing(points, held, KEY, "middle", ["event_id"], "seq", "rule", bucket=7200.0).select("event_id", "rule")
+
+
+def iv_nearest_bucketed(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    out = I.snapped(_of(s, "view").select("user_id", "event_id", "start"), _of(s, "click").select("user_id", "start", "end"), KEY, "start", ["event_id"], 7200.0, bucket=3600.0)
+    return rounded(out.select("event_id", "snapped"), "snapped")
+
+
+def iv_interior_left_bucketed(spark, sf_dir):
+    b = I.blocks(_labels(spark, sf_dir), KEY, GAP).where("required")
+    left = I.interior_left(b, _of(segments(spark, sf_dir), "view", "click", "error"), KEY, bucket=43200.0)
+    return rounded(left, "b_start", "b_end", "left", digits=3)
+
+
 def iv_point_in(spark, sf_dir):
     s = segments(spark, sf_dir)
     points = _of(s, "view").select("user_id", "event_id", ((F.col("start") + F.col("end")) / 2).alias("middle"))
@@ -326,3 +376,15 @@ UNION ALL SELECT event_id, CAST(idx // 24 AS INTEGER) + 1, TRUE FROM l WHERE idx
 UNION ALL SELECT event_id, CAST(idx // 24 AS INTEGER) - 1, TRUE FROM l WHERE idx % 24 = 0 AND idx > 0""",
     "run_region_filter": f"""WITH {SEG} SELECT user_id, "end" - "start" >= CASE WHEN rule = 'view' THEN 600.0 ELSE 1800.0 END AS kept, count(*) AS n FROM seg GROUP BY ALL""",
 }
+_TWICE = """d0 AS (SELECT user_id, floor("start" / 86400) * 86400e0 AS "start", floor("start" / 86400) * 86400e0 + 3600e0 AS "end", CASE WHEN event_id % 2 = 0 THEN rule END AS rule FROM l),
+tw AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 UNION ALL SELECT user_id, NULL, "end", rule FROM d0)"""
+_TWICE_MEET = 'tw.user_id = r.user_id AND tw."end" > r."start" AND tw."start" < r."end"'
+ORACLES |= {
+    "iv_overlap_semi_bucketed": f"WITH {SEG}, {_SIDES}, {_TWICE} SELECT * FROM tw WHERE EXISTS (SELECT 1 FROM r WHERE {_TWICE_MEET})",
+    "iv_overlap_anti_bucketed": f"WITH {SEG}, {_SIDES}, {_TWICE} SELECT * FROM tw WHERE NOT EXISTS (SELECT 1 FROM r WHERE {_TWICE_MEET})",
+    "iv_same_start": f"""WITH {SEG}, l AS (SELECT user_id, event_id, floor("start" / 3600) * 3600e0 AS "start", "end" FROM seg WHERE rule = 'view'), r AS (SELECT user_id, event_id, floor("start" / 3600) * 3600e0 AS "start", "end" FROM seg WHERE rule IN ('click', 'error', 'signup')),
+p AS (SELECT l.event_id, r.event_id AS other_id, CASE WHEN l."start" = r."start" THEN 0 ELSE 1 END AS k, r."start" AS s, r."end" AS e, least(l."end", r."end") - greatest(l."start", r."start") AS o FROM l JOIN r ON l.user_id = r.user_id AND (l."start" = r."start" OR (l."end" > r."start" AND l."start" < r."end"))),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k, CASE WHEN k = 0 THEN e END, CASE WHEN k = 1 THEN -o END, s, e, other_id) AS n FROM p)
+SELECT l.event_id, n.other_id, CASE n.k WHEN 0 THEN 'start' WHEN 1 THEN 'overlap' END AS "by" FROM l LEFT JOIN n ON n.event_id = l.event_id AND n.n = 1""",
+}
+ORACLES |= {f"{name}_bucketed": ORACLES[name] for name in ("iv_overlap_argmax", "iv_point_in", "iv_nearest", "iv_interior_left")}

@@ -28,7 +28,7 @@ def span_previous_text(spark, sf_dir):
 
 def span_outros(spark, sf_dir):
     c = cues(spark, sf_dir)
-    anchors = c.where("seq % 2 = 0").select("conv_id", F.col("seq").alias("aid"), F.col("end").alias("a_end"))
+    anchors = c.select("conv_id", F.col("seq").alias("aid"), F.col("end").alias("a_end"))
     return P.outros(c, anchors, ["conv_id"], "aid", 30.0, 700).select("conv_id", "aid", "outro")
 
 
@@ -93,13 +93,13 @@ def rec_milliseconds(spark, sf_dir):
 
 
 def span_rewritten(spark, sf_dir):
-    """Descriptions with two chapter lines of a conversation's turns, replaced by the turns' edited times."""
-    c = cues(spark, sf_dir).where("seq < 3").withColumn("title", F.concat(F.lit("Turn "), F.col("seq")))
+    """Descriptions with a chapter line for each turn of a conversation, replaced by the turns' edited times."""
+    c = cues(spark, sf_dir).withColumn("title", F.concat(F.lit("Turn "), F.col("seq")))
     from ..functions.text import clock
 
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", clock(F.col("start")).alias("t"), "title"))), lambda x: F.concat(x["t"], F.lit(" - "), F.upper(x["title"]))), "\n")
     d = c.groupBy("conv_id").agg(text.alias("_t")).select("conv_id", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Hello\n"), "_t", F.lit("\nBye"))).otherwise(F.lit("Hello")).alias("text"))
-    edited = c.where("seq < 2").select("conv_id", (F.col("start") + 1).alias("start"), "title")
+    edited = c.select("conv_id", (F.col("start") + 1).alias("start"), "title")
     return P.rewritten(d, c.select("conv_id", F.floor("start").alias("start"), "title"), edited, ["conv_id"]).select("conv_id", F.md5("text").alias("digest"))
 
 
@@ -118,7 +118,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY "start" DESC, "end"
 SELECT aid, event_id, CAST(row_number() OVER (PARTITION BY aid ORDER BY "start", "end") - 1 AS INTEGER) AS idx, 'L' AS side FROM l WHERE n <= 4
 UNION ALL SELECT aid, event_id, CAST(n - 1 AS INTEGER), 'R' FROM r WHERE n <= 4""",
     "span_previous_text": f"WITH {CUES} SELECT conv_id, seq, md5(lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY seq)) AS digest FROM cues",
-    "span_outros": f"""WITH {CUES}, a AS (SELECT conv_id, seq AS aid, "end" AS e FROM cues WHERE seq % 2 = 0)
+    "span_outros": f"""WITH {CUES}, a AS (SELECT conv_id, seq AS aid, "end" AS e FROM cues)
 SELECT a.conv_id, aid, coalesce(sum(strlen(c.text)) + count(c.seq) - 1, 0) < 700 AS outro FROM a LEFT JOIN cues c ON c.conv_id = a.conv_id AND c."end" > e AND c."start" < e + 30 GROUP BY a.conv_id, aid""",
     "span_silences": """WITH m AS (SELECT user_id, event_id, event_type AS k, event_id + 10e0 AS t, lead(event_type) OVER w AS nk, lead(event_id) OVER w + 10e0 AS nt FROM events WHERE event_type IN ('signup', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, t AS "start", coalesce(nt, 1e6) AS "end" FROM m WHERE k = 'signup' AND (nk IS NULL OR nk = 'click')""",
@@ -137,6 +137,6 @@ event_id % 600 IN (0, 408, 429) OR event_id % 600 >= 500 AS retry FROM events"""
     "rec_titles": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<untitled chapter 5>' WHEN 1 THEN '' ELSE 'a b' END AS key, page_id % 3 = 2 AS ok, false AS slug FROM pages""",
     "rec_milliseconds": "SELECT event_id, CAST(printf('%.3f', value / 8 + 0.0005e0) AS DOUBLE) AS ms FROM events",
     "cue_labelled_text": f"""WITH {CUES}, {_PIECES.format(key="conv_id", src="cues")}, {_RAW} SELECT conv_id, md5(string_agg('[' || format('S{{:03d}}', idx + 1) || '] ' || text || chr(10), '' ORDER BY idx)) AS digest FROM raw GROUP BY conv_id""",
-    "span_rewritten": f"""WITH {CUES}, t AS (SELECT conv_id, seq, "start" AS s, 'Turn ' || seq AS title FROM cues WHERE seq < 3), n AS (SELECT conv_id, string_agg({_CLOCK.format(s="s + 1")} || ' ' || title, chr(10) ORDER BY seq) AS l FROM t WHERE seq < 2 GROUP BY conv_id)
+    "span_rewritten": f"""WITH {CUES}, t AS (SELECT conv_id, seq, "start" AS s, 'Turn ' || seq AS title FROM cues), n AS (SELECT conv_id, string_agg({_CLOCK.format(s="s + 1")} || ' ' || title, chr(10) ORDER BY seq) AS l FROM t GROUP BY conv_id)
 SELECT conv_id, md5(CASE WHEN conv_id % 2 = 0 THEN 'Hello' || chr(10) || l || chr(10) || 'Bye' ELSE 'Hello' || chr(10) || chr(10) || 'Chapters' || chr(10) || l END) AS digest FROM n""",
 }

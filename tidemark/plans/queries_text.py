@@ -112,7 +112,7 @@ def txt_time_format(spark, sf_dir):
 
 
 def txt_normal_words(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.slice(T.normal_words(F.col("text")), 1, 6), " ").alias("head"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.array_join(T.normal_words(F.col("text")), " ")).alias("digest"), F.size(T.normal_words(F.col("text"))).alias("n"))
 
 
 def txt_overlap_suffix(spark, sf_dir):
@@ -137,7 +137,9 @@ def label_quote_check(spark, sf_dir):
     """
     b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(T.normal_words(F.col("text")), 1, 6), " ").alias("head"), F.size(T.normal_words(F.col("text"))).alias("n")).where("n >= 6")
     d = table(spark, sf_dir, "documents").select("doc_id", T.normal_words(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    six = d.select("doc_id", "w", F.posexplode(F.sequence(F.lit(1), F.size("w") - 5)).alias("place", "i")).select("doc_id", "place", F.array_join(F.slice("w", F.col("i"), 6), " ").alias("head"))
+    # the heads are made from the words at once: a row for each place must not carry all words
+    heads = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))
+    six = d.select("doc_id", F.posexplode(heads).alias("place", "head"))
     return six.join(b, "head").groupBy("item_id", "doc_id").agg(F.min("place").cast("long").alias("place"))
 
 
@@ -198,7 +200,7 @@ SELECT conv_id, round(coalesce(arg_max(least("start" + length(t) / 8e0 + 1.5, "e
     "txt_video_id": "SELECT page_id, CASE WHEN page_id % 5 < 4 THEN 'a-B_' || lpad(CAST(page_id AS VARCHAR), 7, '0') END AS video_id FROM pages",
     "txt_timestamp_parse": "WITH v AS (SELECT event_id, CAST(round(value * 1000) AS BIGINT) AS v FROM events) SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 0 END + (v % 60) * 60 + v % 59 + (v % 1000) / 1000e0, 6) AS seconds FROM v",
     "txt_time_format": "WITH v AS (SELECT event_id, CAST(floor(value * 37) AS BIGINT) AS s FROM events) SELECT event_id, format('{:02d}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) AS clock, format('{:d}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) AS duration FROM v",
-    "txt_normal_words": f"SELECT conv_id, turn, array_to_string(({_WORDS})[1:6], ' ') AS head FROM conversations",
+    "txt_normal_words": f"SELECT conv_id, turn, md5(array_to_string({_WORDS}, ' ')) AS digest, CAST(len({_WORDS}) AS INTEGER) AS n FROM conversations",
     "txt_overlap_suffix": rf"""WITH {CUES}, {_ROLL}, p AS (SELECT conv_id, seq, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS b, list_filter(string_split(lower(lag(text) OVER (PARTITION BY conv_id ORDER BY seq)), ' '), lambda x: x <> '') AS a FROM roll)
 SELECT conv_id, seq, CASE WHEN a IS NOT NULL THEN CAST(list_max(list_filter(range(0, least(len(a), len(b)) + 1), lambda k: k = 0 OR a[len(a) - k + 1:] = b[1:k])) AS INTEGER) END AS n FROM p""",
     "txt_line_chapter": """SELECT event_id, CASE WHEN ok THEN CAST((event_id % 75) * 60 + user_id % 70 AS DOUBLE) END AS "start", CASE WHEN ok THEN event_type END AS title

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import cues as C
@@ -68,13 +69,13 @@ def records(spark: SparkSession, root: str, schema: str, name: str = "render.m4a
 
 
 def listing(spark: SparkSession, path: str, wanted: int) -> DataFrame:
-    """The newest `wanted` accessible uploads of a saved listing (one JSON object a line, unreadable ones skipped); skipped ones between them stay."""
-    from pyspark.sql.window import Window
-
-    rows = spark.read.schema("id string, title string, availability string, position long").option("mode", "DROPMALFORMED").json(path)
+    """The newest `wanted` accessible uploads of each saved listing (a file of one JSON object a line, unreadable ones skipped);
+    skipped ones between them stay."""
+    read = spark.read.schema("id string, title string, availability string, position long").option("mode", "DROPMALFORMED").json(path)
+    rows = read.select("*", F.col("_metadata.file_path").alias("_file"))
     usable = F.coalesce(F.col("availability"), F.lit("public")).isin("public", "unlisted")
-    seen = F.sum((usable).cast("int")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.where(F.col("id").isNotNull()).withColumn("accessible", usable).withColumn("_n", F.coalesce(seen, F.lit(0))).where(F.col("_n") < wanted).drop("_n")
+    seen = F.sum((usable).cast("int")).over(Window.partitionBy("_file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.where(F.col("id").isNotNull()).withColumn("accessible", usable).withColumn("_n", F.coalesce(seen, F.lit(0))).where(F.col("_n") < wanted).drop("_n", "_file")
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
