@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import folds
 from tidemark.functions import text as tx
 from tidemark.operators import cues as C
 from tidemark.sources import captions
@@ -49,14 +50,25 @@ def test_broken_vtt_is_an_error(bad):
         C.read_vtt(bad)
 
 
-def test_repeats():
-    run = lambda rows: C.without_repeats([(float(s), float(e), t) for s, e, t in rows])
+def test_repeats(spark):
+    def run(rows):
+        df = spark.createDataFrame([("k", n, float(s), float(e), t) for n, (s, e, t) in enumerate(rows)], "k string, seq int, start double, end double, text string")
+        return [(r.seq, r.text) for r in C.deduplicated(df, ["k"]).orderBy("seq").collect()]
+
     assert run([(0, 1, "a b"), (1, 2, "a b"), (2, 3, "a b c d"), (3, 4, "C D e")]) == [(0, "a b"), (2, "c d"), (3, "e")]
     assert run([(0, 1, "a b"), (5, 6, "a b")]) == [(0, "a b"), (1, "a b")]
     # what overlaps wholly is not said anew, and what was said before it still counts
     assert run([(0, 1, "a b c"), (1, 2, "b c"), (2, 3, "b c d")]) == [(0, "a b c"), (2, "d")]
 
 
+def test_lists_of_folds(spark):
+    n = 5 * folds.PAGE + 3
+    state = lambda s, v: folds.appended(s, v)
+    got = spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(n)), folds.paged("int"), state, folds.listed).alias("x")).first().x
+    assert got == list(range(1, n + 1))
+    assert spark.range(1).select(folds.listed(folds.paged("int")).alias("x")).first().x == []
+
+
 def test_timestamps(spark):
     values = ["01:02:03.250", "02:03.500", "00:00:01,250", "x", "1:2:3:4"]
     df = spark.createDataFrame([(v,) for v in values], "t string").select(tx.timestamp_seconds(F.col("t")).alias("s"))
