@@ -23,10 +23,12 @@ def average(runs: DataFrame, keys: Keys, run: str = "run") -> DataFrame:
     return runs.groupBy(*keys, "idx").agg(F.sum("p").alias("_s")).join(n, keys).select(*keys, "idx", (F.col("_s") / F.col("_n")).alias("p"))
 
 
-def gathered(points: DataFrame, keys: Keys, *extra: str, value: str = "p") -> DataFrame:
+def gathered(points: DataFrame, keys: Keys, *extra: str | Column, value: str = "p") -> DataFrame:
     """One row for each curve: ys, and an array for each extra column, by idx."""
-    packed = F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("p"), *extra)))
-    return points.groupBy(*keys).agg(packed.alias("_c")).select(*keys, F.col("_c.p").alias("ys"), *[F.col(f"_c.{c}").alias(c) for c in extra])
+    held = points.select(*keys, "idx", F.col(value).cast("double").alias("_p"), *extra)
+    names = held.columns[len(keys) + 2 :]
+    packed = F.array_sort(F.collect_list(F.struct("idx", "_p", *names)))
+    return held.groupBy(*keys).agg(packed.alias("_c")).select(*keys, F.col("_c._p").alias("ys"), *[F.col(f"_c.{c}").alias(c) for c in names])
 
 
 def _sum(ys: Column) -> Column:
@@ -77,40 +79,58 @@ def fit_start(ys: Column) -> Column:
     return let(changepoint(ys), lambda at: F.when((step_height(ys, at) > 0) & (mean(ys, F.lit(0), at) < 0.5), at).otherwise(F.lit(0)))
 
 
-def fit_end(curves: DataFrame, keys: Keys, first: int = DEFAULTS.end_first, step: float = DEFAULTS.end_step, never: float = DEFAULTS.end_never) -> DataFrame:
-    """Where the programme comes back, from `ys`: (keys, end_idx, state).
+def end_fit(ys: Column, first: int = DEFAULTS.end_first, step: float = DEFAULTS.end_step, never: float = DEFAULTS.end_never) -> Column:
+    """struct(end_idx, state): where the programme comes back on a curve.
 
     The first `first` points are fitted, then one more each time, until a step of at least `step` is found (state `fitted`).
     Without one: `never` if no point reaches `never`, else `ambiguous`; end_idx is then null.  Fewer than two points: 0, `short`.
-    All widths of a curve are tried at once, as curves are short.
     """
-    # prefix sums are columns of their own, or each use would compute them again
-    sums = curves.select(*keys, "ys", F.size("ys").alias("_n"), _prefix(F.col("ys")).alias("_s"), _prefix(F.transform("ys", lambda y: y * y)).alias("_q"))
-    widths = F.sequence(F.least(F.lit(first), F.col("_n")), F.col("_n"))
-    tried = sums.where("_n >= 2").select(*keys, "_n", "_s", "_q", F.explode(widths).alias("_w"))
-    split = tried.withColumn("_i", _best_split(F.col("_s"), F.col("_q"), F.col("_w")))
-    s = F.col("_s")
-    height = (F.get(s, F.col("_w")) - F.get(s, F.col("_i"))) / (F.col("_w") - F.col("_i")) - F.get(s, F.col("_i")) / F.col("_i")
-    found = split.where(F.round(height, TIE_DIGITS) >= step).groupBy(*keys).agg(F.min_by("_i", "_w").alias("end_idx"))
-    joined = curves.select(*keys, F.size("ys").alias("_n"), F.array_max("ys").alias("_max")).join(found, keys, "left")
-    state = F.when(F.col("_n") < 2, "short").when(F.col("end_idx").isNotNull(), "fitted").when(F.col("_max") < never, "never").otherwise("ambiguous")
-    return joined.select(*keys, F.when(F.col("_n") < 2, F.lit(0)).otherwise(F.col("end_idx")).alias("end_idx"), state.alias("state"))
+    n = F.size(ys)
+    sums = F.struct(_prefix(ys).alias("s"), _prefix(F.transform(ys, lambda y: y * y)).alias("q"))
+
+    def tried(x: Column) -> Column:
+        s, q = x["s"], x["q"]
+        height = lambda i, w: (F.get(s, w) - F.get(s, i)) / (w - i) - F.get(s, i) / i
+        one = lambda w: let(_best_split(s, q, w), lambda i: F.struct(i.alias("i"), F.round(height(i, w), TIE_DIGITS).alias("h")))
+        return F.get(F.filter(F.transform(F.sequence(F.least(F.lit(first), n), n), one), lambda c: c["h"] >= step), 0)["i"]
+
+    at = F.when(n < 2, F.lit(0)).otherwise(let(sums, tried))
+    state = lambda i: F.when(n < 2, "short").when(i.isNotNull(), "fitted").when(F.array_max(ys) < never, "never").otherwise("ambiguous")
+    return let(at, lambda i: F.struct(i.alias("end_idx"), state(i).alias("state")))
+
+
+def fit_end(curves: DataFrame, keys: Keys, first: int = DEFAULTS.end_first, step: float = DEFAULTS.end_step, never: float = DEFAULTS.end_never) -> DataFrame:
+    """(keys, end_idx, state) of curves with `ys`."""
+    return curves.select(*keys, end_fit(F.col("ys"), first, step, never).alias("_f")).select(*keys, "_f.end_idx", "_f.state")
+
+
+def start_edges(anchors: DataFrame, points: DataFrame, keys: Keys, reach: float = DEFAULTS.start_reach, inside: float = DEFAULTS.start_inside) -> DataFrame:
+    """anchors (keys, anchor_start, anchor_end) with new_start, pick, step, points (how many it has) and seen (one from its start on
+    is at `inside` or more), from their curves (keys, idx, start, p)."""
+    x = anchors.join(gathered(points, keys, F.col("start").alias("_at")), keys, "left")
+    all_ = F.coalesce(F.arrays_zip("ys", "_at"), F.array().cast("array<struct<ys:double,_at:double>>"))
+    x = x.withColumn("_all", all_).withColumn("_near", F.filter("_all", lambda c: c["_at"] >= F.col("anchor_start") - reach))
+    x = x.withColumn("_y", F.transform("_near", lambda c: c["ys"])).withColumn("_i", fit_start(F.col("_y")))
+    within = F.filter("_near", lambda c: (c["_at"] >= F.col("anchor_start")) & (c["_at"] < F.col("anchor_end")) & (c["ys"] >= inside))
+    x = x.withColumns({"_fit": F.when(F.col("_i") > 0, F.get("_near", F.col("_i"))["_at"]), "_inside": F.get(within, 0)["_at"]})
+    pick = F.when(F.col("_fit").isNotNull(), "fitted").when(F.col("_inside").isNotNull(), "inside").otherwise("kept")
+    return x.select(
+        *anchors.columns,
+        F.coalesce("_fit", "_inside", "anchor_start").alias("new_start"),
+        pick.alias("pick"),
+        F.when(F.col("_fit").isNotNull(), step_height(F.col("_y"), F.col("_i"))).otherwise(F.lit(0.0)).alias("step"),
+        F.size("_all").alias("points"),
+        F.exists("_all", lambda c: (c["_at"] >= F.col("anchor_start")) & (c["ys"] >= inside)).alias("seen"),
+    )
 
 
 def start_edge(points: DataFrame, anchors: DataFrame, keys: Keys, reach: float = DEFAULTS.start_reach, inside: float = DEFAULTS.start_inside) -> DataFrame:
-    """Start of each anchor (keys, anchor_start, anchor_end) from its curve (keys, idx, start, p): (keys, new_start, pick).
+    """Start of each anchor (keys, anchor_start, anchor_end) from its curve (keys, idx, start, p): (keys, new_start, pick, step).
 
     The points from `reach` seconds before the anchor on are fitted; without a fit the first point within the anchor at
-    `inside` or more is taken (`inside`), and without one the anchor's start stays (`kept`).
+    `inside` or more is taken (`inside`), and without one the anchor's start stays (`kept`).  step is the fitted step's height.
     """
-    near = points.join(anchors, keys).where(F.col("start") >= F.col("anchor_start") - reach)
-    curve = gathered(near, keys, "start")
-    fitted = curve.select(*keys, "start", fit_start(F.col("ys")).alias("_at")).select(*keys, F.when(F.col("_at") > 0, F.get("start", F.col("_at"))).alias("_fit"))
-    within = near.where((F.col("start") >= F.col("anchor_start")) & (F.col("start") < F.col("anchor_end")) & (F.col("p") >= inside))
-    first = within.groupBy(*keys).agg(F.min_by("start", "idx").alias("_inside"))
-    both = anchors.join(fitted, keys, "left").join(first, keys, "left")
-    pick = F.when(F.col("_fit").isNotNull(), "fitted").when(F.col("_inside").isNotNull(), "inside").otherwise("kept")
-    return both.select(*keys, F.coalesce("_fit", "_inside", "anchor_start").alias("new_start"), pick.alias("pick"))
+    return start_edges(anchors, points, keys, reach, inside).select(*keys, "new_start", "pick", "step")
 
 
 def end_walk(ads: Column, at: Column, extend: float = DEFAULTS.extend_while) -> Column:

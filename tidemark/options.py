@@ -35,6 +35,8 @@ class Options:
     extend_while: float = 0.6
     start_reach: float = 75.0
     start_inside: float = 0.5
+    #: a step of a localized run's start curve that may take its start earlier
+    localized_min_step: float = 0.3
     outro_from: float = 0.9
     tail_min: float = 5.0
     snap_reach: float = 1.0

@@ -12,7 +12,9 @@ from ..operators import usage as U
 from ..sources import sinks
 from ..streaming.sessions import sessions
 from . import detect, fitting
-from .tables import CUES, SCORED, cues, rounded, scored, segments, table
+from .queries_curves import _change
+from .queries_intervals import _BRIDGE, _CLUSTERS, _clamped, _keeps
+from .tables import CUES, SCORED, cues, merged_sql, rounded, scored, segments, table
 
 
 
@@ -168,10 +170,51 @@ def fit_logistic(spark, sf_dir):
 
 
 def detect_plan(spark, sf_dir):
-    """Cuts of the offline detection plan over scored windows: strong runs, bridged, and weak leads, padded and fused."""
+    """Cuts of the scan alone over scored windows: strong runs, bridged, and weak leads, long ones fused."""
     return rounded(detect.cuts(scored(spark, sf_dir), segments(spark, sf_dir).select("user_id").distinct().withColumn("duration", F.lit(30 * 86400.0)), ["user_id"], detect.EVENTS), "start", "end", "confidence")
 
 
+def _detection(spark, sf_dir):
+    """Anchors of the events, and a user's events around each as points of its start and end curves."""
+    s = segments(spark, sf_dir)
+    named = detect.numbered(detect.anchors(scored(spark, sf_dir), ["user_id"], detect.EVENTS), ["user_id"])
+    a = named.select("user_id", "anchor", F.col("start").alias("a0"), F.col("end").alias("a1"))
+    at = s.select("user_id", "event_id", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.round("prob", 6).alias("p"), F.when(F.col("user_id") % 2 == 0, F.round("prob", 6)).alias("ad"))
+
+    def points(near):
+        from pyspark.sql.window import Window
+
+        w = Window.partitionBy("user_id", "anchor").orderBy("p_start", "event_id")
+        return at.join(a, "user_id").where(near).withColumn("idx", F.row_number().over(w) - 1).drop("a0", "a1", "event_id")
+
+    start = points((F.col("p_start") >= F.col("a0") - 172800) & (F.col("p_start") < F.col("a1")))
+    end = points((F.col("p_start") >= F.col("a1") - 43200) & (F.col("p_start") < F.col("a1") + 172800))
+    inside = points((F.col("p_start") >= F.col("a0")) & (F.col("p_start") < F.col("a1"))).select("user_id", "anchor", F.col("p_start").alias("start"), F.when(F.col("ad").isNotNull(), F.col("p")).otherwise(F.col("p") / 2).alias("p"))
+    return named, start, end, inside
+
+
+_ANCHOR = ["user_id", "anchor"]
+
+
+def detect_starts(spark, sf_dir):
+    named, start, _, inside = _detection(spark, sf_dir)
+    return rounded(detect.bound_starts(named, start, inside, _ANCHOR, detect.EVENTS), "new_start")
+
+
+def detect_ends(spark, sf_dir):
+    named, _, end, _ = _detection(spark, sf_dir)
+    return rounded(detect.bound_ends(named, end, _ANCHOR, detect.EVENTS), "new_end")
+
+
+def detect_regions(spark, sf_dir):
+    """The whole run from scored windows to padded cuts and what they leave, each user's first half of anchors as outros."""
+    named, start, end, inside = _detection(spark, sf_dir)
+    eps = segments(spark, sf_dir).select("user_id").distinct().withColumn("duration", F.lit(30 * 86400.0))
+    found = detect.bounded(named, start, end, inside, named.select(*_ANCHOR, (F.col("anchor") % 2 == 0).alias("outro")), _ANCHOR, detect.EVENTS)
+    done, kept = detect.edited(found.drop("anchor"), eps, ["user_id"], detect.EVENTS)
+    return rounded(done.select("user_id", F.lit("cut").alias("kind"), "start", "end").unionByName(kept.select("user_id", F.lit("keep").alias("kind"), "start", "end")), "start", "end")
+
+
 def stream_session_neighbour(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return sessions(e, "user_id", "ts", "6 hours").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
@@ -256,3 +299,64 @@ g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELE
 SELECT c_custkey AS channel, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>' || c_name || '</title><link>https://example.org/</link><description>' || c_mktsegment || '</description>' || coalesce(items, '') || '</channel></rss>') AS digest FROM customer LEFT JOIN x ON x.channel = c_custkey""",
     "sink_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
 }
+_O = detect.EVENTS
+_ANCHORS = f"""{SCORED}, {_CLUSTERS.format(t=_O.anchor_threshold)}, {_BRIDGE.format(gap=_O.bridge_gap)},
+wf AS (SELECT *, rule <> 'content' AND prob >= {_O.weak_lead} AND prob < {_O.anchor_threshold} AND coalesce(lag(prob) OVER w, 0) < {_O.anchor_threshold} AND coalesce(lead(prob) OVER w, 0) < {_O.anchor_threshold} AS ok FROM scored WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+wg AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM wf),
+weak AS (SELECT user_id, arg_min(rule, idx) AS rule, min("start") AS "start", max("end") AS "end", max(prob) AS prob FROM wg WHERE ok GROUP BY user_id, g),
+both_ AS (SELECT user_id, rule, "start", "end", prob, false AS loc FROM bridged UNION ALL SELECT user_id, rule, "start", "end", prob, true FROM weak),
+anc AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY "start", "end", rule, loc) - 1 AS INTEGER) AS anchor, "start" AS a0, "end" AS a1 FROM both_)"""
+
+
+def _fused_sql(source: str, pre: float, post: float) -> str:
+    """CTEs from regions (user_id, rule, start, end, prob, loc) to fused cuts: `cuts`."""
+    more = ", CASE WHEN min(rule) = max(rule) THEN min(rule) ELSE 'mixed' END AS rule, CASE WHEN min(source) = max(source) THEN min(source) ELSE 'mixed' END AS source, min(confidence) AS confidence"
+    return f"""long_ AS (SELECT user_id, rule, "start", "end", prob AS confidence, CASE WHEN loc THEN 'localized' ELSE 'scan' END AS source FROM {source} WHERE "end" - "start" >= CASE WHEN loc THEN {_O.min_localized_region} ELSE {_O.min_region} END),
+{_clamped("long_", "cl", 2592000.0, ", rule, source, confidence")},
+wide AS (SELECT user_id, rule, source, confidence, "start" - {pre} AS "start", "end" + {post} AS "end" FROM cl),
+{_clamped("wide", "cw", 2592000.0, ", rule, source, confidence")},
+{merged_sql("cw", _O.merge_gap, "cuts", more)}"""
+
+
+_POINT = 'SELECT a.user_id, a.anchor, a.user_id * 100000 + a.anchor AS k, a0, a1, loc, s."start" AS s, s."end" AS e, round(s.prob, 6) AS p, CASE WHEN a.user_id % 2 = 0 THEN round(s.prob, 6) END AS ad, s.event_id'
+
+
+def _starts_sql() -> str:
+    """CTEs of detect_starts: `st` (user_id, anchor, new_start, reason)."""
+    return f"""sp AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, event_id) - 1 AS o FROM ({_POINT} FROM anc a JOIN seg s ON s.user_id = a.user_id AND s."start" >= a0 - 172800 AND s."start" < a1) t),
+near_ AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS idx FROM sp WHERE s >= a0 - {_O.start_reach}), {_change("(SELECT k, idx, p FROM near_)", "sc", "k")},
+sf AS (SELECT n.k, n.s, sc.height FROM sc JOIN near_ n ON n.k = sc.k AND n.idx = sc.cp WHERE height > 0 AND before < 0.5),
+si AS (SELECT k, arg_min(s, o) AS s FROM near_ WHERE s >= a0 AND p >= {_O.start_inside} GROUP BY k),
+sq AS (SELECT k, min(s) FILTER (s >= a0 AND CASE WHEN ad IS NULL THEN p / 2 ELSE p END >= {_O.anchor_threshold}) AS sure, bool_or(s >= a0 AND p >= {_O.start_inside}) AS seen, count(*) AS n FROM sp GROUP BY k),
+sm AS (SELECT a.*, coalesce(sf.s, si.s) AS new_, CASE WHEN sf.s IS NOT NULL THEN 'fitted' WHEN si.s IS NOT NULL THEN 'inside' END AS pick, coalesce(sf.height, 0) AS step, sure, seen, n
+ FROM anc a LEFT JOIN sf ON sf.k = a.user_id * 100000 + a.anchor LEFT JOIN si ON si.k = a.user_id * 100000 + a.anchor LEFT JOIN sq ON sq.k = a.user_id * 100000 + a.anchor),
+so AS (SELECT *, coalesce(n > 1 AND pick IS NOT NULL AND CASE WHEN loc THEN new_ < a1 AND (new_ >= a0 OR step >= {_O.localized_min_step}) ELSE new_ >= a0 OR seen END, false) AS ok, coalesce(n > 1 AND NOT loc AND sure IS NOT NULL, false) AS ask FROM sm),
+st AS (SELECT user_id, anchor, rule, prob, loc, a1, CASE WHEN ok THEN new_ WHEN ask THEN sure ELSE a0 END AS new_start, CASE WHEN ok THEN pick WHEN ask THEN 'classified' ELSE 'kept' END AS reason FROM so)"""
+
+
+def _ends_sql(source: str) -> str:
+    """CTEs of detect_ends for anchors `source` (user_id, anchor, b0: start, a1: end, loc): `en` (user_id, anchor, new_end, reason)."""
+    return f"""ep0 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, event_id) - 1 AS idx FROM ({_POINT.replace("a0, ", "b0, ")} FROM {source} a JOIN seg s ON s.user_id = a.user_id AND s."start" >= a1 - 43200 AND s."start" < a1 + 172800) t),
+el AS (SELECT k, count(*) AS n, max(p) AS m, count(ad) > 0 AS has, arg_max(e, idx) AS le, min(idx) FILTER (s >= b0 AND s < a1 AND ad >= {_O.extend_while}) AS seed, min(idx) FILTER (s >= a1) AS after, min(idx) FILTER (s >= b0 AND s < a1) AS tail,
+ arg_min(s, idx) FILTER (s >= b0 AND s < a1) AS ts, coalesce(bool_or(ad > {1 - _O.extend_while}) FILTER (s >= b0 AND s < a1), false) AS loud, any_value(b0) AS b0 FROM ep0 GROUP BY k),
+ew AS (SELECT k, unnest(range(least({_O.end_first}, n), n + 1)) AS w FROM el WHERE n >= 2),
+epre AS (SELECT p.k * 10000 + w.w AS k, p.idx, p.p FROM ep0 p JOIN ew w ON w.k = p.k AND p.idx < w.w), {_change("epre", "ec", "k")},
+eh AS (SELECT k // 10000 AS k, arg_min(cp, k) AS cp FROM ec WHERE round(height, 12) >= {_O.end_step} GROUP BY k // 10000),
+es AS (SELECT el.*, cp, CASE WHEN n < 2 THEN 'short' WHEN cp IS NOT NULL THEN 'fitted' WHEN m < {_O.end_never} THEN 'never' ELSE 'ambiguous' END AS state, has AND tail IS NOT NULL AND NOT loud AND ts - b0 >= {_O.min_region} AS keeps FROM el LEFT JOIN eh USING (k)),
+eb AS (SELECT *, CASE state WHEN 'never' THEN n WHEN 'ambiguous' THEN coalesce(seed, CASE WHEN keeps THEN tail ELSE coalesce(after, n) END) WHEN 'short' THEN 0 ELSE cp END AS base, CASE WHEN state = 'ambiguous' AND seed IS NULL AND keeps THEN 'low tail kept' ELSE state END AS why FROM es),
+ea AS (SELECT eb.k, any_value(eb.n) AS n, any_value(base) AS base, any_value(why) AS why, any_value(le) AS le, CASE WHEN any_value(has) THEN coalesce(min(p.idx) FILTER (p.idx >= base AND p.ad < {_O.extend_while}), any_value(eb.n)) ELSE any_value(base) END AS at_ FROM eb JOIN ep0 p ON p.k = eb.k GROUP BY eb.k),
+en AS (SELECT a.user_id, a.anchor, CASE WHEN loc OR coalesce(n, 0) < 2 THEN a.a1 WHEN at_ >= n THEN greatest(le, a.a1) ELSE q.s END AS new_end,
+ CASE WHEN loc THEN 'localized run' WHEN coalesce(n, 0) < 2 THEN 'no curve' WHEN at_ > base THEN why || ', extended' ELSE why END AS reason
+ FROM {source} a LEFT JOIN ea ON ea.k = a.user_id * 100000 + a.anchor LEFT JOIN (SELECT k, idx, s FROM ep0) q ON q.k = ea.k AND q.idx = ea.at_)"""
+
+
+ORACLES |= {
+    "detect_plan": f'WITH {_ANCHORS}, {_fused_sql("anc", 0, 0)} SELECT user_id, round("start", 6) AS "start", round("end", 6) AS "end", rule, source, round(confidence, 6) AS confidence FROM cuts',
+    "detect_starts": f"WITH {_ANCHORS}, {_starts_sql()} SELECT user_id, anchor, round(new_start, 6) AS new_start, reason FROM st",
+    "detect_ends": f"WITH {_ANCHORS}, anb AS (SELECT *, a0 AS b0 FROM anc), {_ends_sql('anb')} SELECT user_id, anchor, round(new_end, 6) AS new_end, reason FROM en",
+    "detect_regions": f"""WITH {_ANCHORS}, {_starts_sql()},
+tr AS (SELECT st.user_id, st.anchor, min(s) AS s FROM st JOIN sp ON sp.user_id = st.user_id AND sp.anchor = st.anchor WHERE st.anchor % 2 = 0 AND new_start < st.a1 AND sp.s >= sp.a0 AND sp.s >= new_start AND CASE WHEN ad IS NULL THEN p / 2 ELSE p END >= {_O.outro_from} GROUP BY ALL),
+anb AS (SELECT st.*, greatest(new_start, coalesce(tr.s, new_start)) AS b0 FROM st LEFT JOIN tr USING (user_id, anchor)), {_ends_sql('anb')},
+rg AS (SELECT anb.user_id, anb.rule, anb.prob, anb.loc, b0 AS "start", new_end AS "end" FROM anb JOIN en USING (user_id, anchor)), {_fused_sql("rg", _O.pad_before, _O.pad_after)}, {_keeps("cuts", _O.min_keep)}
+SELECT user_id, 'cut' AS kind, round("start", 6) AS "start", round("end", 6) AS "end" FROM cuts UNION ALL SELECT user_id, 'keep', round("start", 6), round("end", 6) FROM kept""",
+}

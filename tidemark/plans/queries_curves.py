@@ -48,7 +48,7 @@ def curve_fit_start(spark, sf_dir):
 def curve_start_edge(spark, sf_dir):
     days = _days(spark, sf_dir)
     anchors = days.groupBy("user_id").agg((F.min("start") + 10 * 86400.0).alias("anchor_start"), (F.min("start") + 20 * 86400.0).alias("anchor_end"))
-    return C.start_edge(days.select("user_id", "idx", "start", "p"), anchors, KEY, 6 * 86400.0, 0.25)
+    return C.start_edge(days.select("user_id", "idx", "start", "p"), anchors, KEY, 6 * 86400.0, 0.25).drop("step")
 
 
 def curve_fit_end(spark, sf_dir):
