@@ -120,3 +120,10 @@ def tables(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame]:
 def channel_rules(rules: DataFrame, channels: DataFrame) -> DataFrame:
     """(channel, rule): the rules of each channel; a channel that names none has all."""
     return channels.join(F.broadcast(rules), (F.size("rules") == 0) | F.array_contains("rules", F.col("rule"))).select("channel", "rule", "position")
+
+
+def criteria(rules: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """(keys, criteria): a scan's choices, a map of the rules (keys, rule, prompt) and of content itself."""
+    entry = F.struct(F.col("rule").alias("key"), F.col("prompt").alias("value"))
+    own = F.struct(F.lit(CONTENT_RULE).alias("key"), F.lit(content).alias("value"))
+    return rules.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.array_append(F.collect_list(entry), own))).alias("criteria"))

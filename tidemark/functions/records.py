@@ -85,3 +85,27 @@ def retryable(status: Column) -> Column:
 def outcome(error: Column, skipped: Column, published: Column, rendered: Column) -> Column:
     """The first that holds: failed, skipped, published, rendered, else waiting."""
     return F.when(error.isNotNull(), "failed").when(skipped, "skipped").when(published, "published").when(rendered, "rendered").otherwise("waiting")
+
+
+#: What a refusal's message holds, in lower case, and the reason it stands for; the first that fits counts.
+REFUSALS = (
+    ("members-only", "members-only"),
+    ("available to this channel's members", "members-only"),
+    ("private video", "private"),
+    ("premieres in", "upcoming"),
+    ("this live event will begin", "upcoming"),
+)
+
+
+def refusal(message: Column) -> Column:
+    """The reason that a message gives for a video that can't be had; null for messages of passing failures."""
+    low = F.lower(message)
+    out = F.lit(None).cast("string")
+    for text, reason in reversed(REFUSALS):
+        out = F.when(F.contains(low, F.lit(text)), reason).otherwise(out)
+    return out
+
+
+def backoff(attempt: Column, first: float = 0.5, jitter: Column | float = 0.0) -> Column:
+    """Seconds to wait after the attempt (from 0): twice as long each time, and the jitter's share more."""
+    return F.lit(first) * F.pow(F.lit(2.0), attempt) * (F.lit(1.0) + (jitter if isinstance(jitter, Column) else F.lit(float(jitter))))

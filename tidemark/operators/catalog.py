@@ -124,3 +124,31 @@ def latest_state(events: DataFrame, keys: Keys, version: str) -> DataFrame:
     rest = [c for c in events.columns if c not in keys]
     out = events.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_s"), F.bool_or(F.col("stage") == "published").alias("has_published"))
     return out.select(*keys, "_s.*", "has_published")
+
+
+def joined(sides: dict[str, DataFrame], keys: Keys) -> DataFrame:
+    """Full outer join of several tables by their keys: in_<side> for each, and all other columns (null where a side lacks the
+    key).  Each side has a key once; one shuffle serves all sides."""
+    rows = None
+    for name, df in sides.items():
+        part = df.withColumns({f"in_{n}": F.lit(n == name) for n in sides})
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    flags = [f"in_{n}" for n in sides]
+    rest = [c for c in rows.columns if c not in (*keys, *flags)]
+    return rows.groupBy(*keys).agg(*[F.bool_or(c).alias(c) for c in flags], *[F.max(c).alias(c) for c in rest])
+
+
+def live(revisions: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """revisions with `live`: whether anything used names their key."""
+    named = used.select(F.col(key).alias("_used")).distinct()
+    return revisions.join(named, revisions[key] == named["_used"], "left").withColumn("live", F.col("_used").isNotNull()).drop("_used")
+
+
+def ready(episodes: DataFrame) -> DataFrame:
+    """Rendered episodes that wait only for their publication."""
+    return episodes.where((F.col("stage") == "rendered") & F.col("publish_pending") & ~F.col("delete_pending") & (F.col("removal") == ""))
+
+
+def subscriptions(channels: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """Enabled channels that have published anything."""
+    return channels.where("enabled").join(published.select(key).distinct(), key, "left_semi")

@@ -72,3 +72,15 @@ def edge_summary(offsets: DataFrame, keys: Keys, value: str = "off", near: float
         F.count_if(x > near).alias("late"),
         F.coalesce(F.sum(F.when(x > near, x)), F.lit(0.0)).alias("late_seconds"),
     )
+
+
+def class_counts(rows: DataFrame, label: str, distinct: list[str]) -> DataFrame:
+    """(label, rows, <column>s): how many rows of each class, and how many different values of the columns."""
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(f"{c}s") for c in distinct])
+
+
+def report(scores: DataFrame, keys: Keys, over: float = DEFAULTS.worst_cut) -> DataFrame:
+    """(json): the totals of scores and each episode's row, by the keys.  One document, as the report is one file."""
+    row = F.struct(*keys, *[c for c in scores.columns if c not in keys])
+    rows = scores.agg(F.array_sort(F.collect_list(row)).alias("episodes"))
+    return rollup(scores, over).select(F.struct("*").alias("totals")).crossJoin(rows).select(F.to_json(F.struct("totals", "episodes")).alias("json"))

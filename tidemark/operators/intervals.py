@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..options import DEFAULTS
+from ..shipping import plain_unions
 
 Keys = list[str]
 
@@ -95,6 +96,7 @@ def covered(df: DataFrame, keys: Keys, name: str = "covered") -> DataFrame:
 
 def _swept(sides: list[DataFrame], keys: Keys) -> DataFrame:
     """The pieces between all ends of several sets, with how many intervals of each set cover them (d0, d1, ...)."""
+    plain_unions(sides[0].sparkSession)
     events = []
     for i, side in enumerate(sides):
         for c, step in (("start", 1), ("end", -1)):

@@ -64,3 +64,10 @@ def checked(df: DataFrame, problem: Column) -> DataFrame:
     if found:
         raise ValueError("answers with problems: " + ", ".join(f"{r['_problem']} ({r['count']})" for r in found))
     return df
+
+
+def with_predicate(maps: DataFrame, answers: DataFrame, keys: Keys, name: str = "predicate", value: str = "p") -> DataFrame:
+    """Feature maps (keys, values) with one more feature: the answer (keys, p) of the predicate itself, where there is one."""
+    both = maps.join(answers.select(*keys, F.col(value).cast("double").alias("_p")), keys, "left")
+    more = F.when(F.col("_p").isNotNull(), F.map_concat("values", F.create_map(F.lit(name), F.col("_p")))).otherwise(F.col("values"))
+    return both.withColumn("values", more).drop("_p")

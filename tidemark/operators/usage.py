@@ -44,3 +44,12 @@ def deltas(totals: DataFrame, keys: Keys, order: str, counters: list[str]) -> Da
     w = Window.partitionBy(*keys).orderBy(order)
     step: dict[str, Column] = {c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)) for c in counters}
     return totals.withColumns(step)
+
+
+def attributed(attempts: DataFrame, runs: DataFrame, keys: Keys, at: str, counters: list[str]) -> DataFrame:
+    """Unfinished runs (keys, at, result) with the counters of the attempts that began under them: those with the run's keys and
+    start instant.  A finished run takes nothing more."""
+    sums = attempts.groupBy(*keys, at).agg(*[F.sum(c).alias(c) for c in counters], F.count(F.lit(1)).alias("attempts"))
+    open_ = F.col("result") == "unfinished"
+    out = runs.join(sums, [*keys, at], "left")
+    return out.select(*runs.columns, *[F.when(open_, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).alias(c) for c in ("attempts", *counters)])

@@ -294,7 +294,7 @@ SELECT conv_id, at_ AS "start", title FROM (SELECT *, row_number() OVER (PARTITI
     "ev_same_decisions": f"WITH {SCORED} SELECT user_id, count(*) AS only_left, CAST(0 AS BIGINT) AS only_right FROM seg WHERE rule = 'error' AND user_id % 2 = 1 GROUP BY user_id",
     "stream_session_neighbour": """WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM g GROUP BY user_id, g""",
-    "sink_feed": f"""WITH {_EP}, t AS (SELECT *, {_N} AS n FROM ep), x AS (SELECT channel, string_agg('<item><title>' || priority || '</title><guid>' || video_id || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://example.org/a?b&amp;c=' || video_id || '" length="' || bytes || '" type="audio/mp4"/><itunes:duration>' ||
+    "sink_feed": f"""WITH {_EP}, t AS (SELECT *, {_N} AS n FROM ep), x AS (SELECT channel, string_agg('<item><title>' || priority || '</title><guid>' || video_id || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://example.org/a?b&amp;c=' || video_id || '" length="' || bytes || '" type="audio/x-m4a"/><itunes:duration>' ||
  format('{{:d}}:{{:02d}}:{{:02d}}', CAST(floor(bytes / 100) AS BIGINT) // 3600, CAST(floor(bytes / 100) AS BIGINT) % 3600 // 60, CAST(floor(bytes / 100) AS BIGINT) % 60) || '</itunes:duration></item>', chr(10) ORDER BY n) AS items FROM t WHERE n <= 3 GROUP BY channel)
 SELECT c_custkey AS channel, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>' || c_name || '</title><link>https://example.org/</link><description>' || c_mktsegment || '</description>' || coalesce(items, '') || '</channel></rss>') AS digest FROM customer LEFT JOIN x ON x.channel = c_custkey""",
     "sink_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",

@@ -88,6 +88,14 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Rows of a saved state (JSON); None if nothing was saved yet.  What is saved and can't be read is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def missing(requested: DataFrame, available: DataFrame, keys: list[str]) -> DataFrame:
     """Requested keys with nothing available, for an all-or-nothing check before a run."""
     return requested.select(*keys).distinct().join(available.select(*keys).distinct(), keys, "left_anti")

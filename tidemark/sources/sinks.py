@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import duration_text
+from ..functions.text import clock, duration_text
 
 
 def escaped(text: Column) -> Column:
@@ -20,17 +20,52 @@ def _element(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))
 
 
+def _linked(name: str, attribute: str, value: Column, more: str = "") -> Column:
+    """An element that is one address or name; nothing without it."""
+    return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.concat(F.lit(f'<{name} {attribute}="'), escaped(value), F.lit(f'"{more}/>')))
+
+
+#: The namespaces of a feed's elements.
+NAMESPACES = (
+    ("itunes", "http://www.itunes.com/dtds/podcast-1.0.dtd"),
+    ("atom", "http://www.w3.org/2005/Atom"),
+    ("podcast", "https://podcastindex.org/namespace/1.0"),
+    ("psc", "http://podlove.org/simple-chapters"),
+)
+
+
 def feed_xml(feeds: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """(key, xml): RSS of each show.  feeds: key, title, link, description; items: key, place, guid, title, published_at, url, bytes, seconds."""
+    """(key, xml): RSS of each show.  feeds: key, title, link, description; items: key, place, guid, title, published_at, url, bytes, seconds.
+
+    Columns that may be there: language, category, image of a feed (link is then its own address, too); description, image,
+    chapters_url and chapters (array of start, title) of an item.
+    """
+    more = [_element("description", F.col("description"))] if "description" in items.columns else []
+    more += [_linked("itunes:image", "href", F.col("image"))] if "image" in items.columns else []
+    more += [_linked("podcast:chapters", "url", F.col("chapters_url"), ' type="application/json+chapters"')] if "chapters_url" in items.columns else []
+    if "chapters" in items.columns:
+        one = lambda c: F.concat(F.lit('<psc:chapter start="'), clock(c["start"], True), F.lit('" title="'), escaped(c["title"]), F.lit('"/>'))
+        listed = F.array_join(F.transform("chapters", one), "")
+        more.append(F.when(F.size("chapters") > 0, F.concat(F.lit('<psc:chapters version="1.2">'), listed, F.lit("</psc:chapters>"))).otherwise(""))
     item = F.concat(
         F.lit("<item>"), _element("title", F.col("title")), _element("guid", F.col("guid")),
         _element("pubDate", F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss Z")),
-        F.lit('<enclosure url="'), escaped(F.col("url")), F.lit('" length="'), F.col("bytes").cast("string"), F.lit('" type="audio/mp4"/>'),
-        _element("itunes:duration", duration_text(F.col("seconds"))), F.lit("</item>"),
+        F.lit('<enclosure url="'), escaped(F.col("url")), F.lit('" length="'), F.col("bytes").cast("string"), F.lit('" type="audio/x-m4a"/>'),
+        _element("itunes:duration", duration_text(F.col("seconds"))), *more, F.lit("</item>"),
     )
     lists = items.withColumn("_x", item).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_x"))), lambda x: x["_x"]), "\n").alias("_items"))
     head = F.concat(_element("title", F.col("title")), _element("link", F.col("link")), _element("description", F.col("description")))
-    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel>'), head, F.coalesce("_items", F.lit("")), F.lit("</channel></rss>"))
+    own = []
+    if "language" in feeds.columns:
+        own.append(_element("language", F.when(F.coalesce("language", F.lit("")) == "", "en-us").otherwise(F.col("language"))))
+    if "category" in feeds.columns:
+        own.append(_linked("itunes:category", "text", F.when(F.coalesce("category", F.lit("")) == "", "Technology").otherwise(F.col("category"))))
+    if "image" in feeds.columns:
+        own.append(_linked("itunes:image", "href", F.col("image")))
+        own.append(F.concat(F.lit('<atom:link href="'), escaped(F.col("link")), F.lit('" rel="self" type="application/rss+xml"/>')))
+    head = F.concat(head, *own) if own else head
+    spaces = NAMESPACES if own or more else NAMESPACES[:1]
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"' + "".join(f' xmlns:{n}="{u}"' for n, u in spaces) + "><channel>"), head, F.coalesce("_items", F.lit("")), F.lit("</channel></rss>"))
     return feeds.join(lists, key, "left").select(key, xml.alias("xml"))
 
 
@@ -46,3 +81,18 @@ def changed(documents: DataFrame, written: DataFrame, key: str, content: str) ->
     """Documents whose content is not what was written under their key: those to write."""
     new = documents.withColumn("sha256", F.sha2(content, 256))
     return new.join(written.select(key, "sha256"), [key, "sha256"], "left_anti")
+
+
+def feature_lines(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(place, line): rows as JSON lines, in their order over all rows (a sort by ranges, so no task holds them all)."""
+    columns = [c for c in rows.columns if c not in order]
+    return rows.orderBy(*order).select(*order, F.to_json(F.struct(*order, *columns)).alias("line"))
+
+
+def write_complete(rows: DataFrame, path: str, expected: int, order: list[str]) -> int:
+    """Rows as JSON lines at path, replaced only by a complete set: `expected` rows, and some."""
+    n = rows.count()
+    if not n or n != expected:
+        raise ValueError(f"{n} rows of {expected}: what is there stays")
+    rows.orderBy(*order).write.mode("overwrite").json(path)
+    return n
