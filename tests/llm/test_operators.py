@@ -161,6 +161,21 @@ def test_lookup_table_is_even_and_stable():
         sharding.lookup_table([])
 
 
+def test_lookup_table_equals_turns_by_hand():
+    """Whole permutations, and each shard's first slot that is free, turn by turn."""
+    size, names = 61, sharding.shard_names(7)
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    orders = [[(number(f"offset {s}") % size + i * (number(f"step {s}") % (size - 1) + 1)) % size for i in range(size)] for s in names]
+    assert all(sorted(o) == list(range(size)) for o in orders)
+    owner = {}
+    while len(owner) < size:
+        for shard, order in enumerate(orders):
+            free = [x for x in order if x not in owner]
+            if free:
+                owner[free[0]] = shard
+    assert sharding.lookup_table(names, size) == [owner[i] for i in range(size)]
+
+
 def test_sharding_of_awkward_rows(spark):
     out = sharding.with_shards(corpora.documents(spark), shards=4, size=251).collect()
     assert len(out) == len(corpora.rows())
@@ -530,6 +545,11 @@ def test_bound_is_no_less_than_the_similarity():
     (out,) = near_duplicates._weighted(batch, near_duplicates.idf_table(np.ones(near_duplicates.CELLS, dtype=np.int64), 60))
     packed, sums = out.column("packed").to_pylist(), out.column("sums").to_pylist()
     close = 0
+    column = pa.array(sums, pa.binary())
+    for i in range(60):
+        together = near_duplicates.greatest_similarities(pa.array([sums[i]] * 60, pa.binary()), column)
+        assert np.allclose(together, [near_duplicates.greatest_similarity(sums[i], x) for x in sums])
+    assert np.allclose(near_duplicates.greatest_similarities(column[5:9], column[7:11]), [near_duplicates.greatest_similarity(sums[5 + i], sums[7 + i]) for i in range(4)])
     for i in range(60):
         for j in range(60):
             exact, bound = near_duplicates.weighted_jaccard(packed[i], packed[j]), near_duplicates.greatest_similarity(sums[i], sums[j])

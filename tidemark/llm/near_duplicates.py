@@ -246,9 +246,27 @@ def greatest_similarity(a: bytes, b: bytes) -> float:
     return float(both / (total - both)) if total else 0.0
 
 
+def _sums_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cell sums of a column of sums, which are all of one length."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+    return np.ascontiguousarray(raw[:, :8]).view(np.float64).ravel(), np.ascontiguousarray(raw[:, 8:]).view(np.uint16)
+
+
+def greatest_similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """greatest_similarity of each pair of two columns of sums."""
+    if not len(a):
+        return np.zeros(0)
+    (x, cells_x), (y, cells_y) = _sums_of(a), _sums_of(b)
+    least, total = np.minimum(cells_x, cells_y), x + y
+    both = np.minimum(least.sum(axis=1, dtype=np.int64) * SUM_UNIT, total / 2)
+    found = np.divide(both, total - both, out=np.zeros(len(total)), where=total > 0)
+    return np.where((least == SUM_LIMIT).any(axis=1), 1.0, found)
+
+
 def _possible(batch: pa.RecordBatch, threshold: float):
-    keep = [greatest_similarity(x.as_py(), y.as_py()) >= threshold - 1e-9 for x, y in zip(batch.column("sums_a"), batch.column("sums_b"), strict=True)]
-    yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    keep = greatest_similarities(batch.column("sums_a"), batch.column("sums_b")) >= threshold - 1e-9
+    yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _linked(batch: pa.RecordBatch, threshold: float):

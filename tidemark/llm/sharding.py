@@ -7,7 +7,8 @@ A document's key is hashed to a slot.  The table has a fixed size, whatever the
 broadcast.
 
 Cases: the key is the document id as text; without an id the text; without both the empty text.
-Rows of one id go to one shard.  No shards is an error.
+Rows of one id go to one shard, repeated rows too.  Very long texts are hashed whole where they are the key.  No rows give
+no rows, no shards is an error.  All input columns are kept; slot and shard get underscores in front where names are taken.
 """
 
 from __future__ import annotations
