@@ -103,7 +103,7 @@ def usage_observe(spark, sf_dir):
 
 def usage_interval(spark, sf_dir):
     c = _calls(spark, sf_dir)
-    now, then = U.observe(c, _rates(spark), ["channel"]), U.observe(c.where("attempt % 4 = 1 or channel < 10"), _rates(spark), ["channel"])
+    now, then = U.observe(c, _rates(spark), ["channel"]), U.observe(c.where("not missing_usage"), _rates(spark), ["channel"])
     return rounded(U.interval(now, then, ["channel"]), "cost", digits=3)
 
 
@@ -121,13 +121,13 @@ def usage_deltas(spark, sf_dir):
 
 
 def _chapter_inputs(spark, sf_dir):
-    """Turns of a conversation as chapters; every third turn's middle is cut."""
+    """Turns of a conversation as chapters; what long turns cover, moved by some seconds, is cut."""
     c = cues(spark, sf_dir)
     chapters = c.select("conv_id", "seq", F.round("start", 3).alias("start"), F.lit(None).cast("double").alias("end"), F.concat(F.lit("turn "), F.col("seq")).alias("title"))
     eps = c.groupBy("conv_id").agg(F.round(F.max("end"), 3).alias("source_duration"))
     from ..operators.intervals import keep_ranges
 
-    cuts = c.where("seq % 3 = 1").select("conv_id", F.round(F.col("start") + 2, 3).alias("start"), F.round(F.col("end") + 3, 3).alias("end"))
+    cuts = c.where("length(text) > 200").select("conv_id", F.round(F.col("start") + 2, 3).alias("start"), F.round(F.col("end") + 3, 3).alias("end"))
     keeps = keep_ranges(cuts, eps.withColumnRenamed("source_duration", "duration"), ["conv_id"], 1.0)
     return chapters, keeps, eps.withColumn("duration", F.col("source_duration"))
 
@@ -152,7 +152,7 @@ def ev_replay_join(spark, sf_dir):
 
 def ev_same_decisions(spark, sf_dir):
     a = segments(spark, sf_dir).select("user_id", "rule", F.round("start", 3).alias("start"))
-    b = a.where("rule <> 'error' or user_id % 2 = 0")
+    b = a.where("rule <> 'error'")
     return V.differing(a, b, ["rule", "start"], ["user_id"])
 
 
@@ -251,7 +251,7 @@ count(*) FILTER (WHERE NOT miss AND ip IS NULL) AS unpriced, count(rep) AS repor
 
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in U.COUNTERS[:-1])
 _KEEPS = CUES + """, eps AS (SELECT conv_id, round(max("end"), 3) AS d FROM cues GROUP BY conv_id),
-cut0 AS (SELECT c.conv_id, greatest(0e0, least(round("start" + 2, 3), d)) AS "start", greatest(0e0, least(round("end" + 3, 3), d)) AS "end" FROM cues c JOIN eps USING (conv_id) WHERE seq % 3 = 1),
+cut0 AS (SELECT c.conv_id, greatest(0e0, least(round("start" + 2, 3), d)) AS "start", greatest(0e0, least(round("end" + 3, 3), d)) AS "end" FROM cues c JOIN eps USING (conv_id) WHERE length(text) > 200),
 cut AS (SELECT * FROM cut0 WHERE "end" - "start" > 0.05),
 cm AS (SELECT *, max("end") OVER (PARTITION BY conv_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cut),
 cg AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM cm),
@@ -280,8 +280,8 @@ SELECT c_custkey AS channel, coalesce(to_do, 0) AS to_do, coalesce(unknown, 0) A
 count(*) FILTER (WHERE priority = '1-URGENT') AS removing, count(*) FILTER (WHERE bytes % 11 = 0) AS failed FROM ep GROUP BY channel""",
     "cat_latest_state": f"WITH {_EP} SELECT channel, max(video_id) AS video_id, arg_max(stage, video_id) AS stage, bool_or(stage = 'published') AS has_published FROM ep GROUP BY channel",
     "usage_observe": f"WITH {_CALLS} SELECT channel, rate, calls, input, output, missing, unpriced, reported, round(cost, 3) AS cost FROM {_observed()} t",
-    "usage_interval": f"""WITH {_CALLS}, n AS {_observed()}, o AS {_observed("attempt % 4 = 1 OR channel < 10")}, b AS (SELECT *, 1 AS s FROM n UNION ALL SELECT *, -1 FROM o)
-SELECT channel, rate, {", ".join(f"CAST(sum(s * {c}) AS BIGINT) AS {c}" for c in U.COUNTERS[:-1])}, round(sum(s * cost), 3) AS cost FROM b GROUP BY channel, rate HAVING sum(s * calls) <> 0""",
+    "usage_interval": f"""WITH {_CALLS}, n AS {_observed()}, o AS {_observed("NOT miss")}, b AS (SELECT *, 1 AS s FROM n UNION ALL SELECT *, -1 FROM o)
+SELECT channel, rate, {", ".join(f"CAST(sum(s * {c}) AS BIGINT) AS {c}" for c in U.COUNTERS[:-1])}, round(coalesce(sum(cost) FILTER (WHERE s = 1), 0) - coalesce(sum(cost) FILTER (WHERE s = -1), 0), 3) AS cost FROM b GROUP BY channel, rate HAVING sum(s * calls) <> 0""",
     "usage_rollup": f"WITH {_CALLS}, n AS {_observed()} SELECT channel, rate, {_SUMS}, round(sum(cost), 2) AS cost, CAST(grouping(channel) * 2 + grouping(rate) AS INTEGER) AS level FROM n GROUP BY ROLLUP (channel, rate)",
     "usage_deltas": f"WITH {_CALLS} SELECT channel, attempt, CAST(sum(i) AS BIGINT) AS input, CAST(sum(o) AS BIGINT) AS output FROM calls GROUP BY channel, attempt",
     "chap_timeline": f'WITH {_KEEPS} SELECT conv_id, CAST(n AS INTEGER) AS n, round("start", 3) AS "start", round("end", 3) AS "end", round(off, 3) AS "offset" FROM tl',
@@ -291,7 +291,7 @@ m AS (SELECT c2.conv_id, c2.seq, c2.s, title, d, arg_min(round(greatest(0, off +
 SELECT conv_id, at_ AS "start", title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, at_ ORDER BY s, seq) AS k FROM m WHERE at_ < d) t WHERE k = 1""",
     "ev_replay_join": f"WITH {_REPLAY} SELECT key, event_id, answer, found FROM rp",
     "ev_incomplete": f"WITH {_REPLAY} SELECT key, count(*) FILTER (WHERE NOT found) AS unanswered FROM rp GROUP BY key HAVING count(*) FILTER (WHERE NOT found) > 0",
-    "ev_same_decisions": f"WITH {SCORED} SELECT user_id, count(*) AS only_left, CAST(0 AS BIGINT) AS only_right FROM seg WHERE rule = 'error' AND user_id % 2 = 1 GROUP BY user_id",
+    "ev_same_decisions": f"WITH {SCORED} SELECT user_id, count(*) AS only_left, CAST(0 AS BIGINT) AS only_right FROM seg WHERE rule = 'error' GROUP BY user_id",
     "stream_session_neighbour": """WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM g GROUP BY user_id, g""",
     "sink_feed": f"""WITH {_EP}, t AS (SELECT *, {_N} AS n FROM ep), x AS (SELECT channel, string_agg('<item><title>' || priority || '</title><guid>' || video_id || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://example.org/a?b&amp;c=' || video_id || '" length="' || bytes || '" type="audio/x-m4a"/><itunes:duration>' ||

@@ -21,10 +21,10 @@ from .tables import CUES, SCORED, SEG, cues, rounded, scored, segments, table
 def cat_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "video_id")
     sides = {
-        "feed": o.where("video_id % 2 = 0").select("video_id", F.floor("o_totalprice").cast("long").alias("bytes")),
-        "state": o.where("video_id % 3 = 0").select("video_id", F.col("o_orderstatus").alias("stage")),
-        "listing": o.where("video_id % 5 < 2").select("video_id", (F.col("video_id") % 97).alias("position")),
-        "metadata": o.where("video_id % 7 = 0").select("video_id", F.col("o_orderpriority").alias("title")),
+        "feed": o.where("o_orderstatus <> 'O'").select("video_id", F.floor("o_totalprice").cast("long").alias("bytes")),
+        "state": o.where("o_orderpriority <> '5-LOW'").select("video_id", F.col("o_orderstatus").alias("stage")),
+        "listing": o.where("o_totalprice > 150000").select("video_id", (F.col("video_id") % 97).alias("position")),
+        "metadata": o.where("o_orderpriority < '3'").select("video_id", F.col("o_orderpriority").alias("title")),
     }
     return K.joined(sides, ["video_id"])
 
@@ -80,7 +80,7 @@ def label_quote_nearest(spark, sf_dir):
 def score_with_predicate(spark, sf_dir):
     s = segments(spark, sf_dir)
     maps = S.feature_maps(s.where("rule <> 'view'").select("user_id", F.col("rule").alias("feature"), F.col("prob").alias("value")), ["user_id"])
-    answers = s.where("rule = 'view'").groupBy("user_id").agg(F.max("prob").alias("p")).where("user_id % 3 <> 0")
+    answers = s.where("rule = 'view'").groupBy("user_id").agg(F.max("prob").alias("p"))
     held = S.with_predicate(maps, answers, ["user_id"])
     return rounded(held.select("user_id", S.logistic(F.col("values"), {"predicate": 1.5, "click": -0.5}, 0.1).alias("score"), F.size("values").alias("n")), "score")
 
@@ -117,9 +117,9 @@ QUERIES = {n: f for n, f in list(globals().items()) if n.startswith(("cat_", "us
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'), '\s+'), lambda x: x <> '')"
 _CHAPTERS = '<podcast:chapters url="https://example.org/c" type="application/json+chapters"/><psc:chapters version="1.2"><psc:chapter start="00:00:01.500" title="A &amp; B"/></psc:chapters>'
 ORACLES = {
-    "cat_joined": """SELECT o_orderkey AS video_id, o_orderkey % 2 = 0 AS in_feed, o_orderkey % 3 = 0 AS in_state, o_orderkey % 5 < 2 AS in_listing, o_orderkey % 7 = 0 AS in_metadata,
-CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS bytes, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS stage, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 97 END AS position, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS title
-FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 < 2 OR o_orderkey % 7 = 0""",
+    "cat_joined": """SELECT o_orderkey AS video_id, o_orderstatus <> 'O' AS in_feed, o_orderpriority <> '5-LOW' AS in_state, o_totalprice > 150000 AS in_listing, o_orderpriority < '3' AS in_metadata,
+CASE WHEN o_orderstatus <> 'O' THEN CAST(floor(o_totalprice) AS BIGINT) END AS bytes, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS stage, CASE WHEN o_totalprice > 150000 THEN o_orderkey % 97 END AS position, CASE WHEN o_orderpriority < '3' THEN o_orderpriority END AS title
+FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority <> '5-LOW' OR o_totalprice > 150000 OR o_orderpriority < '3'""",
     "cat_live_keys": "SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS live FROM orders",
     "cat_ready": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0",
     "cat_subscriptions": "SELECT c_custkey AS channel FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
@@ -134,7 +134,7 @@ SELECT md5('{"totals":{"episodes":' || count(*) || ',"content_lost":' || sum(cl)
     "label_quote_nearest": f"""WITH {CUES}, w AS (SELECT conv_id, seq, "start", "start" + seq * 7 % 41 AS at_, array_to_string({_WORDS.format(c="text")}, ' ') AS t, array_to_string(({_WORDS.format(c="text")})[1:6], ' ') AS head FROM cues),
 h AS (SELECT q.conv_id, q.seq, q.at_, c."start" AS s, row_number() OVER (PARTITION BY q.conv_id, q.seq ORDER BY abs(c."start" - q.at_), c."start") AS n FROM w q LEFT JOIN w c ON c.conv_id = q.conv_id AND q.head <> '' AND contains(c.t, q.head))
 SELECT conv_id, seq, round(s, 6) AS found, s IS NULL OR abs(s - at_) > 15 AS off FROM h WHERE n = 1""",
-    "score_with_predicate": f"""WITH {SEG}, m AS (SELECT user_id, max(prob) FILTER (WHERE rule = 'click') AS c, max(prob) FILTER (WHERE rule = 'view' AND user_id % 3 <> 0) AS p, count(DISTINCT rule) FILTER (WHERE rule <> 'view') AS n FROM seg GROUP BY user_id)
+    "score_with_predicate": f"""WITH {SEG}, m AS (SELECT user_id, max(prob) FILTER (WHERE rule = 'click') AS c, max(prob) FILTER (WHERE rule = 'view') AS p, count(DISTINCT rule) FILTER (WHERE rule <> 'view') AS n FROM seg GROUP BY user_id)
 SELECT user_id, round(1 / (1 + exp(-(0.1 + coalesce(c, 0) * -0.5 + coalesce(p, 0) * 1.5))), 6) AS score, CAST(n + CASE WHEN p IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n FROM m WHERE n > 0""",
     "run_localized": f"""WITH {SCORED.replace("scored AS (", "scored0 AS (")}, scored AS (SELECT * EXCLUDE (user_id), user_id * 1000 + CAST(floor("start" / 86400) AS INTEGER) AS user_id FROM scored0), {_CLUSTERS.format(t=0.35)}
 SELECT user_id // 1000 AS user_id, CAST(user_id % 1000 AS INTEGER) AS "day", rule, round("start", 6) AS "start", round("end", 6) AS "end", round(prob, 6) AS prob, windows FROM runs""",
