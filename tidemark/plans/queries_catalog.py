@@ -103,7 +103,7 @@ def usage_observe(spark, sf_dir):
 
 def usage_interval(spark, sf_dir):
     c = _calls(spark, sf_dir)
-    now, then = U.observe(c, _rates(spark), ["channel"]), U.observe(c.where("not missing_usage"), _rates(spark), ["channel"])
+    now, then = U.observe(c, _rates(spark), ["channel"]), U.observe(c.where("input <= 25"), _rates(spark), ["channel"])
     return rounded(U.interval(now, then, ["channel"]), "cost", digits=3)
 
 
@@ -280,7 +280,7 @@ SELECT c_custkey AS channel, coalesce(to_do, 0) AS to_do, coalesce(unknown, 0) A
 count(*) FILTER (WHERE priority = '1-URGENT') AS removing, count(*) FILTER (WHERE bytes % 11 = 0) AS failed FROM ep GROUP BY channel""",
     "cat_latest_state": f"WITH {_EP} SELECT channel, max(video_id) AS video_id, arg_max(stage, video_id) AS stage, bool_or(stage = 'published') AS has_published FROM ep GROUP BY channel",
     "usage_observe": f"WITH {_CALLS} SELECT channel, rate, calls, input, output, missing, unpriced, reported, round(cost, 3) AS cost FROM {_observed()} t",
-    "usage_interval": f"""WITH {_CALLS}, n AS {_observed()}, o AS {_observed("NOT miss")}, b AS (SELECT *, 1 AS s FROM n UNION ALL SELECT *, -1 FROM o)
+    "usage_interval": f"""WITH {_CALLS}, n AS {_observed()}, o AS {_observed("i <= 25")}, b AS (SELECT *, 1 AS s FROM n UNION ALL SELECT *, -1 FROM o)
 SELECT channel, rate, {", ".join(f"CAST(sum(s * {c}) AS BIGINT) AS {c}" for c in U.COUNTERS[:-1])}, round(coalesce(sum(cost) FILTER (WHERE s = 1), 0) - coalesce(sum(cost) FILTER (WHERE s = -1), 0), 3) AS cost FROM b GROUP BY channel, rate HAVING sum(s * calls) <> 0""",
     "usage_rollup": f"WITH {_CALLS}, n AS {_observed()} SELECT channel, rate, {_SUMS}, round(sum(cost), 2) AS cost, CAST(grouping(channel) * 2 + grouping(rate) AS INTEGER) AS level FROM n GROUP BY ROLLUP (channel, rate)",
     "usage_deltas": f"WITH {_CALLS} SELECT channel, attempt, CAST(sum(i) AS BIGINT) AS input, CAST(sum(o) AS BIGINT) AS output FROM calls GROUP BY channel, attempt",
