@@ -57,16 +57,16 @@ def cat_order_items_exact(spark, sf_dir):
 
 
 def cat_fits_retention(spark, sf_dir):
-    e = _episodes(spark, sf_dir).select("channel", "video_id", "published_at")
-    new = e.where("video_id % 5 = 0")
-    return K.fits_retention(new, e.where("video_id % 5 <> 0"), ["channel"], 4, _newest(), "video_id")
+    e, columns = _episodes(spark, sf_dir), ["channel", "video_id", "published_at"]
+    new, held = e.where("priority = '1-URGENT'").select(columns), e.where("priority <> '1-URGENT'").select(columns)
+    return K.fits_retention(new, held, ["channel"], 4, _newest(), "video_id")
 
 
 def cat_upsert(spark, sf_dir):
-    e = _episodes(spark, sf_dir).select("channel", F.col("published_at").alias("version"), F.col("video_id").alias("value"))
+    e = _episodes(spark, sf_dir).select("channel", F.col("published_at").alias("version"), F.col("video_id").alias("value"), "stage")
     order = [F.desc("version"), F.desc("value")]
-    current = K.latest(e.where("value % 2 = 0"), ["channel"], 1, order).drop("rank")
-    changes = K.latest(e.where("value % 2 = 1"), ["channel"], 1, order).drop("rank")
+    current = K.latest(e.where("stage = 'published'"), ["channel"], 1, order).drop("rank", "stage")
+    changes = K.latest(e.where("stage <> 'published'"), ["channel"], 1, order).drop("rank", "stage")
     return K.upsert(current, changes, ["channel"], "version").select("channel", "value")
 
 
@@ -145,8 +145,8 @@ def chap_derive(spark, sf_dir):
 def ev_replay_join(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     key = V.key(F.lit("ask"), F.col("user_id").cast("string"), F.array(F.col("event_type"), F.lit("q")))
-    asked = e.where("event_id % 3 <> 0").select("event_id", key.alias("key"))
-    recorded = e.where("event_id % 3 = 0").select("event_id", key.alias("key"), F.col("value").alias("answer"))
+    asked = e.where("value < 20").select("event_id", key.alias("key"))
+    recorded = e.where("value >= 20").select("event_id", key.alias("key"), F.col("value").alias("answer"))
     return V.replayed(asked, recorded, ["key"], "event_id", "answer")
 
 
@@ -259,8 +259,8 @@ mk AS (SELECT conv_id, min("start") AS s, max("end") AS e FROM cg GROUP BY conv_
 kp AS (SELECT conv_id, round(f, 3) AS "start", round(s, 3) AS "end" FROM (SELECT conv_id, s, lag(e, 1, 0e0) OVER (PARTITION BY conv_id ORDER BY s, e) AS f FROM mk) t WHERE s - f >= 1 AND s > f),
 tl AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(sum("end" - "start") OVER (PARTITION BY conv_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (row_number() OVER w - 1) * 0.05e0 AS off FROM kp WINDOW w AS (PARTITION BY conv_id ORDER BY "start"))"""
 _KEY = "sha256(concat_ws(chr(1), 'ask', CAST(user_id AS VARCHAR), array_to_string(list_sort([event_type, 'q']), chr(2))))"
-_REPLAY = f"""ev AS (SELECT event_id, value, {_KEY} AS key FROM events), a AS (SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM ev WHERE event_id % 3 <> 0),
-r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM ev WHERE event_id % 3 = 0), rp AS (SELECT a.key, a.event_id, r.value AS answer, r.key IS NOT NULL AS found FROM a LEFT JOIN r ON r.key = a.key AND r.k = a.k)"""
+_REPLAY = f"""ev AS (SELECT event_id, value, {_KEY} AS key FROM events), a AS (SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM ev WHERE value < 20),
+r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY event_id) AS k FROM ev WHERE value >= 20), rp AS (SELECT a.key, a.event_id, r.value AS answer, r.key IS NOT NULL AS found FROM a LEFT JOIN r ON r.key = a.key AND r.k = a.k)"""
 
 ORACLES = {
     "cat_latest_n": f"WITH {_EP} SELECT * FROM (SELECT channel, video_id, CAST({_N} AS INTEGER) AS rank FROM ep) t WHERE rank <= 3",
@@ -268,9 +268,9 @@ ORACLES = {
 SELECT channel, video_id, CASE WHEN n <= 5 THEN 'keep' ELSE 'prune' END AS action, coalesce(bool_or(n = 5 AND published_at = nx AND published_at = date_trunc('day', published_at)) OVER (PARTITION BY channel), false) AS ambiguous FROM r""",
     "cat_order_items": f"WITH {_ITEMS} {_ORDER}",
     "cat_order_items_exact": f"WITH {_ITEMS} {_ORDER}",
-    "cat_fits_retention": f"""WITH {_EP}, b AS (SELECT *, video_id % 5 = 0 AS new FROM ep), c AS (SELECT *, coalesce(sum(CASE WHEN new THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY published_at DESC, video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM b)
+    "cat_fits_retention": f"""WITH {_EP}, b AS (SELECT *, priority = '1-URGENT' AS new FROM ep), c AS (SELECT *, coalesce(sum(CASE WHEN new THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY published_at DESC, video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM b)
 SELECT channel, video_id, CAST(a AS BIGINT) AS ahead, a < 4 AS fits FROM c WHERE new""",
-    "cat_upsert": f"""WITH {_EP}, l AS (SELECT channel, video_id, published_at, video_id % 2 AS side, row_number() OVER (PARTITION BY channel, video_id % 2 ORDER BY published_at DESC, video_id DESC) AS n FROM ep)
+    "cat_upsert": f"""WITH {_EP}, l AS (SELECT channel, video_id, published_at, stage <> 'published' AS side, row_number() OVER (PARTITION BY channel, stage <> 'published' ORDER BY published_at DESC, video_id DESC) AS n FROM ep)
 SELECT channel, video_id AS value FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY published_at DESC, side DESC) AS m FROM l WHERE n = 1) t WHERE m = 1""",
     "cat_plan_estimate": f"""WITH {_EP}, e AS (SELECT *, CASE WHEN video_id % 7 = 0 THEN 0 ELSE price / 100 END AS s, CAST(video_id % 1000 AS DOUBLE) AS t FROM ep),
 a AS (SELECT channel, count(*) FILTER (WHERE stage = 'pending') AS to_do, count(*) FILTER (WHERE stage = 'pending' AND s <= 0) AS unknown, coalesce(sum(s) FILTER (WHERE stage = 'pending' AND s > 0), 0) AS ts, coalesce(sum(bytes) FILTER (WHERE stage = 'published'), 0) AS sb,
