@@ -227,8 +227,8 @@ def sink_feed(spark, sf_dir):
 
 
 def sink_changed(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    written = d.where("doc_id % 3 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")), 256).alias("sha256"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    written = d.where("lang <> 'fr'").select("doc_id", F.sha2(F.when(F.col("lang") == "de", "").otherwise(F.col("text")), 256).alias("sha256"))
     return sinks.changed(d, written, "doc_id", "text").select("doc_id", "sha256")
 
 
@@ -297,7 +297,7 @@ g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELE
     "sink_feed": f"""WITH {_EP}, t AS (SELECT *, {_N} AS n FROM ep), x AS (SELECT channel, string_agg('<item><title>' || priority || '</title><guid>' || video_id || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://example.org/a?b&amp;c=' || video_id || '" length="' || bytes || '" type="audio/x-m4a"/><itunes:duration>' ||
  format('{{:d}}:{{:02d}}:{{:02d}}', CAST(floor(bytes / 100) AS BIGINT) // 3600, CAST(floor(bytes / 100) AS BIGINT) % 3600 // 60, CAST(floor(bytes / 100) AS BIGINT) % 60) || '</itunes:duration></item>', chr(10) ORDER BY n) AS items FROM t WHERE n <= 3 GROUP BY channel)
 SELECT c_custkey AS channel, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel><title>' || c_name || '</title><link>https://example.org/</link><description>' || c_mktsegment || '</description>' || coalesce(items, '') || '</channel></rss>') AS digest FROM customer LEFT JOIN x ON x.channel = c_custkey""",
-    "sink_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
+    "sink_changed": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE lang IS NULL OR lang = 'fr' OR text IS NULL OR lang = 'de' AND text <> ''",
 }
 _O = detect.EVENTS
 _ANCHORS = f"""{SCORED}, {_CLUSTERS.format(t=_O.anchor_threshold)}, {_BRIDGE.format(gap=_O.bridge_gap)},
