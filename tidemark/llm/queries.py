@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import token_digests
 from .decontamination import contaminations
 from .exact_search import top_k
 from .language_id import identify_languages
@@ -61,6 +62,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 _OP4_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -117,6 +125,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES = {
