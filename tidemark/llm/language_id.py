@@ -16,15 +16,15 @@ phrase of the piece begins, from where both parses agree.  The phrases are those
 from the first symbol of the text to its last.
 
 The sample is bounded by rows: SAMPLE_DOCS distinct labelled texts of each language, those with the
-smallest hashes among texts of at most LONGEST characters, taken whole, and no more of them than
-fit into an even share of SAMPLE_TOTAL characters (one at least).
+smallest hashes, and no more of them than fit into an even share of SAMPLE_TOTAL characters.  A text teaches with
+at most STRETCH characters, and with no more than the share: of a longer one a stretch that begins at a place chosen by its
+hash.  Of more than MOST_LANGUAGES labels, those on most distinct texts are learned.
 
 score: how much the winner undercuts the runner-up, 1 - best / second (1 if there is one language
 only), clipped to [0, 1].  Ties go to the first language by code point.
 
 Cases: a text that is null, empty or without letters is `und` with score 0.  With no labelled
-rows at all every text is `und`; a language whose labelled texts are all longer than LONGEST is not
-learned.  Copies of a labelled text count once.  Very long texts are read whole.  No rows
+rows at all every text is `und`.  Copies of a labelled text count once.  Very long texts are read whole.  No rows
 give no rows.  All columns of the input are kept; the result columns come last and get
 underscores in front if their names are taken.
 """
@@ -43,9 +43,9 @@ from pyspark.sql.window import Window
 from .shared import free_name, small_batches
 
 UNDETERMINED = "und"
-#: Bound of the labelled sample: whole texts for each language, characters of a text that may be
-#: among them, and characters in all, which the languages share evenly.
-SAMPLE_DOCS, LONGEST, SAMPLE_TOTAL = 24, 8000, 400_000
+#: Bound of the labelled sample: languages, texts for each, characters of each text, and characters in all, which the
+#: languages share evenly.
+MOST_LANGUAGES, SAMPLE_DOCS, STRETCH, SAMPLE_TOTAL = 500, 24, 8000, 400_000
 PIECE = 256
 #: So few parses are gone on with one by one and not in step.
 FEW = 24
@@ -342,24 +342,27 @@ def classify(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, text: Column, language: Column) -> list[tuple[str, str]]:
-    """The bounded sample of whole texts.
+    """The bounded sample: (language, stretch of a text).
 
-    Hashes are ranked first, one for each distinct text, and limited in each input partition before they
-    are shuffled; the texts of those that are chosen are read after that.
+    Texts are counted and ranked by their hashes, one for each distinct text; the stretches of those that are chosen
+    are read after that.
     """
-    rows = docs.where(text.isNotNull() & language.isNotNull() & (F.length(text) <= LONGEST)).select(language.alias("language"), F.xxhash64(text).alias("h"), text.alias("sample"))
-    once = rows.groupBy("language", "h").agg(F.max(F.length("sample")).alias("chars"))
+    rows = docs.where(text.isNotNull() & language.isNotNull()).select(language.alias("language"), F.xxhash64(text).alias("h"), text.alias("sample"))
+    once = rows.groupBy("language", "h").agg(F.least(F.max(F.length("sample")), F.lit(STRETCH)).alias("chars"))
+    learned = once.groupBy("language").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "language").limit(MOST_LANGUAGES)
     by = Window.partitionBy("language").orderBy("h")
-    ranked = once.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_DOCS).withColumn("upto", F.sum("chars").over(by))
-    # SAMPLE_DOCS rows for each language
-    known = ranked.select("language", "h", "n", "upto").collect()
-    share = SAMPLE_TOTAL / max(1, len({r.language for r in known}))
+    ranked = once.join(F.broadcast(learned), "language").withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_DOCS)
+    # SAMPLE_DOCS rows for each of MOST_LANGUAGES
+    known = ranked.select("language", "h", "n", F.sum("chars").over(by).alias("upto")).collect()
+    share = SAMPLE_TOTAL // max(1, len({r.language for r in known}))
     chosen = [(r.language, r.h) for r in known if r.n == 1 or r.upto <= share]
     if not chosen:
         return []
-    wanted = docs.sparkSession.createDataFrame(chosen, "language string, h long")
-    found = rows.join(F.broadcast(wanted), ["language", "h"]).groupBy("language", "h").agg(F.min("sample").alias("sample"))
-    return [(r.language, r.sample) for r in found.collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "language string, h long"))
+    size = min(STRETCH, share)
+    start = F.pmod("h", F.greatest(F.length("sample") - size + 1, F.lit(1))).cast("int") + 1
+    found = rows.join(wanted, ["language", "h"]).select("language", "h", F.substring("sample", start, F.lit(size)).alias("sample"))
+    return [(r.language, r.sample) for r in found.groupBy("language", "h").agg(F.min("sample").alias("sample")).collect()]
 
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
