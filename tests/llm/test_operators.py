@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -16,6 +17,36 @@ def counted(df):
     return collections.Counter(tuple(r) for r in df.collect())
 
 
+def test_long_labelled_texts_teach(spark):
+    """A language that stands only on texts longer than a stretch is learned; of many labels each has its share."""
+    rng = np.random.RandomState(5)
+    speak = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, speak("aeioun ", 300), "aa") for i in range(60)] + [(i, speak("bcdfgk ", 20_000), "bb") for i in range(100, 130)]
+    out = language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+    many = [(i, speak("abcdefgh ", 3000), f"l{i % 1000:04d}") for i in range(3000)]
+    sample = language_id.labelled_sample(spark.createDataFrame(many, "doc_id long, text string, lang string"), F.col("text"), F.col("lang"))
+    assert len({language for language, _ in sample}) == language_id.MOST_LANGUAGES
+    assert sum(len(text) for _, text in sample) <= language_id.SAMPLE_TOTAL
+
+
+# ---- 7: many items with one opening
+
+
+def test_items_that_open_alike(spark):
+    """Texts that hold the opening of many items overlap each of them; that is found in time that pairs of arrays take."""
+    rng = np.random.RandomState(4)
+    say = lambda n: " ".join(f"w{x}" for x in rng.randint(0, 100_000, n))
+    opening = say(14)
+    items = [(f"i{k}", f"{opening} {say(40)}") for k in range(150)]
+    docs = [(k, f"{say(60)} {opening} {say(60)}") for k in range(150)] + [(1000, say(200))]
+    began = time.monotonic()
+    out = decontamination.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert len({(r.doc_id, r.item_id) for r in out}) == len(out) == 150 * 150
+    assert all(r.doc_id < 1000 and r.start_word == 60 and r.n_equal >= 14 for r in out)
+    assert time.monotonic() - began < 60
+
+
 # ---- 4: repeated passages
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as kit
-from .shared import bounded_broadcast, discard, each_batch, free_name, settle, small_batches
+from .shared import bounded_broadcast, discard, each_batch, free_name, give_back, settle, small_batches
 
 #: Fixed masks: 1 reads the word, 0 ignores it.  Each reads 8 words.
 MASKS = ("11111111", "1110110111", "11011010111", "110100110111")
@@ -193,23 +193,39 @@ def _one(words: np.ndarray) -> kit.Words:
     return kit.Words(nothing, nothing, nothing, np.array([0, len(words)]), words.view(kit.U64), 0)
 
 
-def hit_diagonals(text: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """The diagonals that hits of the two word lists lie on, ascending."""
-    found = np.zeros(len(text) + len(item), dtype=bool)  # diagonal + len(item)
-    for mask in masks_for([len(item)]):
-        at, value = seeds(_one(text), mask)
-        place, known = seeds(_one(item), mask)
-        for seed in np.intersect1d(value, known):
-            p, q = at[value == seed], place[known == seed]
+def seeds_of(words: np.ndarray, masks: tuple[Mask, ...]) -> dict[Mask, tuple[np.ndarray, np.ndarray]]:
+    """Under each mask, the hashes of a word list in order and the places where they stand."""
+    out = {}
+    for mask in masks:
+        at, value = seeds(_one(words), mask)
+        order = np.argsort(value, kind="stable")
+        out[mask] = value[order], at[order]
+    return out
+
+
+def hit_diagonals(text: dict, item: dict, n_text: int, n_item: int) -> np.ndarray:
+    """The diagonals that hits of the seeds of two word lists (and of their lengths) lie on, ascending."""
+    found = np.zeros(n_text + n_item, dtype=bool)  # diagonal + n_item
+    for mask, (known, place) in item.items():
+        value, at = text[mask]
+        # each seed of the item, once, and its run of places on both sides
+        first = np.flatnonzero(np.append(True, known[1:] != known[:-1])) if len(known) else np.zeros(0, dtype=np.int64)
+        low, high = (np.searchsorted(value, known[first], side=side) for side in ("left", "right"))
+        stop = np.append(first[1:], len(known))
+        times = (high - low) * (stop - first)
+        once = times == 1
+        found[at[low[once]] - place[first[once]] + n_item] = True
+        for i in np.flatnonzero(times > 1):
+            p, q = at[low[i] : high[i]], place[first[i] : stop[i]]
             if len(p) * len(q) <= 1 << 20:
-                found[np.subtract.outer(p, q).ravel() + len(item)] = True
+                found[np.subtract.outer(p, q).ravel() + n_item] = True
             else:
                 # which differences there are, by a convolution: a hash that repeats has too many pairs to list
-                n = 1 << int(len(found) + len(item)).bit_length()
+                n = 1 << int(len(found) + n_item).bit_length()
                 a, b = np.zeros(n), np.zeros(n)
-                a[p], b[len(item) - q] = 1, 1
+                a[p], b[n_item - q] = 1, 1
                 found |= (np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), n) > 0.5)[: len(found)]
-    return np.flatnonzero(found) - len(item)
+    return np.flatnonzero(found) - n_item
 
 
 def best_overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -269,18 +285,49 @@ def overlap(text: np.ndarray, item: np.ndarray, diagonals) -> tuple[int, int, in
     return best
 
 
-def _verified(batch: pa.RecordBatch):
-    rows = []
-    for text, item in zip(batch.column("words"), batch.column("item_words"), strict=True):
-        text, item = text.values.to_numpy(), item.values.to_numpy()
-        best = overlap(text, item, hit_diagonals(text, item))
-        rows.append((*best, len(item)) if best else (-1, 0, 0, 0))
-    start, length, equal, size = np.array(rows, dtype=np.int64).reshape(-1, 4).T
-    out = pa.RecordBatch.from_arrays(
-        [batch.column("_id"), batch.column("item_id"), pa.array(start + batch.column("begin").to_numpy()), pa.array(length), pa.array(equal), pa.array(size)],
-        names=["_id", "item_id", "start_word", "n_words", "n_equal", "item_words"],
-    )
-    yield out.filter(pa.array(start >= 0))
+#: Words of the texts, and of the items, whose seeds a task keeps at a time.
+KEPT_WORDS = 1 << 17
+
+
+class _Kept:
+    """Word lists with their seeds by name, forgotten when there are KEPT_WORDS of them."""
+
+    def __init__(self):
+        self.held: dict = {}
+        self.words = 0
+
+    def get(self, name, words: np.ndarray, masks) -> tuple[np.ndarray, dict]:
+        """masks: those for the length of the list."""
+        known = self.held.get(name)
+        if known is None or not np.array_equal(known[0], words):  # a name may stand for several lists
+            if self.words > KEPT_WORDS:
+                self.held.clear()
+                self.words = 0
+            known = self.held[name] = words, seeds_of(words, masks(len(words)))
+            self.words += len(words)
+        return known
+
+
+def _verified(batches, masks: tuple[Mask, ...]):
+    """The best overlap of each pair.  A text that meets many items is hashed once, as is an item that many texts meet."""
+    texts, items = _Kept(), _Kept()
+    of_item = lambda n: tuple(m for m in masks if m.least <= n <= m.most)
+    for batch in batches:
+        rows = []
+        where = list(zip(batch.column("_id").to_pylist(), batch.column("begin").to_pylist(), strict=True))
+        names, left, right = batch.column("item_id").to_pylist(), batch.column("words"), batch.column("item_words")
+        for i, name in enumerate(names):
+            text, of_text = texts.get(where[i], left[i].values.to_numpy(), lambda n: masks)
+            item, of_this = items.get(name, right[i].values.to_numpy(), of_item)
+            best = overlap(text, item, hit_diagonals(of_text, of_this, len(text), len(item)))
+            rows.append((*best, len(item)) if best else (-1, 0, 0, 0))
+        start, length, equal, size = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+        out = pa.RecordBatch.from_arrays(
+            [batch.column("_id"), batch.column("item_id"), pa.array(start + batch.column("begin").to_numpy()), pa.array(length), pa.array(equal), pa.array(size)],
+            names=["_id", "item_id", "start_word", "n_words", "n_equal", "item_words"],
+        )
+        yield out.filter(pa.array(start >= 0))
+    give_back()
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -309,7 +356,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     hits = stretches.select(*key, F.explode("seeds").alias("seed")).join(bounded_broadcast(item_seeds, n_seeds, BROADCAST_ROWS), "seed")
     pairs = hits.select(*key, "item_id").distinct()
     sides = pairs.join(stretches.select(*key, "words").dropDuplicates(key), key).join(bounded_broadcast(item_words, (known.words or 0) // 16, BROADCAST_ROWS), "item_id")
-    found = each_batch(_verified, f"_id long, item_id {id_type}, start_word long, n_words long, n_equal long, item_words long", sides.select("_id", "item_id", "begin", "words", "item_words"))
+    found = sides.select("_id", "item_id", "begin", "words", "item_words").mapInArrow(
+        lambda b: _verified(b, masks), f"_id long, item_id {id_type}, start_word long, n_words long, n_equal long, item_words long"
+    )
     rank = F.struct(F.col("n_equal"), -F.col("n_words"), -F.col("start_word"))
     best = settle(found.groupBy("_id", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "n_equal", "item_words"), rank).alias("x")))
     discard(stretches, item_words, item_seeds)
