@@ -30,12 +30,12 @@ from pyspark.sql.window import Window
 
 from ..shipping import ship
 
-QUERY_BLOCK, BLOCK_ROWS = 1024, 8192
-PIVOTS = 128
+QUERY_BLOCK, BLOCK_ROWS = 8192, 8192
+PIVOTS = 256
 #: Rows of the sample that pivots and first thresholds come from.
 SAMPLE = 2048
 STEP = 512
-#: Candidates whose bounds are found at a time.
+#: Candidates whose bounds, and queries whose first limits, are found at a time.
 TILE = 1024
 
 
@@ -160,11 +160,11 @@ def searched(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "ve
         out = [[], [], [], []]
         if left.num_rows and right.num_rows:
             (ids, x), (query_ids, q) = _matrix(left, width), _matrix(right, width)
-            scores = sample @ q.T
-            scores[sample_ids[:, None] == query_ids[None, :]] = -np.inf
             least = np.full(len(q), -(2.0**53))
-            if len(sample) >= k:
-                least = np.maximum(least, np.partition(scores, len(sample) - k, axis=0)[len(sample) - k])
+            for at in range(0, len(q) if len(sample) >= k else 0, TILE):
+                scores = sample @ q[at : at + TILE].T
+                scores[sample_ids[:, None] == query_ids[None, at : at + TILE]] = -np.inf
+                least[at : at + TILE] = np.maximum(least[at : at + TILE], np.partition(scores, len(sample) - k, axis=0)[len(sample) - k])
             total = np.zeros(len(q), dtype=np.int64)
             for i, b, s, total[i] in search_block(ids, x, query_ids, q, least, pivots, largest, k):
                 out[0].append(np.full(len(b), query_ids[i]))
