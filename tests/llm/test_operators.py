@@ -419,6 +419,76 @@ def test_base_places_equal_sql(spark):
     assert license_scan.scan_licenses(corpora.empty(spark)).count() == 0
 
 
+def test_paragraphs_have_their_own_label_whole_or_changed(spark):
+    """Each template alone, with words inserted at two places, with every twelfth word lost, and twice in a row."""
+    rng = np.random.RandomState(6)
+    rows, want = [], {}
+    for label, text in license_scan.TEMPLATES:
+        words = text.split()
+        kinds = [words]
+        if len(words) >= 40:
+            a, b = len(words) // 3, 2 * len(words) // 3
+            other = [f"x{n}" for n in rng.randint(0, 1000, 12)]
+            kinds += [words[:a] + other[:6] + words[a:b] + other[6:] + words[b:], [w for i, w in enumerate(words) if i % 12 != 11], words + words]
+        for kind in kinds:
+            base = {own for phrase, own in license_scan.BASE if phrase in " ".join(kind)}
+            want[len(rows)] = ",".join(sorted(base | {label}))
+            rows.append((len(rows), "some text before. " + " ".join(kind) + " And after it."))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {rows[i][1]: (r.labels, want[i]) for i, r in got.items() if r.labels != want[i]}
+    assert not wrong
+    spans = license_scan.license_spans(spark.createDataFrame([(1, " ".join([license_scan.TEMPLATES[1][1]] * 3))], "doc_id long, text string")).collect()
+    assert sorted((s.first_word, s.last_word, s.coverage) for s in spans) == [(63 * i, 63 * i + 62, 1.0) for i in range(3)]
+
+
+def test_labels_equal_a_plain_alignment(spark):
+    """Texts of shuffled pieces of templates against the same rules on lists."""
+    rng = np.random.RandomState(7)
+    rows = []
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            words = license_scan.TEMPLATES[rng.randint(len(license_scan.TEMPLATES))][1].split()
+            a = rng.randint(0, 1 + len(words) // 3)
+            parts += words[a : a + rng.randint(3, 1 + max(4, len(words)))] + [f"y{n}" for n in rng.randint(0, 99, rng.choice([0, 2, 7, 60]))]
+        rows.append((i, " ".join(parts)))
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        found = plain_spans(text.split())
+        kept = [s for s in found if not any((o[3], o[4]) > (s[3], s[4]) and 2 * (min(o[2], s[2]) - max(o[1], s[1]) + 1) > min(o[2] - o[1], s[2] - s[1]) + 1 for o in found)]
+        base = {label for phrase, label in license_scan.BASE if f" {phrase} " in f" {text} "}
+        assert got[i] == ",".join(sorted({s[0] for s in kept} | base)), text
+
+
+def plain_spans(words):
+    k, out = license_scan.K, []
+    grams = collections.defaultdict(list)
+    for p in range(len(words) - k + 1):
+        grams[tuple(words[p : p + k])].append(p)
+    for label, text in license_scan.TEMPLATES:
+        own = text.split()
+        hits = [(p, t) for t in range(len(own) - k + 1) for p in grams[tuple(own[t : t + k])]]
+        votes = collections.Counter(p - t for p, t in hits)
+        near = lambda p, t: sum(votes[p - t + d] for d in range(-license_scan.BAND, license_scan.BAND + 1))
+        best = {}
+        for p, t in hits:
+            if near(p, t) > 1 or len(own) < license_scan.SHORT_WORDS:
+                best[p] = min(best.get(p, (0, 0)), (-near(p, t), t))
+        chains = []
+        for p, (_, t) in sorted(best.items()):
+            if chains and t > chains[-1][-1][1] and p - chains[-1][-1][0] <= license_scan.GAP:
+                chains[-1].append((p, t))
+            else:
+                chains.append([(p, t)])
+        for chain in chains:
+            covered = len({t + j for _, t in chain for j in range(k)})
+            first, last = chain[0][0], chain[-1][0] + k - 1
+            share = license_scan.COVERED_SHORT if len(own) < license_scan.SHORT_WORDS else license_scan.COVERED
+            if covered >= share * len(own) and covered >= license_scan.DENSE * (last - first + 1):
+                out.append((label, first, last, covered, covered / len(own)))
+    return out
+
+
 def test_templates_from_a_folder(spark, tmp_path):
     (tmp_path / "own-1.0.txt").write_text("You may use this thing for as long as you keep it clean and give it back in the evening.")
     docs = spark.createDataFrame([(1, "Notice: you may use this thing for as long as you keep it very clean and give it back in the evening!"), (2, "nothing of the kind")], "doc_id long, text string")

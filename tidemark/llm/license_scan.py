@@ -2,10 +2,15 @@
 
 Texts and templates are read as lower-case words of letters and digits.  All rolling k-grams of
 words of the texts are joined by hash to the places where templates hold them; each hit votes for
-the diagonal (place in the text minus place in the template).  Votes are summed by diagonal,
-diagonals that neighbour each other (an inserted or lost word moves the diagonal) are merged if
-they hold different places of the template, and a merged span is verified: its hits must cover enough of the
-template's words, and lie densely enough in the text.
+the diagonal (place in the text minus place in the template).  Votes are summed by diagonal, those of neighbouring
+diagonals (an inserted or lost word moves the diagonal) together; of the hits of one place in the text the
+one with most votes stays, so a phrase that a template repeats counts where the copy runs.  The hits of a template are then
+read in the order of the text: while its places go on in order and gaps are no longer than GAP words they are one copy, on
+however many diagonals, so words may be inserted anywhere.  A copy is verified: its hits must cover enough of the template's
+words, and lie densely enough in the text.
+
+Licenses quote each other.  Where copies of two templates share more than half of the shorter one's words in the text, the
+one that covers more words stays, or as many words of a shorter template.
 
 The templates are the paragraphs of short licenses and the notices of long ones, a fixed list of this module, or a
 table of (label, text): a folder of license texts can be read with `templates_in`.  Their k-grams are counted, and
@@ -15,7 +20,7 @@ Beside the method, base places are counted: a phrase's words standing consecutiv
 
 Cases: a null text is empty: no words, no places, labels ''.  Rows that repeat an id are judged
 each by its own text (rows equal in both are equal in the result, too).  A null id is kept.  Very long texts are
-read whole.  Of templates that fit equally well each gives its label.  No rows give no rows.  Extra columns
+read whole.  Of templates of one length that cover equally many words each gives its label.  No rows give no rows.  Extra columns
 are not carried.
 """
 
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as kit
-from .shared import bounded_broadcast, each_batch, settle, small_batches
+from .shared import bounded_broadcast, discard, each_batch, settle, small_batches
 
 K = 3
 #: Phrases whose places are counted, and their labels.
@@ -72,8 +77,10 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("reserved", "all rights reserved"),
 )
-#: Neighbouring diagonals differ by so many words at most.
-BAND = 4
+#: Neighbouring diagonals differ by so many words at most; a copy has no gap of more than GAP words in the text.
+BAND, GAP = 4, 40
+#: Words of a text in a cell: copies that overlap are looked for in the cells that they share.
+CELL = 256
 #: A span is kept if its hits cover this share of the template (short ones share phrases with each other, so need
 #: more) and are this dense in the text.
 COVERED, COVERED_SHORT, SHORT_WORDS, DENSE = 0.5, 0.8, 20, 0.5
@@ -128,35 +135,50 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = each_batch(lambda b: _grams(b, k), "_id long, _text long, pos int, gram long", texts)
     known = settle(template_table(listed(docs.sparkSession) if templates is None else templates, k))
     hits = grams.join(bounded_broadcast(known, known.count(), BROADCAST_ROWS), "gram")
-    # votes: a diagonal of a text and template, with the places of its hits in both
-    votes = hits.groupBy("_id", "_text", "template", "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.collect_set("t_pos").alias("places")
-    )
-    order = Window.partitionBy("_id", "_text", "template").orderBy("diagonal")
-    lowest = F.array_min("places") + F.col("diagonal")
-    highest = F.array_max("places") + F.col("diagonal")
-    chained = (
-        votes.withColumn("low", lowest)
-        .withColumn("high", highest)
-        .withColumn("t_low", F.array_min("places"))
-        .withColumn("t_high", F.array_max("places"))
-        .withColumn("apart", F.col("diagonal") - F.lag("diagonal").over(order) > BAND)
-        # a shifted part of one copy holds other template places; the same places are another copy
-        .withColumn("again", ~((F.col("t_low") > F.lag("t_high").over(order)) | (F.col("t_high") < F.lag("t_low").over(order))))
-        .withColumn("new", F.coalesce(F.col("apart") | F.col("again"), F.lit(True)).cast("int"))
-        .withColumn("span", F.sum("new").over(order))
-    )
-    merged = chained.groupBy("_id", "_text", "template", "label", "t_words", "span").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("first_word"), (F.max("high") + (k - 1)).alias("last_word")
+    copy = ["_id", "_text", "template"]
+    of_copy = lambda *order: Window.partitionBy(*copy).orderBy(*order)
+    # dealt once: all windows below are of a text and a template
+    placed = hits.repartition(*copy).withColumn("diagonal", F.col("pos") - F.col("t_pos")).distinct()
+    voted = placed.withColumn("votes", F.count(F.lit(1)).over(of_copy("diagonal").rangeBetween(-BAND, BAND)))
+    at_place = Window.partitionBy(*copy, "pos").orderBy(F.desc("votes"), "t_pos")
+    # a lone hit away from all others is noise, unless the template is short
+    best = voted.withColumn("place", F.row_number().over(at_place)).where((F.col("place") == 1) & ((F.col("votes") > 1) | (F.col("t_words") < SHORT_WORDS)))
+    before = lambda c: F.lag(c).over(of_copy("pos"))
+    new = (F.col("t_pos") <= before("t_pos")) | (F.col("pos") - before("pos") > GAP)
+    chained = best.withColumn("span", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("span").over(of_copy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    # words of the template under hits: places p .. p+k-1, each once, as places go up
+    step = F.least(F.col("t_pos") - F.lag("t_pos").over(Window.partitionBy(*copy, "span").orderBy("pos")), F.lit(k))
+    merged = chained.withColumn("under", F.coalesce(step, F.lit(k))).groupBy(*copy, "label", "t_words", "span").agg(
+        F.sum("under").alias("covered"), F.min("pos").alias("first_word"), (F.max("pos") + (k - 1)).alias("last_word")
     )
-    # words of the template under hits: places p .. p+k-1
-    under = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
-    return (
-        merged.withColumn("covered", under)
-        .withColumn("coverage", F.col("covered") / F.col("t_words"))
-        .where((F.col("coverage") >= F.when(F.col("t_words") < SHORT_WORDS, COVERED_SHORT).otherwise(COVERED)) & (F.col("covered") >= DENSE * (F.col("last_word") - F.col("first_word") + 1)))
-        .select("_id", "_text", "template", "label", "first_word", "last_word", "coverage")
+    length = F.col("last_word") - F.col("first_word") + 1
+    verified = (
+        merged.withColumn("coverage", F.col("covered") / F.col("t_words"))
+        .where((F.col("coverage") >= F.when(F.col("t_words") < SHORT_WORDS, COVERED_SHORT).otherwise(COVERED)) & (F.col("covered") >= DENSE * length))
+        .select(*copy, "label", "first_word", "last_word", "covered", "coverage")
     )
+    spans = settle(verified)
+    discard(known)
+    return _widest(spans)
+
+
+def _widest(spans: DataFrame) -> DataFrame:
+    """The spans that share no more than half of the shorter one's words with a span that covers more
+    words, or as many of a shorter template."""
+    cells = lambda df, a, b: df.withColumn("cell", F.explode(F.sequence(F.expr(f"{a} div {CELL}"), F.expr(f"{b} div {CELL}"))))
+    other = spans.select("_id", "_text", F.col("covered").alias("o_covered"), F.col("coverage").alias("o_coverage"), F.col("first_word").alias("o_first"), F.col("last_word").alias("o_last"))
+    shared = F.least("last_word", "o_last") - F.greatest("first_word", "o_first") + 1
+    shorter = F.least(F.col("last_word") - F.col("first_word"), F.col("o_last") - F.col("o_first")) + 1
+    left, right = cells(spans, "first_word", "last_word"), cells(other, "o_first", "o_last").withColumnsRenamed({"_id": "o_id", "_text": "o_text", "cell": "o_cell"})
+    same = F.col("_id").eqNullSafe(F.col("o_id")) & (F.col("_text") == F.col("o_text")) & (F.col("cell") == F.col("o_cell"))
+    key = ["_id", "_text", "template", "first_word"]
+    better = (F.col("o_covered") > F.col("covered")) | ((F.col("o_covered") == F.col("covered")) & (F.col("o_coverage") > F.col("coverage")))
+    beaten = left.join(right, same & better & (2 * shared > shorter), "left_semi").select(*key).distinct()
+    beaten = beaten.withColumnsRenamed({c: f"b_{c}" for c in key})
+    match = F.col("_id").eqNullSafe(F.col("b__id"))
+    for c in key[1:]:
+        match = match & (F.col(c) == F.col(f"b_{c}"))
+    return spans.join(beaten, match, "left_anti").drop("covered")
 
 
 def _base_places(batch: pa.RecordBatch):
