@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cues as C
+from ..operators import long_keys as L
 from .tables import CUES, cues, rounded, table
 
 KEY = ["conv_id"]
@@ -25,6 +26,12 @@ def cue_windows(spark, sf_dir):
     return rounded(w.select("conv_id", "wid", "start", "end", F.length("text").cast("long").alias("chars"), F.size("cues").cast("long").alias("n")), "start", "end")
 
 
+def cue_windows_sliced(spark, sf_dir):
+    """Windows in slices of 8 cues, so that most windows of a conversation lie in several."""
+    w = L.windows(cues(spark, sf_dir), KEY, rows=8)
+    return rounded(w.select("conv_id", "wid", "start", "end", F.length("text").cast("long").alias("chars"), F.size("cues").cast("long").alias("n")), "start", "end")
+
+
 def _documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.lit(0).alias("seq"), F.lit(0.0).alias("start"), (F.col("n_chars") / 15.0).alias("end"), "text")
@@ -45,6 +52,11 @@ def cue_sentences(spark, sf_dir):
     return rounded(s.select("conv_id", "sid", "start", "end", F.md5("text").alias("digest")), "start", "end", digits=5)
 
 
+def cue_sentences_sliced(spark, sf_dir):
+    s = L.sentences(cues(spark, sf_dir), KEY, rows=8)
+    return rounded(s.select("conv_id", "sid", "start", "end", F.md5("text").alias("digest")), "start", "end", digits=5)
+
+
 def _rolling(spark, sf_dir):
     """Cues that restate the last three words of the cue before, as rolling captions do."""
     from pyspark.sql.window import Window
@@ -59,6 +71,10 @@ def cue_dedupe(spark, sf_dir):
     return C.deduplicated(_rolling(spark, sf_dir), KEY).select("conv_id", "seq", F.md5("text").alias("digest"))
 
 
+def cue_dedupe_sliced(spark, sf_dir):
+    return L.deduplicated(_rolling(spark, sf_dir), KEY, rows=8).select("conv_id", "seq", F.md5("text").alias("digest"))
+
+
 def cue_out_of_order(spark, sf_dir):
     c = cues(spark, sf_dir).withColumn("start", F.when(F.col("seq") % 3 == 2, F.col("start") - 60).otherwise(F.col("start")))
     return C.out_of_order(c, KEY).select("conv_id", "seq")
