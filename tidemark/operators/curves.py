@@ -79,12 +79,8 @@ def fit_start(ys: Column) -> Column:
     return let(changepoint(ys), lambda at: F.when((step_height(ys, at) > 0) & (mean(ys, F.lit(0), at) < 0.5), at).otherwise(F.lit(0)))
 
 
-def end_fit(ys: Column, first: int = DEFAULTS.end_first, step: float = DEFAULTS.end_step, never: float = DEFAULTS.end_never) -> Column:
-    """struct(end_idx, state): where the programme comes back on a curve.
-
-    The first `first` points are fitted, then one more each time, until a step of at least `step` is found (state `fitted`).
-    Without one: `never` if no point reaches `never`, else `ambiguous`; end_idx is then null.  Fewer than two points: 0, `short`.
-    """
+def prefix_steps(ys: Column, first: int = DEFAULTS.end_first) -> Column:
+    """Of the first `first` points, and of one more each time: struct(i, h), the best split and its step.  Empty for fewer than two."""
     n = F.size(ys)
     sums = F.struct(_prefix(ys).alias("s"), _prefix(F.transform(ys, lambda y: y * y)).alias("q"))
 
@@ -92,9 +88,19 @@ def end_fit(ys: Column, first: int = DEFAULTS.end_first, step: float = DEFAULTS.
         s, q = x["s"], x["q"]
         height = lambda i, w: (F.get(s, w) - F.get(s, i)) / (w - i) - F.get(s, i) / i
         one = lambda w: let(_best_split(s, q, w), lambda i: F.struct(i.alias("i"), F.round(height(i, w), TIE_DIGITS).alias("h")))
-        return F.get(F.filter(F.transform(F.sequence(F.least(F.lit(first), n), n), one), lambda c: c["h"] >= step), 0)["i"]
+        return F.transform(F.sequence(F.least(F.lit(first), n), n), one)
+
+    return F.when(n < 2, F.array().cast("array<struct<i:int,h:double>>")).otherwise(let(sums, tried))
+
 
-    at = F.when(n < 2, F.lit(0)).otherwise(let(sums, tried))
+def end_fit(ys: Column, first: int = DEFAULTS.end_first, step: float = DEFAULTS.end_step, never: float = DEFAULTS.end_never) -> Column:
+    """struct(end_idx, state): where the programme comes back on a curve.
+
+    The first `first` points are fitted, then one more each time, until a step of at least `step` is found (state `fitted`).
+    Without one: `never` if no point reaches `never`, else `ambiguous`; end_idx is then null.  Fewer than two points: 0, `short`.
+    """
+    n = F.size(ys)
+    at = F.when(n < 2, F.lit(0)).otherwise(F.get(F.filter(prefix_steps(ys, first), lambda c: c["h"] >= step), 0)["i"])
     state = lambda i: F.when(n < 2, "short").when(i.isNotNull(), "fitted").when(F.array_max(ys) < never, "never").otherwise("ambiguous")
     return let(at, lambda i: F.struct(i.alias("end_idx"), state(i).alias("state")))
 

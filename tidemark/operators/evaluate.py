@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..options import DEFAULTS
+from ..settling import discard, settle
 from .intervals import Keys, blocks, clamp, difference, overlap, total, union
+from .long_keys import matched
 
 
 def score(labels: DataFrame, cuts: DataFrame, episodes: DataFrame, keys: Keys, worst: float = DEFAULTS.worst_cut) -> DataFrame:
@@ -54,24 +57,50 @@ def rollup(scores: DataFrame, over: float = DEFAULTS.worst_cut, by: Keys | None
     )
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value; of two middle ones the greater."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+#: Values of a key that are listed to find its median, and parts that a wider range of them is counted in.
+LISTED, PARTS = 4096, 1024
+
+
+def upper_medians(rows: DataFrame, keys: Keys, value: str) -> DataFrame:
+    """(keys, median): the middle value of each key (of two middle ones the greater), exactly; null if it has none.
+
+    A range that holds the middle is cut into PARTS, whose values are counted, and the part that holds it is the next range,
+    until it holds LISTED values or one.  Counts are sums, so no key's values are gathered beyond that.  Values are numbers, not NaN.
+    """
+    held = rows.select(*keys, F.col(value).cast("double").alias("_v"))
+    known = held.where("_v is not null")
+    ranges = settle(held.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to")).withColumn("_rank", F.floor(F.col("_n") / 2)))
+    wide = (F.col("_n") > LISTED) & (F.col("_from") < F.col("_to"))
+    while ranges.where(wide).limit(1).count():
+        inside = matched(known, ranges.where(wide), keys).where(F.col("_v").between(F.col("_from"), F.col("_to")))
+        share = (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+        part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+        parts = inside.groupBy(*keys, "_rank", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part"))
+        chosen = parts.withColumn("_upto", upto).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        narrower = chosen.withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n")).select(*ranges.columns)
+        following = settle(ranges.where(~wide | wide.isNull()).unionByName(narrower))
+        discard(ranges)
+        ranges = following
+    one = ranges.where(F.col("_from").isNull() | (F.col("_from") == F.col("_to"))).select(*keys, F.col("_from").alias("median"))
+    few = matched(known, ranges.where("_from < _to"), keys).where(F.col("_v").between(F.col("_from"), F.col("_to")))
+    middle = F.get(F.array_sort(F.collect_list("_v")), F.any_value("_rank").cast("int"))
+    return one.unionByName(few.groupBy(*keys).agg(middle.alias("median")))
 
 
 def edge_summary(offsets: DataFrame, keys: Keys, value: str = "off", near: float = 5.0) -> DataFrame:
     """Signed edge offsets by key: how many, the upper median of their sizes, how many are near, and count and sum of those over, by sign."""
     x = F.col(value)
-    return offsets.groupBy(*keys).agg(
+    sums = offsets.groupBy(*keys).agg(
         F.count(x).alias("n"),
-        upper_median(F.abs(x)).alias("median"),
         F.count_if(F.abs(x) <= near).alias("within"),
         F.count_if(x < -near).alias("early"),
         F.coalesce(F.sum(F.when(x < -near, -x)), F.lit(0.0)).alias("early_seconds"),
         F.count_if(x > near).alias("late"),
         F.coalesce(F.sum(F.when(x > near, x)), F.lit(0.0)).alias("late_seconds"),
     )
+    medians = upper_medians(offsets.select(*keys, F.abs(x).alias("_size")), keys, "_size")
+    return matched(sums, medians, keys, "left").select(*keys, "n", "median", *[c for c in sums.columns if c not in (*keys, "n")])
 
 
 def class_counts(rows: DataFrame, label: str, distinct: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import intervals as I
+from ..operators import ranked as RK
 from ..operators import runs as R
 from .tables import DURATION, GAP, SCORED, SEG, THRESHOLD, episodes, merged_sql, rounded, scored, segments
 
@@ -165,6 +166,33 @@ def iv_overlap_argmax_bucketed(spark, sf_dir):
     return rounded(best.select("event_id", "other_id", "overlap"), "overlap")
 
 
+def iv_overlap_ranked(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    pairs = RK.overlapping(left.select("user_id", "event_id", "start", "end"), right.select("user_id", "start", "end", F.col("event_id").alias("other_id")), KEY)
+    return pairs.select("event_id", "other_id")
+
+
+def iv_overlap_semi_ranked(spark, sf_dir):
+    return RK.meeting(*_twice(spark, sf_dir), KEY, "left_semi")
+
+
+def iv_overlap_anti_ranked(spark, sf_dir):
+    return RK.meeting(*_twice(spark, sf_dir), KEY, "left_anti")
+
+
+def iv_overlap_argmax_ranked(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    best = RK.greatest_overlap(left.select("user_id", "event_id", "start", "end"), right.select("user_id", "start", "end", F.col("event_id").alias("other_id")), KEY, ["other_id"])
+    return rounded(best.select("event_id", "other_id", "overlap"), "overlap")
+
+
+def iv_nearest_ranked(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    clicks = _of(s, "click").select("user_id", ((F.col("start") + F.col("end")) / 2).alias("middle"))
+    out = RK.nearest(_of(s, "view").select("user_id", "event_id", "start"), clicks, KEY, "start", "middle", 7200.0)
+    return rounded(out.select("event_id", F.coalesce("nearest", "start").alias("snapped")), "snapped")
+
+
 def iv_same_start(spark, sf_dir):
     """Views against all other events, with starts to the hour so that some are equal."""
     left, _ = _sides(spark, sf_dir)
@@ -387,4 +415,6 @@ p AS (SELECT l.event_id, r.event_id AS other_id, CASE WHEN l."start" = r."start"
 n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY k, CASE WHEN k = 0 THEN e END, CASE WHEN k = 1 THEN -o END, s, e, other_id) AS n FROM p)
 SELECT l.event_id, n.other_id, CASE n.k WHEN 0 THEN 'start' WHEN 1 THEN 'overlap' END AS "by" FROM l LEFT JOIN n ON n.event_id = l.event_id AND n.n = 1""",
 }
+ORACLES |= {f"{name}_ranked": ORACLES[name] for name in ("iv_overlap_argmax", "iv_nearest")}
+ORACLES |= {f"{name}_ranked": ORACLES[f"{name}_bucketed"] for name in ("iv_overlap", "iv_overlap_semi", "iv_overlap_anti")}
 ORACLES |= {f"{name}_bucketed": ORACLES[name] for name in ("iv_overlap_argmax", "iv_point_in", "iv_nearest", "iv_interior_left")}

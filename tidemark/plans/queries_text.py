@@ -225,3 +225,4 @@ FROM (SELECT *, event_id % 3 < 2 AND event_id % 75 < 60 AND user_id % 70 < 60 AS
 s AS (SELECT doc_id, i - 1 AS place, array_to_string(w[i:i + 5], ' ') AS head FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d) t)
 SELECT item_id, doc_id, min(place) AS place FROM s JOIN (SELECT item_id, array_to_string(w[1:6], ' ') AS head FROM b WHERE len(w) >= 6) b USING (head) GROUP BY item_id, doc_id""",
 }
+ORACLES |= {f"{name}_sliced": ORACLES[name] for name in ("cue_windows", "cue_sentences", "cue_dedupe")}
