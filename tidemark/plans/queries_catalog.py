@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import catalog as K
 from ..operators import chapters as H
 from ..operators import evidence as V
 from ..operators import usage as U
+from ..settling import shared_folder
 from ..sources import sinks
+from ..streaming import states
 from ..streaming.sessions import sessions
 from . import detect, fitting
 from .queries_curves import _change
@@ -76,6 +81,52 @@ def cat_plan_estimate(spark, sf_dir):
     return rounded(K.plan_estimate(e, channels, ["channel"]), "todo_seconds", "tokens_low", "tokens_high", digits=2)
 
 
+def _plan_sides(spark, sf_dir):
+    """Orders as uploads (dear ones), feed items (done ones) and states; some with a removal, by price and priority."""
+    e = _episodes(spark, sf_dir)
+    by_price = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("price"), "video_id"))
+    uploads = e.where("price > 60000").select("channel", "video_id", by_price.alias("listing"), F.col("priority").alias("title"), (F.col("bytes") % 4000).cast("double").alias("seconds"), (F.col("priority") != "3-MEDIUM").alias("accessible"))
+    feed = e.where("stage = 'published'").select("channel", "video_id", "published_at", "bytes")
+    removal = F.when(F.col("priority") == "5-LOW", "excluded").otherwise("")
+    states = e.where("priority > '1-URGENT' or stage = 'pending'").select(
+        "channel", "video_id", "stage", removal.alias("removal"), (F.col("stage") == "published").alias("has_published"), (F.col("priority") == "2-HIGH").alias("publish_pending"),
+        ((F.col("priority") == "5-LOW") & (F.col("stage") == "waiting")).alias("delete_pending"), F.when(F.col("bytes") % 3 == 0, "failed").alias("last_error"), F.lit(60.0).alias("seconds"),
+    )
+    channels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), (F.col("c_acctbal") > 0).alias("enabled"), F.lit(5).alias("wanted"), F.lit(3).alias("keep"), (F.col("c_acctbal") > 9000).alias("purge"))
+    return uploads, feed, states, channels
+
+
+def cat_plan(spark, sf_dir):
+    return K.planned(*_plan_sides(spark, sf_dir), ["channel"], "video_id")
+
+
+def cat_plan_totals(spark, sf_dir):
+    return K.plan_totals(cat_plan(spark, sf_dir), ["channel"])
+
+
+def cat_retention_actions(spark, sf_dir):
+    uploads, feed, states, channels = _plan_sides(spark, sf_dir)
+    dates = _episodes(spark, sf_dir).select("channel", "video_id", "published_at", F.col("video_id").alias("prior"))
+    listed = dates.join(uploads.select("channel", "video_id", "listing"), ["channel", "video_id"], "left")
+    items = listed.join(feed.select("channel", "video_id"), ["channel", "video_id"], "left_semi")
+    candidates = listed.where("listing is not null").join(feed.select("channel", "video_id"), ["channel", "video_id"], "left_anti")
+    return K.retention_actions(items, states, candidates, channels.select("channel", "keep", "purge"), ["channel"], "video_id")
+
+
+def stream_latest_state(spark, sf_dir):
+    """Orders as a stream of events of their customers: the last states after all of it."""
+    known = table(spark, sf_dir, "orders")
+    run = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    price = F.floor("o_totalprice").cast("long")
+    # a pattern, as a stream of files takes no single file
+    events = spark.readStream.schema(known.schema).parquet(f"{sf_dir}/order[s].parquet").select(
+        F.col("o_custkey").alias("channel"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderstatus") == "F", "published").otherwise("pending").alias("stage"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "excluded").otherwise("").alias("removal"), price.alias("input"), (price % 1000).alias("output"),
+    )
+    states.follow(events, ["channel"], f"{run}/out", f"{run}/log").awaitTermination()
+    return states.current(spark, ["channel"], f"{run}/out")
+
+
 def cat_status_counts(spark, sf_dir):
     e = _episodes(spark, sf_dir).withColumns({"removing": F.col("priority") == "1-URGENT", "failed": F.col("bytes") % 11 == 0})
     return K.status_counts(e, ["channel"])
@@ -360,3 +411,32 @@ anb AS (SELECT st.*, greatest(new_start, coalesce(tr.s, new_start)) AS b0 FROM s
 rg AS (SELECT anb.user_id, anb.rule, anb.prob, anb.loc, b0 AS "start", new_end AS "end" FROM anb JOIN en USING (user_id, anchor)), {_fused_sql("rg", _O.pad_before, _O.pad_after)}, {_keeps("cuts", _O.min_keep)}
 SELECT user_id, 'cut' AS kind, round("start", 6) AS "start", round("end", 6) AS "end" FROM cuts UNION ALL SELECT user_id, 'keep', round("start", 6), round("end", 6) FROM kept""",
 }
+_SIDES = f"""{_EP},
+up AS (SELECT channel, video_id, row_number() OVER (PARTITION BY channel ORDER BY price DESC, video_id) AS listing, priority AS title, CAST(bytes % 4000 AS DOUBLE) AS seconds, priority <> '3-MEDIUM' AS accessible FROM ep WHERE price > 60000),
+fe AS (SELECT channel, video_id, published_at, bytes FROM ep WHERE stage = 'published'),
+st AS (SELECT channel, video_id, stage, CASE WHEN priority = '5-LOW' THEN 'excluded' ELSE '' END AS removal, stage = 'published' AS hp, priority = '2-HIGH' AS pp,
+  priority = '5-LOW' AND stage = 'waiting' AS dp, CASE WHEN bytes % 3 = 0 THEN 'failed' END AS err, 60e0 AS secs FROM ep WHERE priority > '1-URGENT' OR stage = 'pending'),
+ch AS (SELECT c_custkey AS channel, c_acctbal > 0 AS enabled, c_acctbal > 9000 AS purge FROM customer)"""
+_PLAN = f"""{_SIDES},
+j AS (SELECT channel, video_id, up.* EXCLUDE (channel, video_id), fe.published_at, fe.bytes, fe.video_id IS NOT NULL AS in_feed, st.* EXCLUDE (channel, video_id), up.video_id IS NOT NULL AS in_up
+  FROM up FULL JOIN fe USING (channel, video_id) FULL JOIN st USING (channel, video_id)),
+k AS (SELECT j.*, in_up AND accessible AND (SELECT count(*) FROM up u WHERE u.channel = j.channel AND u.accessible AND u.listing < j.listing) < 5 AS sel,
+  in_feed AND coalesce(removal, '') = '' AS stays FROM j JOIN ch USING (channel) WHERE enabled),
+l AS (SELECT *, sum(CASE WHEN stays THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY published_at DESC NULLS LAST, video_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM k),
+pl AS (SELECT channel, video_id, title, CASE WHEN coalesce(seconds, 0) > 0 THEN seconds ELSE coalesce(secs, 0) END AS seconds, coalesce(bytes, 0) AS bytes, coalesce(sel, false) AS selected,
+  CASE WHEN coalesce(removal, '') <> '' THEN removal WHEN stays AND place > 3 THEN 'pruned' WHEN coalesce(hp, false) AND NOT coalesce(pp, false) THEN 'existing' WHEN stage = 'waiting' THEN 'waiting' WHEN stage = 'rendered' THEN 'rendered'
+    WHEN coalesce(err, '') <> '' THEN 'retry' ELSE 'new' END AS status, coalesce(dp, false) AS recovery FROM l)"""
+ORACLES |= {
+    "cat_plan": f"WITH {_PLAN} SELECT * FROM pl",
+    "cat_plan_totals": f"""WITH {_PLAN}, o AS (SELECT *, selected AND status IN ('new', 'retry') AS op FROM pl)
+SELECT channel, count(*) FILTER (WHERE op) AS to_do, count(*) FILTER (WHERE op AND seconds <= 0) AS unknown, coalesce(sum(seconds) FILTER (WHERE op), 0e0) AS todo_seconds,
+CAST(sum(CASE WHEN status IN ('pruned', 'excluded') THEN 0 ELSE bytes END) AS BIGINT) AS stored_bytes, bool_or(recovery) AS recovery FROM o GROUP BY channel""",
+    "cat_retention_actions": f"""WITH {_SIDES},
+x AS (SELECT e.channel, e.video_id, e.published_at, u.listing, f.video_id IS NULL AS new, coalesce(s.removal, '') <> '' AS leaving, purge
+  FROM ep e LEFT JOIN up u USING (channel, video_id) LEFT JOIN fe f USING (channel, video_id) LEFT JOIN st s USING (channel, video_id) JOIN ch USING (channel) WHERE f.video_id IS NOT NULL OR u.listing IS NOT NULL),
+r AS (SELECT *, coalesce(sum(CASE WHEN new THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY published_at DESC, listing IS NULL, listing, video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM x WHERE NOT leaving),
+a AS (SELECT channel, video_id, CAST(place AS INTEGER) AS place, CASE WHEN purge AND new THEN 'reject' WHEN purge THEN 'exclude' WHEN new AND place < 3 THEN 'admit' WHEN new THEN 'reject' WHEN place < 3 THEN 'keep' ELSE 'prune' END AS action FROM r)
+SELECT * FROM a UNION ALL SELECT channel, video_id, NULL, CASE WHEN dp THEN 'finish' ELSE 'exclude' END FROM st JOIN ch USING (channel) WHERE (dp OR purge) AND NOT EXISTS (SELECT 1 FROM a WHERE a.channel = st.channel AND a.video_id = st.video_id)""",
+    "stream_latest_state": """SELECT o_custkey AS channel, max(o_orderkey) AS version, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'published' ELSE 'pending' END, o_orderkey) AS stage,
+arg_max(CASE WHEN o_orderpriority = '5-LOW' THEN 'excluded' ELSE '' END, o_orderkey) AS removal, bool_or(o_orderstatus = 'F') AS has_published, max(CAST(floor(o_totalprice) AS BIGINT)) AS input, max(CAST(floor(o_totalprice) AS BIGINT) % 1000) AS output FROM orders GROUP BY o_custkey""",
+}

@@ -26,7 +26,8 @@ def cat_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
         "listing": o.where("o_totalprice > 150000").select("video_id", (F.col("video_id") % 97).alias("position")),
         "metadata": o.where("o_orderpriority < '3'").select("video_id", F.col("o_orderpriority").alias("title")),
     }
-    return K.joined(sides, ["video_id"])
+    names = {"feed_bytes": "bytes", "state_stage": "stage", "listing_position": "position", "metadata_title": "title"}
+    return K.joined(sides, ["video_id"]).withColumnsRenamed(names)
 
 
 def cat_live_keys(spark, sf_dir):
