@@ -683,6 +683,38 @@ def test_connected_components(spark):
 # ---- 10: mixing
 
 
+@pytest.mark.parametrize("group", [4096, 2])
+def test_shards_draw_their_own_counts(spark, monkeypatch, group):
+    """Multinomial counts in shards of one size, which sum up to just the slots of each source."""
+    monkeypatch.setattr(mixing, "GROUP", group)
+    sizes = {"=a": 30_000, "=b": 10_000, "=c": 20_003, "=d": 1, "=e": 3, "": 700}
+    n, shards = sum(sizes.values()), 64
+    rows = mixing.drawn_counts(spark.createDataFrame(list(sizes.items()), "_source string, n long"), shards, 7, []).collect()
+    assert len({(r["_source"], r.shard) for r in rows}) == len(rows) and all(r.here > 0 for r in rows)
+    by_source, by_shard = collections.Counter(), collections.Counter()
+    for r in rows:
+        by_source[r["_source"]] += r.here
+        by_shard[r.shard] += r.here
+    assert by_source == sizes
+    assert set(by_shard) == set(range(shards)) and {n // shards, n // shards + 1} >= set(by_shard.values())
+    for name in ("=a", "=b", "=c"):
+        got = [r.here for r in rows if r["_source"] == name]
+        part = sizes[name] / n
+        assert 0.5 < np.var(got) / (n / shards * part * (1 - part)) < 1.7
+    again = mixing.drawn_counts(spark.createDataFrame(list(sizes.items())[::-1], "_source string, n long").repartition(3), shards, 7, []).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+    assert mixing.drawn_counts(spark.createDataFrame([], "_source string, n long"), shards, 7, []).count() == 0
+
+
+def test_a_shard_draws_from_a_multinomial():
+    """Two sources of 3 slots, a shard of 2: both from the first in a quarter of the draws (a deal of the slots would give a fifth)."""
+    both = sum(mixing.draw(2, [3, 3], key)[0] == 2 for key in range(8000))
+    assert abs(both / 8000 - 0.25) < 0.02
+    lost = mixing.give_up([5, 0, 9], 6, 1)
+    assert sum(lost) == 6 and (np.array(lost) <= [5, 0, 9]).all() and (np.array(lost) >= 0).all()
+    assert list(mixing.give_up([], 0, 1)) == []
+
+
 def brute_targets(sizes, weights, share, repeats):
     aim = [0.0] * len(sizes)
     full = set()

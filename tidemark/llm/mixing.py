@@ -6,9 +6,11 @@
 2.  Packing.  The documents of a source stand in a pseudorandom order and their words are packed
     into blocks of `block` words.  Places in that order are prefix sums over chunks of documents, so
     no task holds a whole source.
-3.  Drawing.  A source gives as many slots as its target needs.  It deals them to the output shards by a
-    multinomial draw with equal chances, seeded by its name.  Given the size of a shard, the counts of
-    the sources in it are then multinomial too, and every source gives just what it is to give.
+3.  Drawing.  A source gives as many slots as its target needs, and the slots of all sources are dealt to output shards of
+    equal size.  Each shard draws its counts of the sources from a multinomial of its own, with the sources' parts of all slots as
+    chances: first the counts of groups of GROUP sources, then those within each group.  The draws of a source then sum up to
+    its slots but for chance; where they are more, slots of it drawn at random are given up, and those places, in pseudorandom
+    order, go to the sources that were drawn too seldom.  So every source gives just what it is to give.
 4.  Slot j of a source is block P(j mod blocks) of its pass j div blocks, P a keyed Feistel
     permutation of the source's whole blocks (a shorter last block comes last in each pass); the last slot of all takes
     the words that the target still lacks.  Slots and documents are joined by block number.
@@ -25,13 +27,13 @@ Columns beside id, text and source are kept by mixed_documents and not carried b
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from . import textkit as kit
@@ -44,8 +46,8 @@ SHARDS = 64
 #: Documents that share a chunk of the order, on average; over many documents the root of their number, so that
 #: neither a chunk nor the list of chunks grows as they do.
 CHUNK_DOCS = 512
-#: Slots that are listed from one row.
-SLOT_RUN = 1 << 14
+#: Slots that are listed from one row, and sources whose counts are drawn together.
+SLOT_RUN, GROUP = 1 << 14, 4096
 #: Sources up to which their table is broadcast.
 BROADCAST_ROWS = 50_000
 FEISTEL_ROUNDS = 6
@@ -57,12 +59,15 @@ def size_of(text: Column) -> Column:
     return F.length(F.regexp_replace(spaced, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
-def numbered(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], sums: dict[str, str], kept: list[DataFrame] | None = None) -> DataFrame:
     """df with `place`, its place in the order from 0, and a sum over all rows before it for each name and column of `sums`.
 
-    Rows are dealt to tasks by ranges of the order; then each task needs only the totals of those before it.
+    Rows are dealt to tasks by ranges of the order; then each task needs only the totals of those before it.  The table that the
+    result reads is added to `kept`.
     """
     held = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    if kept is not None:
+        kept.append(held)
     totals = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
     # a row for each task
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,28 +83,41 @@ def numbered(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame
     return out.drop("_part", "_n", *[f"_{k}" for k in sums])
 
 
-def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
-    """sources (_source and its words n) with their weight by turns and their target words.
+def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS, kept: list[DataFrame] | None = None) -> DataFrame:
+    """sources (_source and its words n) with their weight by turns and their target words; tables that the result reads are
+    added to `kept`.
 
     Sources in the order of words to weight are the order in which they fill up.  The first that does not, with all
     that are fuller taken away, tells what a unit of weight gives.
     """
-    by_name = numbered(sources.withColumn("_last", F.col("_source") == ""), ["_last", "_source"], {})
+    kept = [] if kept is None else kept
+    by_name = numbered(sources.withColumn("_last", F.col("_source") == ""), ["_last", "_source"], {}, kept)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     weighted = settle(by_name.select("_source", "n", weight.alias("weight")))
+    kept.append(weighted)
     all_ = weighted.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
     if not all_.n:
         return weighted.withColumn("target", F.lit(0.0))
-    filling = numbered(weighted.withColumn("fill", F.col("n") / F.col("weight")), ["fill", "_source"], {"n_before": "n", "weight_before": "weight"})
+    filling = numbered(weighted.withColumn("fill", F.col("n") / F.col("weight")), ["fill", "_source"], {"n_before": "n", "weight_before": "weight"}, kept)
     unit = (F.lit(share * all_.n) - repeats * F.col("n_before")) / (F.lit(all_.weight) - F.col("weight_before"))
     open_ = filling.where(unit * F.col("weight") <= repeats * F.col("n")).agg(F.min_by(unit, "place").alias("unit")).first().unit
     target = F.lit(repeats) * F.col("n") if open_ is None else F.least(F.lit(repeats) * F.col("n"), F.lit(open_) * F.col("weight"))
     return weighted.withColumn("target", target.cast("double"))
 
 
-def draw(slots: int, shards: int, seed: int) -> np.ndarray:
-    """How many of a source's slots each shard gets."""
-    return np.random.Generator(np.random.PCG64(seed & (2**64 - 1))).multinomial(slots, np.full(shards, 1 / shards))
+def _random(key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(int(key) & (2**64 - 1)))
+
+
+def draw(slots: int, parts: np.ndarray, key: int) -> np.ndarray:
+    """How many of the slots each part gets, with chances as the parts' sizes."""
+    chances = np.asarray(parts, dtype=np.float64)
+    return _random(key).multinomial(slots, chances / chances.sum())
+
+
+def give_up(counts: np.ndarray, slots: int, key: int) -> np.ndarray:
+    """How many of some slots, drawn at random, each count loses."""
+    return _random(key).multivariate_hypergeometric(np.asarray(counts, dtype=np.int64), slots, method="marginals")
 
 
 def permuted(values: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -135,32 +153,79 @@ def _source(source_col: str) -> Column:
     return F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
 
 
-def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """The slots of sources (_source, source_size, target, blocks)."""
+@F.pandas_udf(ArrayType(LongType()))
+def _draws(total: pd.Series, parts: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series([draw(n, p, k) for n, p, k in zip(total, parts, key, strict=True)])
+
 
-    @F.pandas_udf("array<long>")
-    def dealt(cols: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for slots, key in cols:
-            yield pd.Series([draw(n, shards, k) for n, k in zip(slots, key, strict=True)])
+@F.pandas_udf(ArrayType(LongType()))
+def _losses(counts: pd.Series, total: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series([give_up(c, n, k) for c, n, k in zip(counts, total, key, strict=True)])
 
-    @F.pandas_udf("long")
-    def permute(cols: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for value, size, key in cols:
-            # a place past the whole blocks stays
-            value, size = value.to_numpy(), size.to_numpy()
-            whole = value < size
-            out = value.copy()
-            out[whole] = permuted(value[whole], size[whole], key.to_numpy().view(kit.U64)[whole])
-            yield pd.Series(out)
 
+def _listed(rows: DataFrame, first: str, count: str, name: str) -> DataFrame:
+    """A row for each number from `first` on, `count` of them; runs of numbers are dealt to all tasks before they are listed."""
+    runs = rows.where(F.col(count) > 0).withColumn("_run", F.explode(F.sequence(F.lit(0), F.expr(f"({count} - 1) div {SLOT_RUN}")))).repartition(first, "_run")
+    return runs.withColumn(name, F.explode(F.sequence(F.expr(f"{first} + _run * {SLOT_RUN}"), F.expr(f"{first} + least({count}, (_run + 1) * {SLOT_RUN}) - 1")))).drop("_run")
+
+
+def drawn_counts(sources: DataFrame, shards: int, seed: int, kept: list[DataFrame]) -> DataFrame:
+    """(_source, shard, here) of sources (_source, n): each shard's multinomial draw, trued up to n slots of each source.
+
+    Tables that the result reads are added to `kept`.
+    """
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    member = F.struct("place", "_source", "n")
+    grouped = numbered(sources.select("_source", "n"), ["_source"], {}, kept).withColumn("group", F.expr(f"place div {GROUP}"))
+    groups = settle(grouped.groupBy("group").agg(F.array_sort(F.collect_list(member)).alias("members"), F.sum("n").alias("n")))
+    kept.append(groups)
+    # a row with an entry for GROUP sources, and one for each shard
+    tops = groups.agg(F.array_sort(F.collect_list(F.struct("group", "n"))).alias("tops")).where(F.size("tops") > 0)
+    size = F.expr(f"{total} div {shards}") + (F.col("shard") < total % shards).cast("long")
+    by_group = tops.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("here", _draws(size, F.col("tops.n"), F.xxhash64(F.lit("groups"), "shard", F.lit(seed))))
+    by_group = by_group.select("shard", F.inline(F.arrays_zip(F.col("tops.group").alias("group"), "here"))).where("here > 0")
+    within = by_group.join(groups.drop("n"), "group").withColumn("counts", _draws("here", F.col("members.n"), F.xxhash64("group", "shard", F.lit(seed))))
+    first = within.select("shard", F.inline(F.arrays_zip(F.col("members._source").alias("_source"), "counts"))).where("counts > 0")
+    by_source = first.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("shard", F.col("counts").alias("here")))).alias("held"))
+    over = F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + h["here"]) - F.col("n")
+    judged = sources.select("_source", "n").join(by_source, "_source", "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<shard:int,here:long>>")))
+    judged = judged.withColumn("over", over)
+    lost = _losses(F.col("held.here"), F.greatest("over", F.lit(0)), F.xxhash64("_source", F.lit(seed + 1)))
+    trimmed = settle(judged.withColumn("lost", lost))
+    kept.append(trimmed)
+    parts = trimmed.select("_source", F.inline(F.arrays_zip(F.col("held.shard").alias("shard"), F.col("held.here").alias("here"), "lost")))
+    # the free places of the shards, in pseudorandom order, and what the other sources lack, in order
+    free = parts.groupBy("shard").agg(F.sum("lost").alias("n")).where("n > 0")
+    free = free.withColumn("at", F.sum("n").over(Window.orderBy("shard")) - F.col("n"))  # a row for each shard
+    places = trimmed.agg(F.sum(F.greatest("over", F.lit(0)))).first()[0] or 0
+    lacking = numbered(trimmed.where("over < 0").select("_source", (-F.col("over")).alias("lack")), ["_source"], {"at": "lack"}, kept)
+    seats = _listed(free, "at", "n", "seat").withColumn("number", _permute("seat", F.lit(places), F.lit(seed))).select("shard", "number")
+    wants = _listed(lacking, "at", "lack", "number").select("_source", "number")
+    gained = wants.join(seats, "number").groupBy("_source", "shard").agg(F.count(F.lit(1)).alias("here"))
+    held = parts.select("_source", "shard", (F.col("here") - F.col("lost")).alias("here"))
+    return held.unionByName(gained).groupBy("_source", "shard").agg(F.sum("here").alias("here")).where("here > 0")
+
+
+@F.pandas_udf(LongType())
+def _permute(value: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
+    # a place past the whole blocks stays
+    value, size = value.to_numpy(), size.to_numpy()
+    whole = value < size
+    out = value.copy()
+    out[whole] = permuted(value[whole], size[whole], key.to_numpy().astype(np.int64).view(kit.U64)[whole])
+    return pd.Series(out)
+
+
+def slots_of(sources: DataFrame, block: int, shards: int, seed: int, kept: list[DataFrame] | None = None) -> DataFrame:
+    """The slots of sources (_source, source_size, target, blocks); tables that the result reads are added to `kept`."""
+    kept = [] if kept is None else kept
     words = F.round("target").cast("long")
     aim = sources.where("source_size > 0").withColumn("passes", F.floor(words / F.col("source_size")).cast("long"))
     aim = aim.withColumn("rest", words - F.col("passes") * F.col("source_size"))
     aim = aim.withColumn("n", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)).where("n > 0")
     key = F.xxhash64("_source", F.lit(seed))
-    facts = ["_source", "source_size", "blocks", "n", "rest"]
-    shares = aim.select(*facts, F.posexplode(dealt("n", F.xxhash64("_source", F.lit(seed + 1)))).alias("shard", "here"))
-    shares = shares.withColumn("start", F.sum("here").over(Window.partitionBy("_source").orderBy("shard")) - F.col("here")).where("here > 0")
+    shares = aim.select("_source", "source_size", "blocks", "n", "rest").join(drawn_counts(aim, shards, seed, kept), "_source")
+    shares = shares.withColumn("start", F.sum("here").over(Window.partitionBy("_source").orderBy("shard")) - F.col("here"))
     # runs of slots are dealt to all tasks before they are listed
     runs = shares.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(here - 1) div {SLOT_RUN}")))).repartition("_source", "shard", "run")
     listed = runs.withColumn("slot", F.explode(F.sequence(F.expr(f"start + run * {SLOT_RUN}"), F.expr(f"start + least(here, (run + 1) * {SLOT_RUN}) - 1"))))
@@ -170,7 +235,7 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
         "shard",
         "slot",
         F.expr("slot div blocks").alias("pass"),
-        permute(F.col("slot") % F.col("blocks"), F.expr(f"source_size div {block}"), key).alias("block"),
+        _permute(F.col("slot") % F.col("blocks"), F.expr(f"source_size div {block}"), key).alias("block"),
         F.when(last, F.col("rest") - (F.ceil(F.col("rest") / block) - 1) * block).alias("take"),
     )
 
@@ -178,7 +243,8 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int) -> DataFram
 def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, repeats=REPEATS, block=BLOCK, shards=SHARDS, seed=7) -> Mixture:
     rows = settle(docs.select(_source(source_col).alias("_source"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), size_of(F.col(text_col)).alias("size")))
     sizes = settle(rows.groupBy("_source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")))
-    aims = with_targets(sizes.select("_source", "n"), weights, share, repeats)
+    kept: list[DataFrame] = []
+    aims = with_targets(sizes.select("_source", "n"), weights, share, repeats, kept)
     sources = settle(aims.select("_source", F.col("n").alias("source_size"), "target", F.ceil(F.col("n") / block).alias("blocks")))
     # places: prefix sums over chunks, then within each chunk; documents without words have none
     n_docs = sizes.agg(F.sum("docs")).first()[0] or 0
@@ -192,8 +258,8 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.select("_source", "_id", "_hash", "size", (F.col("ahead") + F.col("upto") - F.col("size")).alias("first"))
     wordless = rows.where("size = 0").withColumn("first", F.lit(None).cast("long"))
     # slots are made from a short list, which Spark would take for small: settled, they have their size
-    out = Mixture(settle(placed.unionByName(wordless)), settle(slots_of(sources, block, shards, seed)), sources, block)
-    discard(rows, sizes)
+    out = Mixture(settle(placed.unionByName(wordless)), settle(slots_of(sources, block, shards, seed, kept)), sources, block)
+    discard(rows, sizes, *kept)
     return out
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..settling import discard, settle, shared_folder
 from ..shipping import ship
 
+__all__ = ["bounded_broadcast", "discard", "each_batch", "free_name", "give_back", "settle", "shared_folder", "small_batches", "table"]
+
 #: Rows and bytes of texts in one Arrow batch; a longer text is a batch alone.
 TEXT_BATCH, TEXT_BYTES = 512, 4 << 20
 
@@ -24,42 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a local one is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later steps neither run its
-    plan again nor depend on one executor's disk.  Then Spark's cleaner is given the chance to
-    drop the shuffle files of the plan, which nothing needs any more."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that no later step reads."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Texts are long, so the session's Arrow batches get smaller, by rows and by bytes (smaller ones that are set
     stay).  The package goes to the workers."""
