@@ -22,6 +22,12 @@ def candidates(sentences: DataFrame, anchors: DataFrame, keys: Keys, anchor: str
     return kept.withColumn("idx", F.row_number().over(per.orderBy("start", "end")) - 1).drop("_n", "a_start", "a_end")
 
 
+def reversed_ids(rows: DataFrame, keys: Keys, prefix: str) -> DataFrame:
+    """rows (keys, idx) with `sid`, ids whose order runs against idx: the last is 001.  For finding out what hangs on the order of ids."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return rows.withColumn("sid", F.format_string(f"{prefix}%03d", n - F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) + 1))
+
+
 def previous_text(rows: DataFrame, keys: Keys, order: str) -> DataFrame:
     """Each row with the text before it: `before`, empty for the first."""
     return rows.withColumn("before", F.lag("text", 1, "").over(Window.partitionBy(*keys).orderBy(order)))

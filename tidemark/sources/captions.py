@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,16 +78,65 @@ def listing(spark: SparkSession, path: str, wanted: int) -> DataFrame:
     return rows.where(F.col("id").isNotNull()).withColumn("accessible", usable).withColumn("_n", F.coalesce(seen, F.lit(0))).where(F.col("_n") < wanted).drop("_n", "_file")
 
 
-def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS files: guid, title, published_at, url, bytes, seconds."""
-    schema = "guid string, title string, pubDate string, enclosure struct<_url:string,_length:long>, duration string"
-    rows = spark.read.format("xml").schema(schema).option("rowTag", "item").option("ignoreNamespace", True).load(path)
+_ITEM = (
+    "struct<title:string,guid:string,description:string,pubDate:string,enclosure:struct<_url:string,_length:string>,duration:string,"
+    "image:struct<_href:string>,chapters:array<struct<_url:string,chapter:array<struct<_start:string,_title:string>>>>>"
+)
+#: An RSS document, read without its namespaces: podcast and simple chapters are both `chapters` then.
+FEED = (
+    "channel array<struct<title:string,description:string,language:string,category:array<struct<_text:string>>,image:array<struct<_href:string>>,"
+    f"item:array<{_ITEM}>>>"
+)
+
+
+def _or_error(value: Column, given: Column, what: str) -> Column:
+    """value, or an error that names what was given."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(given, F.lit("nothing")))))
+
+
+def parsed_feeds(files: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """files (keys and the text of a feed) with what they hold (_feed).  What is not RSS with one channel is an error, never an empty feed."""
+    read = F.from_xml(F.col(text_col), FEED, {"ignoreNamespace": "true", "mode": "FAILFAST"})
+    parsed = files.select(*keys, F.col(text_col).rlike(r"<rss[\s>]").alias("_rss"), read.alias("_x"))
+    one = F.when(F.col("_rss") & (F.size("_x.channel") == 1), F.get("_x.channel", 0))
+    return parsed.select(*keys, _or_error(one, F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), "not RSS with one channel").alias("_feed"))
+
+
+def feed_channels(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, title, description, language, category, image) of parsed feeds.  Their own addresses are known from where they lie."""
+    attribute = lambda name, key: F.get(F.filter(F.col(f"_feed.{name}"), lambda x: x[key].isNotNull()), 0)[key]
+    return parsed.select(*keys, "_feed.title", "_feed.description", "_feed.language", attribute("category", "_text").alias("category"), attribute("image", "_href").alias("image"))
+
+
+def clock_seconds(text: Column, least: int = 1) -> Column:
+    """Seconds of up to three numbers parted by colons, `least` at least; null if there are others."""
+    parts = F.split(text, ":")
+    ok = F.size(parts).between(least, 3) & F.forall(parts, lambda p: p.rlike(r"^\d+(\.\d+)?$"))
+    return F.when(ok, F.aggregate(F.transform(parts, lambda p: p.try_cast("double")), F.lit(0.0), lambda a, p: a * 60 + p))
+
+
+def feed_entries(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Items of parsed feeds: keys, prior (their place in the document), guid, title, description, published_at, url, bytes, seconds, image,
+    chapters_url and chapters (start, title).  A date, length, duration or chapter that can't be read is an error."""
+    rows = parsed.select(*keys, F.posexplode("_feed.item").alias("prior", "_i"))
+    i = lambda name: F.col(f"_i.{name}")
+    at = F.try_to_timestamp(F.regexp_replace(i("pubDate"), r"^\w+, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    size = i("enclosure._length").try_cast("long")
+    listed = F.flatten(F.transform(F.coalesce(i("chapters"), F.array().cast("array<struct<_url:string,chapter:array<struct<_start:string,_title:string>>>>")), lambda c: F.coalesce(c["chapter"], F.array().cast("array<struct<_start:string,_title:string>>"))))
+    chapter = lambda c: F.struct(_or_error(clock_seconds(c["_start"], 3), c["_start"], "chapter start").alias("start"), c["_title"].alias("title"))
     return rows.select(
-        "guid", "title", F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w+, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"), F.col("enclosure._url").alias("url"),
-        F.col("enclosure._length").alias("bytes"), T.timestamp_seconds(F.col("duration")).alias("seconds"),
+        *keys, "prior", i("guid").alias("guid"), i("title").alias("title"), i("description").alias("description"), _or_error(at, i("pubDate"), "publication date").alias("published_at"),
+        i("enclosure._url").alias("url"), _or_error(size, i("enclosure._length"), "enclosure length").alias("bytes"), _or_error(clock_seconds(i("duration")), i("duration"), "duration").alias("seconds"),
+        i("image._href").alias("image"), F.get(F.filter(i("chapters"), lambda c: c["_url"].isNotNull()), 0)["_url"].alias("chapters_url"), F.transform(listed, chapter).alias("chapters"),
     )
 
 
+def feed_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of RSS files: guid, title, published_at, url, bytes, seconds and what else feed_entries() reads."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return feed_entries(parsed_feeds(files, ["path"], "value"), ["path"]).drop("path")
+
+
 def snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """Rows of a saved state (JSON); None if nothing was saved yet.  What is saved and can't be read is an error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

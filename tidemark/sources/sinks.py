@@ -77,6 +77,29 @@ def opml(feeds: DataFrame, key: str) -> DataFrame:
     return feeds.agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<opml version="2.0"><body>\n'), body, F.lit("\n</body></opml>")).alias("opml"))
 
 
+#: Fixed value: where a feed's address opens a podcast app that subscribes to it.
+SUBSCRIBE = "https://antennapod.org/deeplink/subscribe?url="
+
+
+def subscription_page(feeds: DataFrame, key: str, heading: str = "Feeds", opml_name: str = "feeds.opml") -> DataFrame:
+    """(html): a page of all shows (title, url) by title, each with its address and a link that subscribes to it, and one to the list."""
+    entry = F.concat(
+        F.lit("<li><b>"), escaped(F.col("title")), F.lit(f'</b> <a href="{SUBSCRIBE}'), F.url_encode("url"), F.lit('">Subscribe</a> <a href="'), escaped(F.col("url")), F.lit('">'), escaped(F.col("url")), F.lit("</a></li>"),
+    )
+    rows = F.array_sort(F.collect_list(F.struct("title", key, entry.alias("o"))))
+    body = F.array_join(F.transform(rows, lambda r: r["o"]), "\n")
+    head = f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><meta name="viewport" content="width=device-width, initial-scale=1"><meta name="robots" content="noindex"><title>{heading}</title></head>\n<body><h1>{heading}</h1>\n<ul>\n'
+    return feeds.agg(F.concat(F.lit(head), body, F.lit(f'\n</ul>\n<p><a href="{opml_name}" download="{opml_name}">All feeds as one list</a></p></body></html>')).alias("html"))
+
+
+def vtt(cues: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vtt): cues (keys, seq, start, end, text) as WebVTT texts; a text is one line."""
+    line = F.regexp_replace("text", r"\s+", " ")
+    cue = F.concat(clock(F.col("start"), True), F.lit(" --> "), clock(F.col("end"), True), F.lit("\n"), line, F.lit("\n"))
+    lists = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", cue.alias("c")))).alias("_c"))
+    return lists.select(*keys, F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("_c", lambda c: c["c"]), "\n")).alias("vtt"))
+
+
 def changed(documents: DataFrame, written: DataFrame, key: str, content: str) -> DataFrame:
     """Documents whose content is not what was written under their key: those to write."""
     new = documents.withColumn("sha256", F.sha2(content, 256))
