@@ -680,6 +680,35 @@ def test_connected_components(spark):
     assert got == {i: root(i) for i in parent if root(i) != i}
 
 
+# ---- 2: foreign numbers, named dates
+
+
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [("+44 20 7946 0958", "phone_abroad"), ("+49 (0)30 123456-78", "phone_abroad"), ("+33123456789", "phone_abroad"), ("14 March 2020", "named_date"), ("March 4, 1999", "named_date"), ("04 DEC 2031", "named_date"), ("4111.1111.1111.1111", "card")],
+)
+def test_more_layouts(value, kind):
+    key = b"a key of tests"
+    text = f"(see {value}), said they"
+    new, found = pii.pseudonymise(text, key)
+    assert [f[0] for f in found] == [kind] and new != text and pii.invert(new, key) == text
+    shape = lambda t: re.sub(r"[0-9]", "0", re.sub(r"[A-Za-z]{3,}", "x", t))
+    assert shape(new) == shape(text)
+    assert [f[0] for f in pii.pseudonymise(new, key)[1]] == [kind]
+
+
+def test_values_are_linked_across_layouts():
+    key = b"a key of tests"
+    only = lambda t: re.sub(r"[^0-9]", "", pii.pseudonymise(t, key)[0])
+    assert only("+44 20 7946 0958") == only("+442079460958")
+    new = pii.pseudonymise("14.03.2020 14 March 2020 Mar 14 2020", key)[0]
+    day, month, year = new.split()[0].split(".")
+    named = pii.MONTHS[int(month) - 1]
+    assert new == f"{day}.{month}.{year} {day} {named} {year} {named[:3]} {day} {year}"
+    for text in ("+20 000 people came", "31 February 2020", "Maybe 3 2020", "5551234567", "+1234", "14 March 20201", "may 5 or 6"):
+        assert pii.pseudonymise(text, key) == (text, [])
+
+
 # ---- 10: mixing
 
 

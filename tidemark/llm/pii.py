@@ -7,8 +7,10 @@ the original (separators, brackets, capitals, number of digits), and equal value
 documents, whatever their layout.  With the key the step can be undone (`invert`).
 
 Kinds: card (13 to 19 digits, Luhn), ssn, phone (any ten digits after +1 or 1 or with brackets, otherwise ten
-digits of the North American plan), ipv4 (any four octets), iban (mod 97), date (year first, or day and month before a year), email (letters and digits of the
-local part).  Digits are those of ASCII.
+digits of the North American plan), phone_abroad (+ and 8 to 15 digits, not after +1; the first three stay), ipv4 (any four octets), iban
+(mod 97), date (year first, day and month before a year, or with an English month name), email (letters and digits of the
+local part).  Digits are those of ASCII.  Not found: numbers of ten or nine digits without any mark (they may be anything), IPv6
+addresses, month names of other languages.
 
 A candidate that fails validation stays, but hides nothing: the other kinds are tried where it begins, then shorter
 readings of its groups, and the search goes on just after its first character.
@@ -41,19 +43,24 @@ ROUNDS = 10
 #: The session's setting that holds the key, as text.
 KEY_SETTING = "spark.tidemark.pseudonym.key"
 
+#: The English months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
 #: The shapes, in the order in which they are tried at a place.
 _SHAPES = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9/-]|\.[0-9])",
+    "named_date": rf"(?<![\w-])(?i:[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}},? [0-9]{{4}})(?![\w-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<!\w)(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+1[0-9]{10})(?![0-9])",
-    "card": r"(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
+    "phone_abroad": r"(?<![\w+])\+[2-9][0-9]{0,14}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{0,14}|[ .-][0-9]{1,14}){0,7}(?![0-9])",
+    "card": r"(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
 }
 _KIND_SHAPE = {kind: re.compile(shape) for kind, shape in _SHAPES.items()}
 #: Where any shape may begin.
-_SHAPE = re.compile("|".join(f"(?:{shape})" for shape in _SHAPES.values()).replace("([ -])", "(?P<sep>[ -])").replace("\\1", "(?P=sep)"))
+_SHAPE = re.compile("|".join(f"(?:{shape})" for shape in _SHAPES.values()).replace("([ .-])", "(?P<sep>[ .-])").replace("\\1", "(?P=sep)"))
 #: What must be in a text for any shape to be there.
 _HINT = re.compile(r"[0-9@]")
 
@@ -135,6 +142,15 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     return _relaid(text, f"{lead}{_walk(int(own), 10**10, lambda v: _phone_valid(v) == planned, key, 'phone', back):010d}")
 
 
+def _phone_abroad(text: str, key: bytes, back: bool) -> str | None:
+    digits = re.sub(r"[^0-9]", "", text)
+    if not 8 <= len(digits) <= 15:
+        return None
+    # the country lies in the first three digits
+    n = len(digits) - 3
+    return _relaid(text, f"{digits[:3]}{feistel(int(digits[3:]), 10**n, key, f'abroad{digits[:3]}{n}', back):0{n}d}")
+
+
 def _ipv4(text: str, key: bytes, back: bool) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
@@ -191,17 +207,42 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
             day = datetime.date(*(int(parts[at[c]]) for c in "ymd"))
         except ValueError:
             continue
-        value = day.toordinal() - _FIRST
-        if not 0 <= value < _DAYS or marks[0] != marks[1]:
+        if marks[0] != marks[1]:
+            return None
+        new = _other_date(day, key, back)
+        if new is None:
             return None
-        alike = lambda v: _date_class(datetime.date.fromordinal(_FIRST + v)) == _date_class(day)  # noqa: B023, E731
-        new = datetime.date.fromordinal(_FIRST + _walk(value, _DAYS, alike, key, "date", back))
         shown = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(parts[at["m"]])), "d": str(new.day).zfill(len(parts[at["d"]]))}
         out = [shown[c] for c in order]
         return out[0] + marks[0] + out[1] + marks[1] + out[2]
     return None
 
 
+def _other_date(day: datetime.date, key: bytes, back: bool) -> datetime.date | None:
+    """The pseudonym of a date, one of its class; None out of range."""
+    value = day.toordinal() - _FIRST
+    if not 0 <= value < _DAYS:
+        return None
+    alike = lambda v: _date_class(datetime.date.fromordinal(_FIRST + v)) == _date_class(day)
+    return datetime.date.fromordinal(_FIRST + _walk(value, _DAYS, alike, key, "date", back))
+
+
+def _named_date(text: str, key: bytes, back: bool) -> str | None:
+    name, (first, year) = re.search(r"[A-Za-z]+", text)[0], re.findall(r"[0-9]+", text)
+    month = next(i for i, m in enumerate(MONTHS, 1) if m[:3].lower() == name[:3].lower())
+    try:
+        new = _other_date(datetime.date(int(year), month, int(first)), key, back)
+    except ValueError:
+        return None
+    if new is None:
+        return None
+    # a short name stays short, capitals stay; May is both, and becomes a short name
+    word = MONTHS[new.month - 1] if len(name) > 3 else MONTHS[new.month - 1][:3]
+    word = word.upper() if name.isupper() else word.lower() if name.islower() else word
+    numbers = iter((str(new.day).zfill(len(first)), f"{new.year:04d}"))
+    return re.sub(r"[0-9]+|[A-Za-z]+", lambda m: word if m[0].isalpha() else next(numbers), text)
+
+
 def _email(text: str, key: bytes, back: bool) -> str | None:
     local, domain = text.rsplit("@", 1)
     # capitals are part of the layout: they stay in their places, and the value is that of the small letters
@@ -226,7 +267,7 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-_KINDS = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_KINDS = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "named_date": _named_date, "ssn": _ssn, "phone": _phone, "phone_abroad": _phone_abroad, "card": _card}
 
 
 def _replaced(text: str, at: int, key: bytes, backwards: bool) -> tuple[str, int, str] | None:
