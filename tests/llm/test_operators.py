@@ -136,6 +136,35 @@ def test_phrases_do_not_end_with_pieces(monkeypatch, piece):
         assert counts[number].tolist() == want
 
 
+def test_predictions_equal_plain_parses(spark):
+    """The query's prediction and score of each row, from its own sample, by parses that try all lengths."""
+    rng = np.random.RandomState(8)
+    docs = corpora.documents(spark, n=40)
+    sample = language_id.labelled_sample(docs.where("doc_id is not null").where(language_id.fold(F.col("doc_id")) != 2), F.col("text"), F.col("lang"))
+    model = language_id.learn(sample)
+    texts_of = {}
+    for language, text in sample:
+        texts_of.setdefault(language, []).append(text)
+    as_text = lambda codes: "".join(chr(200 + c) for c in codes.tolist())
+    coded = lambda text: as_text(language_id._read([text], model.symbols)[0][:-1])  # noqa: E731  (without the mark of its end)
+    # a language's text is its sample in the model's order, so its length is what the model says
+    length = dict(zip(model.languages, 2**model.bits, strict=True))
+    rows = language_id.identify_languages(docs.drop("score", "held_out")).collect()
+    assert len(rows) == len(corpora.rows(n=40))
+    learned = {k: as_text(language_id._read([t for name, t in sorted(sample) if name == k], model.symbols)[0]) for k in texts_of}
+    assert all(abs(len(learned[k]) - length[k]) < 1e-6 for k in learned)
+    for r in rng.permutation(len(rows))[:25]:
+        r = rows[r]
+        letters = sum(c.isalpha() for c in r.text or "")
+        if not letters:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cost = sorted((brute_phrases(coded(r.text), learned[k]) * np.log2(length[k]) / letters, k) for k in learned)
+        if cost[1][0] - cost[0][0] > 1e-9:
+            assert r.lang_pred == cost[0][1]
+        assert abs(r.score - min(1, max(0, 1 - cost[0][0] / cost[1][0]))) < 1e-6
+
+
 def test_scripts_and_many_languages_are_told_apart(spark):
     rng = np.random.RandomState(3)
     letters = {f"l{i:02d}": [chr(0x4E00 + 40 * i + k) for k in range(30)] for i in range(40)}
@@ -712,6 +741,41 @@ def test_values_are_linked_across_layouts():
 # ---- 10: mixing
 
 
+def test_words_taken_equal_slots_read_one_by_one(spark):
+    docs = corpora.documents(spark, n=50)
+    mixture = mixing.plan_mixture(docs)
+    sources = {r["_source"]: r for r in mixture.sources.collect()}
+    # each source's words in order of their places, as (document, number of its copy)
+    order = {}
+    placed = mixture.docs.where("size > 0").collect()
+    for r in placed:
+        order.setdefault(r["_source"], []).append(r)
+    taken = collections.Counter()
+    for name, rows in order.items():
+        words = []
+        for r in sorted(rows, key=lambda r: r["first"]):
+            assert r["first"] == len(words)
+            words += [(name, r["first"])] * r["size"]
+        assert len(words) == sources[name].source_size
+        order[name] = words
+    used = collections.Counter()
+    for s in mixture.slots.collect():
+        words = order[s["_source"]][64 * s.block : 64 * (s.block + 1)]
+        assert words
+        used[(s["_source"], s["pass"], s.block)] += 1
+        for key in words[: s["take"]] if s["take"] is not None else words:
+            taken[key] += 1
+    assert max(used.values()) == 1
+    for r in placed:
+        assert taken[(r["_source"], r["first"])] <= 2 * r["size"]
+    for name, row in sources.items():
+        assert sum(n for (s, _), n in taken.items() if s == name) == round(row.target)
+    got = collections.Counter((r.doc_id, r["size"], r.taken) for r in mixing.mixture_counts(docs).collect())
+    want = collections.Counter((r["_id"], r["size"], taken[(r["_source"], r["first"])]) for r in placed)
+    want.update((r["_id"], 0, 0) for r in mixture.docs.where("size = 0").collect())
+    assert got == want
+
+
 @pytest.mark.parametrize("group", [4096, 2])
 def test_shards_draw_their_own_counts(spark, monkeypatch, group):
     """Multinomial counts in shards of one size, which sum up to just the slots of each source."""
