@@ -27,7 +27,7 @@ from ..functions import text as T
 from ..options import DEFAULTS
 from ..settling import discard, settle
 from ..shipping import ship
-from .cues import numbered_sentences, packed_windows, pieces, repeats_folded
+from .cues import numbered_sentences, packed_cues, packed_windows, pieces, repeats_folded
 from .intervals import Keys
 
 SLICE = 4096
@@ -267,8 +267,7 @@ def sentences(cues: DataFrame, keys: Keys, shortest: int = DEFAULTS.sentence_min
 def deduplicated(cues: DataFrame, keys: Keys, gap: float = DEFAULTS.rolling_gap, rows: int = SLICE) -> DataFrame:
     """`cues.deduplicated` for keys of any length."""
     order = Window.partitionBy(*keys).orderBy("_slice")
-    packed = F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text")))
-    slices = in_slices(cues.select(*keys, "seq", "start", "end", "text"), "seq", rows).groupBy(*keys, "_slice").agg(packed.alias("_c"))
+    slices = in_slices(cues.select(*keys, "seq", "start", "end", "text"), "seq", rows).groupBy(*keys, "_slice").agg(packed_cues().alias("_c"))
     slices = settle(slices)
     tails = slices.select(*keys, "_slice", F.lag(F.element_at("_c", -1)).over(order).alias("_tail"))
     guess = tails.select(*keys, "_slice", F.coalesce("_tail.text", F.lit("")).alias("_said"), F.coalesce("_tail.end", F.lit(0.0)).alias("_last"))
