@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate
 from tidemark.plans import edges, features, fitting
+from tidemark.sources import captions
 
 
 def newton(x, y, l2, weight):
@@ -44,6 +45,15 @@ def test_all_held_out_models_equal_one_fit_each(spark):
     assert np.allclose([*one.coefficients, one.intercept], [*models["g1"].weights, models["g1"].bias], atol=1e-4)
 
 
+def test_weights_are_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{i % 3}", f"v{i % 7}", i % 5 / 5, i % 11 / 11, int(i % 5 > 2)) for i in range(60)], "channel string, video string, b double, a double, y int")
+    model = fitting.fit(rows, ["b", "a"], "y")
+    (tmp_path / "weights.json").write_text(fitting.weights_document(model, rows, ["b", "a"], "end").first().json)
+    read = captions.weights(spark, str(tmp_path / "weights.json")).first()
+    assert (read.edge, read.trained_on, read.videos, read.rows) == ("end", ["c0", "c1", "c2"], 7, 60)
+    assert read.weights == {"a": round(float(model.coefficients[1]), 4), "b": round(float(model.coefficients[0]), 4)} and read.bias == round(model.intercept, 4)
+
+
 @pytest.mark.parametrize("listed", [4096, 5])
 def test_medians_equal_sorting(spark, monkeypatch, listed):
     monkeypatch.setattr(evaluate, "LISTED", listed)

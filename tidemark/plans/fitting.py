@@ -33,6 +33,15 @@ def predicted(model: LogisticRegressionModel, rows: DataFrame, features: list[st
     return model.transform(data).withColumn(name, vector_to_array("probability")[1]).select(*rows.columns, name)
 
 
+def weights_document(model: LogisticRegressionModel, rows: DataFrame, features: list[str], edge: str, channel: str = "channel", video: str = "video") -> DataFrame:
+    """(json): the coefficients of a fit to four digits, by name, with what it was fitted on; `sources.captions.weights` reads it."""
+    named = sorted(zip(features, model.coefficients.toArray().tolist(), strict=True))
+    pairs = F.create_map(*[F.lit(x) for name, value in named for x in (name, round(value, 4))])
+    facts = rows.agg(F.array_sort(F.collect_set(channel)).alias("trained_on"), F.count_distinct(video).alias("videos"), F.count(F.lit(1)).alias("rows"))
+    body = F.struct(F.lit(edge).alias("edge"), F.lit(round(float(model.intercept), 4)).alias("bias"), "trained_on", "videos", "rows", pairs.alias("weights"))
+    return facts.select(F.to_json(body).alias("json"))
+
+
 #: Groups whose models are fitted at once: their coefficients are broadcast and their sums are solved in the driver.
 MOST_GROUPS = 20_000
 #: Rows that a task takes at a time, and models.

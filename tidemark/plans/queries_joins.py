@@ -38,7 +38,7 @@ def cat_live_keys(spark, sf_dir):
 def cat_ready(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     stage = F.when(F.col("o_orderstatus") == "F", "rendered").otherwise("waiting")
-    return K.ready(o.select("o_orderkey", stage.alias("stage"), (F.col("o_orderkey") % 2 == 0).alias("publish_pending"), (F.col("o_orderkey") % 5 == 0).alias("delete_pending"), F.when(F.col("o_orderkey") % 7 == 0, "keep").otherwise("").alias("removal"))).select("o_orderkey")
+    return K.ready(o.select("o_orderkey", stage.alias("stage"), (F.col("o_orderpriority") < "4").alias("publish_pending"), (F.col("o_totalprice") < 50000).alias("delete_pending"), F.when(F.col("o_orderpriority") == "1-URGENT", "keep").otherwise("").alias("removal"))).select("o_orderkey")
 
 
 def cat_subscriptions(spark, sf_dir):
@@ -122,7 +122,7 @@ ORACLES = {
 CASE WHEN o_orderstatus <> 'O' THEN CAST(floor(o_totalprice) AS BIGINT) END AS bytes, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS stage, CASE WHEN o_totalprice > 150000 THEN o_orderkey % 97 END AS position, CASE WHEN o_orderpriority < '3' THEN o_orderpriority END AS title
 FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority <> '5-LOW' OR o_totalprice > 150000 OR o_orderpriority < '3'""",
     "cat_live_keys": "SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS live FROM orders",
-    "cat_ready": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0",
+    "cat_ready": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority < '4' AND o_totalprice >= 50000 AND o_orderpriority <> '1-URGENT'",
     "cat_subscriptions": "SELECT c_custkey AS channel FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "usage_runs": """WITH e AS (SELECT user_id, date_trunc('day', ts) AS at_, event_type, event_id FROM events), r AS (SELECT DISTINCT user_id, at_ FROM e WHERE event_type = 'signup')
 SELECT r.user_id, epoch_us(r.at_) AS at_us, CASE WHEN day(r.at_) % 2 = 0 THEN 'unfinished' ELSE 'done' END AS result, CASE WHEN day(r.at_) % 2 = 0 THEN count(e.event_id) ELSE 0 END AS attempts, CAST(CASE WHEN day(r.at_) % 2 = 0 THEN coalesce(sum(e.event_id), 0) ELSE 0 END AS BIGINT) AS tokens

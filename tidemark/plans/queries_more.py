@@ -75,8 +75,8 @@ def rec_unavailable(spark, sf_dir):
 
 def rec_outcome(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    error = F.when(F.col("o_orderkey") % 9 == 0, "x")
-    out = Rec.outcome(error, F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O")
+    error = F.when(F.col("o_totalprice") > 300000, "x")
+    out = Rec.outcome(error, F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O")
     return o.groupBy(out.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -133,7 +133,7 @@ a AS (SELECT event_id, CASE WHEN d IS NULL OR (event_id % 3 = 1 AND d = date_tru
 SELECT event_id, epoch_us(at_) AS at_us, at_ = date_trunc('day', at_) AS day_only FROM a""",
     "rec_unavailable": """SELECT event_id, CASE WHEN event_type = 'view' THEN 'members-only' WHEN event_type = 'click' THEN 'private' WHEN event_id % 4 = 0 THEN 'upcoming' WHEN event_id % 4 = 1 THEN 'live now' END AS reason,
 event_id % 600 IN (0, 408, 429) OR event_id % 600 >= 500 AS retry FROM events""",
-    "rec_outcome": """SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'failed' WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'published' WHEN o_orderstatus = 'O' THEN 'rendered' ELSE 'waiting' END AS status, count(*) AS n FROM orders GROUP BY 1""",
+    "rec_outcome": """SELECT CASE WHEN o_totalprice > 300000 THEN 'failed' WHEN o_orderpriority = '5-LOW' THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'published' WHEN o_orderstatus = 'O' THEN 'rendered' ELSE 'waiting' END AS status, count(*) AS n FROM orders GROUP BY 1""",
     "rec_titles": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<untitled chapter 5>' WHEN 1 THEN '' ELSE 'a b' END AS key, page_id % 3 = 2 AS ok, false AS slug FROM pages""",
     "rec_milliseconds": "SELECT event_id, CAST(printf('%.3f', value / 8 + 0.0005e0) AS DOUBLE) AS ms FROM events",
     "cue_labelled_text": f"""WITH {CUES}, {_PIECES.format(key="conv_id", src="cues")}, {_RAW} SELECT conv_id, md5(string_agg('[' || format('S{{:03d}}', idx + 1) || '] ' || text || chr(10), '' ORDER BY idx)) AS digest FROM raw GROUP BY conv_id""",
