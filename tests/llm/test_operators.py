@@ -182,7 +182,9 @@ def test_copies_do_not_fill_the_sample(spark):
     rows = [(i, "one and the same text", "en") for i in range(400)] + [(1000 + i, f"another text number {'abcdefghijklmnopqrstuvwxyz'[i]}", "en") for i in range(20)] + [(2000, "z" * 9000, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     sample = language_id.labelled_sample(docs, F.col("text"), F.col("lang"))
-    assert len(sample) == 21 and len(set(sample)) == 21
+    # the long text teaches, too, by a stretch of it
+    assert len(sample) == 22 and len(set(sample)) == 22
+    assert max(len(text) for _, text in sample) == language_id.STRETCH
 
 
 def test_language_of_awkward_rows(spark):
