@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.operators import curves
@@ -80,6 +81,13 @@ def test_start_edge_falls_back(spark):
     assert got == {1: (110.0, "fitted"), 2: (100.0, "inside"), 3: (100.0, "kept")}
 
 
+def test_flat_curves_do_not_rise(spark):
+    """The mean of three times 0.1 is more than 0.1 by rounding alone."""
+    rows = [(k, i, p) for k, p in enumerate([0.1, 0.4, 0.7]) for n in [4 + k] for i in range(n)] + [(9, i, p) for i, p in enumerate([0.1, 0.1, 0.3])]
+    at = curves.gathered(spark.createDataFrame(rows, "k int, idx int, p double"), KEY).select("k", curves.fit_start(F.col("ys")).alias("at"))
+    assert {r.k: r["at"] for r in at.collect()} == {0: 0, 1: 0, 2: 0, 9: 2}
+
+
 def test_cuts_are_clamped_and_fused(spark):
     probs = [0.9, 0.95, 0.1, 0.1, 0.6, 0.6, 0.1]
     s = spark.createDataFrame([("a", i, i * 10.0, i * 10.0 + 10, "x", p) for i, p in enumerate(probs)], "k string, idx int, start double, end double, rule string, prob double")

@@ -75,8 +75,14 @@ def step_height(ys: Column, at: Column) -> Column:
 
 
 def fit_start(ys: Column) -> Column:
-    """The changepoint if the curve rises there from a mean under one half, else 0."""
-    return let(changepoint(ys), lambda at: F.when((step_height(ys, at) > 0) & (mean(ys, F.lit(0), at) < 0.5), at).otherwise(F.lit(0)))
+    """The changepoint if the curve rises there from a mean under one half, else 0.  Rises are compared to TIE_DIGITS: a flat curve has none."""
+    fits = lambda at: (_rise(ys, at) > 0) & (F.round(mean(ys, F.lit(0), at), TIE_DIGITS) < 0.5)
+    return let(changepoint(ys), lambda at: F.when(fits(at), at).otherwise(F.lit(0)))
+
+
+def _rise(ys: Column, at: Column) -> Column:
+    """step_height without what the order of summing leaves."""
+    return F.round(step_height(ys, at), TIE_DIGITS)
 
 
 def prefix_steps(ys: Column, first: int = DEFAULTS.end_first) -> Column:
@@ -124,7 +130,7 @@ def start_edges(anchors: DataFrame, points: DataFrame, keys: Keys, reach: float
         *anchors.columns,
         F.coalesce("_fit", "_inside", "anchor_start").alias("new_start"),
         pick.alias("pick"),
-        F.when(F.col("_fit").isNotNull(), step_height(F.col("_y"), F.col("_i"))).otherwise(F.lit(0.0)).alias("step"),
+        F.when(F.col("_fit").isNotNull(), _rise(F.col("_y"), F.col("_i"))).otherwise(F.lit(0.0)).alias("step"),
         F.size("_all").alias("points"),
         F.exists("_all", lambda c: (c["_at"] >= F.col("anchor_start")) & (c["ys"] >= inside)).alias("seen"),
     )
