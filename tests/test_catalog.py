@@ -32,6 +32,18 @@ def test_usage_interval_drops_what_did_not_change(spark):
     assert got == {"x": (2, 6, 1.5), "z": (1, 0, 0.0)}
 
 
+def test_calls_meet_the_price_list_where_they_are(spark, capsys):
+    """Dealt by rate, all calls of a rate would be one task's."""
+    calls = spark.createDataFrame([("a", "x", 3, 1, False, None), ("a", "x", 1, 1, True, 2.0), ("b", None, 5, 5, False, None)], "k string, rate string, input long, output long, missing_usage boolean, reported_cost double")
+    rates = spark.createDataFrame([("x", 1e6, 2e6)], "rate string, input_price double, output_price double")
+    seen = usage.observe(calls, rates, ["k"])
+    assert sorted(tuple(r) for r in seen.where("k = 'a'").collect()) == [("a", "x", 2, 3, 1, 1, 0, 1, 5.0)]
+    assert [tuple(r) for r in seen.where("k = 'b'").collect()] == [("b", None, 1, 5, 5, 0, 1, 0, 0.0)]
+    seen.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" not in plan and "hashpartitioning(rate" not in plan
+
+
 def test_chapters_through_cuts(spark):
     keeps = spark.createDataFrame([("a", 0.0, 600.0), ("a", 720.0, 1800.0)], "k string, start double, end double")
     source = spark.createDataFrame([("a", 0, 0.0, None, "Intro"), ("a", 1, 600.0, None, "Ad ends"), ("a", 2, 610.0, 700.0, "Gone"), ("a", 3, 900.0, None, "Rest"), ("a", 4, 1700.0, None, "<Untitled Chapter 5>")], "k string, seq int, start double, end double, title string")

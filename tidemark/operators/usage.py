@@ -12,8 +12,11 @@ COUNTERS = ("calls", "input", "output", "missing", "unpriced", "reported", "cost
 
 
 def observe(calls: DataFrame, rates: DataFrame, keys: Keys) -> DataFrame:
-    """Counters of each (keys, rate): tokens of calls that reported usage, cost at the rate's prices a million tokens."""
-    priced = calls.join(rates, "rate", "left")
+    """Counters of each (keys, rate): tokens of calls that reported usage, cost at the rate's prices a million tokens.
+
+    Calls stay where they are and meet the price list there: dealt by rate, all calls of a rate would be one task's.
+    """
+    priced = calls.join(F.broadcast(rates), "rate", "left")
     seen = ~F.col("missing_usage")
     has_price = F.col("input_price").isNotNull()
     cost = (F.col("input") * F.col("input_price") + F.col("output") * F.col("output_price")) / 1e6
