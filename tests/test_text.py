@@ -134,3 +134,17 @@ def test_chapter_lines(spark):
     rows = ["0:00 Intro", "Outro - 1:02:03", "[12:34] Middle part", "99:99 no", "no time"]
     df = spark.createDataFrame([(r,) for r in rows], "l string").select(tx.line_chapter(F.col("l")).alias("c"))
     assert [tuple(r.c) if r.c else None for r in df.collect()] == [(0.0, "Intro"), (3723.0, "Outro"), (754.0, "Middle part"), None, None]
+
+
+def test_overlaps_split_each_text_once(spark):
+    rng = random.Random(8)
+    pairs = [tuple(" ".join(rng.choice("aAbc") for _ in range(rng.randint(0, 9))) for _ in "xy") for _ in range(200)] + [(None, "a"), ("a", None)]
+    n = tx.overlap_suffix(F.col("x"), F.col("y"))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", n.alias("n")).collect()
+    for r in got:
+        if r.x is None or r.y is None:
+            assert r.n is None
+        else:
+            a, b = r.x.lower().split(), r.y.lower().split()
+            assert r.n == max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
+    assert str(n).count("split(") == 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import let
+
 #: Domain endings whose dot ends no sentence.
 WEB_ENDINGS = ("com", "org", "net", "io", "co", "ai", "tv", "fm", "dev", "app", "gov", "edu", "us", "uk", "ly", "me")
 #: Entities and what they stand for, decoded in this order.
@@ -44,10 +46,17 @@ def normal_words(text: Column) -> Column:
 
 def overlap_suffix(previous: Column, following: Column) -> Column:
     """Words at the end of one text that stand at the head of the next, in any case: how many, at most."""
-    a, b = words(F.lower(previous)), words(F.lower(following))
-    n = F.least(F.size(a), F.size(b))
-    fits = F.filter(F.sequence(F.lit(0), n), lambda k: (k == 0) | (F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k)))
-    return F.when(previous.isNotNull() & following.isNotNull(), F.array_max(fits))
+    said = F.struct(words(F.lower(previous)).alias("a"), words(F.lower(following)).alias("b"))
+
+    def most(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        # the first word tells most places apart
+        starts = lambda k: F.get(a, F.size(a) - k) == F.get(b, 0)
+        same = lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k)
+        return F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda k: (k == 0) | (starts(k) & same(k))))
+
+    # words are found once for each pair, not at each length tried
+    return F.when(previous.isNotNull() & following.isNotNull(), let(said, most))
 
 
 def lexical(text: Column, needles: list[str]) -> Column:
