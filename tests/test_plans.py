@@ -137,3 +137,12 @@ def test_states_on_a_stream_equal_the_batch(spark, tmp_path):
     assert changes.select("epoch").distinct().count() > 1
     steps = {r.id: r.s for r in changes.groupBy("id").agg(F.sum("input_step").alias("s")).collect()}
     assert steps == {r.id: r.input for r in want.collect()}
+
+
+def test_changes_of_states_need_no_python(spark):
+    kind = "id string, version long, stage string, removal string, has_published boolean, input long, output long"
+    before = spark.createDataFrame([("a", 1, "pending", "", False, 5, 1), ("b", 2, "published", None, True, 7, 7)], kind)
+    after = spark.createDataFrame([("a", 3, "published", "", True, 9, 1), ("b", 2, "published", None, True, 7, 7), ("c", 1, "waiting", "", False, 4, 0)], kind)
+    assert {r.id: (r.version, r.input_step, r.output_step) for r in states.changes(after, before, ["id"]).collect()} == {"a": (3, 4, 0), "c": (1, 4, 0)}
+    assert {r.id: r.input_step for r in states.changes(after, None, ["id"]).collect()} == {"a": 9, "b": 7, "c": 4}
+    assert "Pandas" not in states.states(after.drop("has_published"), ["id"])._jdf.queryExecution().analyzed().toString()

@@ -8,14 +8,11 @@ the greatest seen.  So the order of events and their repetition change nothing,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..shipping import ship
 
 COUNTERS = ("input", "output")
 
@@ -28,43 +25,43 @@ def batch_states(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def states(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The stream of changed states: (keys, version, stage, removal, has_published, counters) and what each counter grew by
-    (<counter>_step; over all changes of an episode the steps add up to the counter)."""
-    ship(events.sparkSession)
-    kinds = dict(events.dtypes)
-    counters = ", ".join(f"{c} {kinds[c]}" for c in COUNTERS)
-    held = f"version {kinds['version']}, stage string, removal string, has_published boolean, {counters}"
-    shown = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {held}, " + ", ".join(f"{c}_step {kinds[c]}" for c in COUNTERS)
-
-    def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else (None, None, None, False, *[0 for _ in COUNTERS])
-        version, stage, removal, published, *used = before
-        for part in parts:
-            for row in part.sort_values("version").itertuples(index=False):
-                if version is None or row.version > version:
-                    version, stage, removal = int(row.version), row.stage, row.removal
-                published = published or row.stage == "published"
-                used = [max(u, int(getattr(row, c))) for u, c in zip(used, COUNTERS, strict=True)]
-        after = (version, stage, removal, published, *used)
-        if after != tuple(before):
-            state.update(after)
-            steps = [u - b for u, b in zip(used, before[4:], strict=True)]
-            yield pd.DataFrame([(*key, *after, *steps)], columns=[*keys, "version", "stage", "removal", "has_published", *COUNTERS, *[f"{c}_step" for c in COUNTERS]])
-
-    return events.groupBy(*keys).applyInPandasWithState(advance, shown, held, "update", GroupStateTimeout.NoTimeout)
+    """The stream of states (keys, version, stage, removal, has_published, counters) of the episodes that events came for."""
+    return batch_states(events, keys)
+
+
+def changes(after: DataFrame, before: DataFrame | None, keys: list[str]) -> DataFrame:
+    """States that differ from those before, and what each counter grew by (<counter>_step; over all changes of an episode the
+    steps add up to the counter)."""
+    rest = [c for c in after.columns if c not in keys]
+    if before is None:
+        before = after.limit(0)
+    held = before.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.struct(*rest).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    both = after.join(held, reduce(and_, same), "left").where(~F.struct(*rest).eqNullSafe(F.col("_before")))
+    return both.select(*after.columns, *[(F.col(c) - F.coalesce(F.col("_before")[c], F.lit(0))).alias(f"{c}_step") for c in COUNTERS])
 
 
 def follow(events: DataFrame, keys: list[str], path: str, checkpoint: str):
-    """Writes the changes of each micro-batch to path/epoch=<number>; a batch that is run again replaces what it wrote."""
+    """Writes the changes of each micro-batch to path/epoch=<number>; a batch that is run again replaces what it wrote.
 
-    def write(changes: DataFrame, epoch: int) -> None:
-        changes.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    The states before a batch are the last ones that earlier batches wrote to path.
+    """
+
+    def write(after: DataFrame, epoch: int) -> None:
+        spark = after.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = epoch > 0 and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        before = _last(spark.read.parquet(path).where(F.col("epoch") < epoch), keys) if known else None
+        changes(after, before, keys).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return states(events, keys).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
     """The last state of each episode among the changes at path."""
-    changes = spark.read.parquet(path)
+    return _last(spark.read.parquet(path), keys)
+
+
+def _last(changes: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*keys, "epoch") and not c.endswith("_step")]
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_s")).select(*keys, "_s.*")
