@@ -119,6 +119,23 @@ def test_phrases_are_greedy_longest_matches():
     assert found.tolist()[0] == -1 and found.tolist()[1] >= 0 and found.tolist()[2] == -1 and score[0] == 0
 
 
+def test_automata_are_made_by_tasks(spark, monkeypatch):
+    sample = [(k, " ".join(f"{k}{i * j % 7}{'aeiou'[i % 5]}x" for i in range(40))) for j, k in enumerate(["xa", "yb", "zc"])] + [("none", "12 34")]
+    here, there = language_id.learn(sample), language_id.learn_in_tasks(spark, sample)
+    assert here.languages == there.languages == ["xa", "yb", "zc"]
+    for name in ("symbols", "base", "owner", "target", "roots", "bits"):
+        assert (getattr(here, name) == getattr(there, name)).all()
+
+    def never(text):
+        raise AssertionError("made by the driver")
+
+    monkeypatch.setattr(language_id, "suffix_automaton", never)
+    rows = [(i, text, k) for i, (k, text) in enumerate(sample * 4)]
+    out = language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == (r.lang if r.lang != "none" else "und") for r in out)
+    assert language_id.learn_in_tasks(spark, []) is None
+
+
 @pytest.mark.parametrize("piece", [3, 16])
 def test_phrases_do_not_end_with_pieces(monkeypatch, piece):
     monkeypatch.setattr(language_id, "PIECE", piece)

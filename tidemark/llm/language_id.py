@@ -31,16 +31,17 @@ underscores in front if their names are taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free_name, small_batches
+from ..shipping import ship
+from .shared import free_name, give_back, small_batches
 
 UNDETERMINED = "und"
 #: Bound of the labelled sample: languages, texts for each, characters of each text, and characters in all, which the
@@ -173,8 +174,8 @@ def _read(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes[keep], ends
 
 
-def learn(sample: list[tuple[str, str]]) -> Model | None:
-    """The model of (language, text) rows."""
+def coded(sample: list[tuple[str, str]]) -> tuple[np.ndarray, int, list[tuple[str, np.ndarray]]]:
+    """Of (language, text) rows: code point to symbol, the number of symbols, and each language's text in symbols."""
     texts: dict[str, list[str]] = {}
     for language, text in sorted(sample):
         texts.setdefault(language, []).append(text)
@@ -187,19 +188,56 @@ def learn(sample: list[tuple[str, str]]) -> Model | None:
     symbols = np.zeros(_CODE_POINTS, dtype=np.int32)
     symbols[letters] = count + 1
     symbols[seen] = 1 + np.arange(count)
-    languages, roots, bits = [], [], []
-    moves: list[dict[int, int]] = [{}]
-    for language, rows in texts.items():
-        codes, _ = _read(rows, symbols)
-        if not (codes != 0).any():
-            continue
-        at = len(moves) - 1
-        own = suffix_automaton(codes.tolist())
-        moves += [{c: to + at for c, to in m.items()} for m in own[1:]]
-        languages.append(language)
-        roots.append(at + 1)
-        bits.append(np.log2(max(2, len(codes))))
-    return Model(languages, symbols, *pack(moves, count + 2), np.array(roots), np.array(bits), count + 2) if languages else None
+    read = [(language, _read(rows, symbols)[0]) for language, rows in texts.items()]
+    return symbols, count + 2, [(language, codes) for language, codes in read if (codes != 0).any()]
+
+
+def automaton(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packed automaton of one language's text."""
+    return pack(suffix_automaton(codes.tolist()), width)
+
+
+def together(symbols: np.ndarray, width: int, texts: list[tuple[str, np.ndarray]], packed: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model | None:
+    """The model of languages' texts and their packed automata, which stand one after the other in its table."""
+    bases, owners, targets, roots = [np.zeros(1, dtype=np.int64)], [], [], []
+    states, places = 0, 0
+    for base, owner, target in packed:
+        # state 0, of which there is one, is none
+        bases.append(base[1:].astype(np.int64) + places)
+        owners.append(np.where(owner > 0, owner + np.int32(states), np.int32(0)))
+        targets.append(np.where(target > 0, target + np.int32(states), np.int32(0)))
+        roots.append(states + 1)
+        states, places = states + len(base) - 1, places + len(owner)
+    bits = [np.log2(max(2, len(codes))) for _, codes in texts]
+    return Model([x for x, _ in texts], symbols, np.concatenate(bases), np.concatenate(owners), np.concatenate(targets), np.array(roots), np.array(bits), width) if texts else None
+
+
+def learn(sample: list[tuple[str, str]]) -> Model | None:
+    """The model of (language, text) rows."""
+    symbols, width, texts = coded(sample)
+    return together(symbols, width, texts, [automaton(codes, width) for _, codes in texts])
+
+
+def learn_in_tasks(spark: SparkSession, sample: list[tuple[str, str]]) -> Model | None:
+    """learn(), each language's automaton by a task: while it is made, it takes many times the memory of the packed one."""
+    symbols, width, texts = coded(sample)
+    if not texts:
+        return None
+    ship(spark)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for n, codes in zip(part["n"], part["codes"], strict=True):
+                made = automaton(np.frombuffer(codes, dtype=np.int32), width)
+                yield pd.DataFrame([[n, *(x.astype(np.int32).tobytes() for x in made)]], columns=["n", "base", "owner", "target"])
+                give_back()
+
+    rows = spark.createDataFrame([(n, codes.astype(np.int32).tobytes()) for n, (_, codes) in enumerate(texts)], "n int, codes binary")
+    tasks = min(len(texts), spark.sparkContext.defaultParallelism)
+    # a row for each of MOST_LANGUAGES, of SAMPLE_TOTAL symbols in all
+    made = rows.repartition(tasks).mapInPandas(work, "n int, base binary, owner binary, target binary").collect()
+    packed = (tuple(np.frombuffer(x, dtype=np.int32) for x in r[1:]) for r in sorted(made, key=lambda r: r.n))
+    return together(symbols, width, texts, packed)
 
 
 def _followed(model: Model, codes: np.ndarray, state: np.ndarray, at: np.ndarray, end: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -412,5 +450,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document without an id is not held out (and not learned from).
     """
     held = F.coalesce(fold(F.col(id_col)) == 2, F.lit(False))
-    model = learn(labelled_sample(docs.where(F.col(id_col).isNotNull() & ~held), F.col(text_col), F.col(lang_col)))
-    return with_language(docs.withColumn(free_name(docs, "held_out"), held), model, text_col)
+    sample = labelled_sample(docs.where(F.col(id_col).isNotNull() & ~held), F.col(text_col), F.col(lang_col))
+    out = with_language(docs.withColumn(free_name(docs, "held_out"), held), learn_in_tasks(docs.sparkSession, sample), text_col)
+    give_back()
+    return out

@@ -224,7 +224,10 @@ def slots_of(sources: DataFrame, block: int, shards: int, seed: int, kept: list[
     aim = aim.withColumn("rest", words - F.col("passes") * F.col("source_size"))
     aim = aim.withColumn("n", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)).where("n > 0")
     key = F.xxhash64("_source", F.lit(seed))
-    shares = aim.select("_source", "source_size", "blocks", "n", "rest").join(drawn_counts(aim, shards, seed, kept), "_source")
+    # settled: the plan of the draw and that of the slots are large enough alone for the driver
+    counts = settle(drawn_counts(aim, shards, seed, kept))
+    kept.append(counts)
+    shares = aim.select("_source", "source_size", "blocks", "n", "rest").join(counts, "_source")
     shares = shares.withColumn("start", F.sum("here").over(Window.partitionBy("_source").orderBy("shard")) - F.col("here"))
     # runs of slots are dealt to all tasks before they are listed
     runs = shares.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(here - 1) div {SLOT_RUN}")))).repartition("_source", "shard", "run")
