@@ -65,3 +65,13 @@ def test_ids_that_run_backwards(spark):
     rows = spark.range(12).select((F.col("id") % 2).alias("k"), F.col("id").alias("idx"))
     got = {(r.k, r.idx): r.sid for r in spans.reversed_ids(rows, ["k"], "L").collect()}
     assert got[(0, 0)] == "L006" and got[(0, 10)] == "L001" and got[(1, 1)] == "L006" and len(set(got.values())) == 6
+
+
+def test_a_feed_is_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "feeds")
+    spark.createDataFrame([("a", rss("")), ("b", rss(""))], "channel string, xml string").write.parquet(path)
+    files = spark.read.parquet(path).select("channel", F.concat("xml", F.lit(" ")).alias("xml"))
+    entries = captions.feed_entries(captions.parsed_feeds(files, ["channel"], "xml"), ["channel"])
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_xml") == 1
+    assert entries.count() == 0  # feeds without items have no entries

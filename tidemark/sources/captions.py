@@ -118,7 +118,8 @@ def clock_seconds(text: Column, least: int = 1) -> Column:
 def feed_entries(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Items of parsed feeds: keys, prior (their place in the document), guid, title, description, published_at, url, bytes, seconds, image,
     chapters_url and chapters (start, title).  A date, length, duration or chapter that can't be read is an error."""
-    rows = parsed.select(*keys, F.posexplode("_feed.item").alias("prior", "_i"))
+    # of a plain posexplode Spark infers a filter on the items' number and pushes it below the parse, which then runs for each of its terms
+    rows = parsed.select(*keys, F.posexplode_outer("_feed.item").alias("prior", "_i")).where("prior is not null")
     i = lambda name: F.col(f"_i.{name}")
     at = F.try_to_timestamp(F.regexp_replace(i("pubDate"), r"^\w+, ", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
     size = i("enclosure._length").try_cast("long")
