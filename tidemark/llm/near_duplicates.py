@@ -424,15 +424,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rank = Window.partitionBy("node").orderBy(F.desc("c"), "leader")
     drawn = settle(met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= COMPARED + 1).select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"))
     idf.destroy()
-    done, found, classes = 0, [], None
+    done, classes = 0, None
 
-    def joined() -> DataFrame:
-        if classes is not None:
-            discard(classes)
-        links = found[0]
-        for more in found[1:]:
-            links = links.unionByName(more)
-        return connected(links)
+    def joined(more: DataFrame) -> DataFrame:
+        """The classes with more links; those so far are stars already and stand for their links."""
+        if classes is None:
+            return connected(more)
+        out = connected(more.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(classes)
+        return out
 
     for last in ROUNDS:
         pairs = drawn.where((F.col("n") > done) & (F.col("n") <= last)).select("a", "b")
@@ -440,15 +440,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             la, lb = classes.select(F.col("node").alias("a"), F.col("root").alias("la")), classes.select(F.col("node").alias("b"), F.col("root").alias("lb"))
             pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         done, more = last, verified(pairs)
-        found.append(more)
         if classes is None or not more.isEmpty():
-            classes = joined()
+            classes = joined(more)
+        discard(more)
     more = _rest(members, classes, drawn, nodes, weighed, threshold)
-    found.append(more)
     if not more.isEmpty():
-        classes = joined()
+        classes = joined(more)
+    discard(more)
     by_text = settle(nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id")))
-    discard(members, weighed, drawn, nodes, classes, *found)
+    discard(members, weighed, drawn, nodes, classes)
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("digest"))
     # texts without words have no signature: equal ones are one class still
     bare = keyed.where(F.col("_id").isNotNull() & F.col("digest").isNotNull()).groupBy("digest").agg(F.min("_id").alias("least_id"))
